@@ -92,16 +92,15 @@ def anova(source: str) -> str:
 def _audit() -> str:
     words = ["ALTER", "ATTACH", "CREATE", "DELETE", "DETACH", "DROP", "GRANT", "INSERT", "PRAGMA", "REINDEX",
              "REPLACE", "REVOKE", "TRUNCATE", "UPDATE", "VACUUM"]
-    found = "list_filter([" + ", ".join(
-        f"CASE WHEN regexp_matches(t, '(?i)\\b{w}\\b') THEN '{w}' END" for w in words) + "], x -> x IS NOT NULL)"
+    found = "concat_ws(', ', " + ", ".join(
+        f"CASE WHEN regexp_matches(t, '(?i)\\b{w}\\b') THEN '{w}' END" for w in words) + ")"
     return cte("query_log") + f"""
         SELECT o_orderkey, violations = '' AS safe, violations FROM (
-            SELECT o_orderkey, CASE WHEN t = '' THEN 'empty query' ELSE array_to_string(list_filter([
+            SELECT o_orderkey, CASE WHEN t = '' THEN 'empty query' ELSE concat_ws(' | ',
                 CASE WHEN statements <> 1 THEN 'one statement expected, found ' || statements END,
                 CASE WHEN first NOT IN ('SELECT', 'WITH') THEN 'starts with ''' || first || ''' instead of SELECT or WITH' END,
-                CASE WHEN len(words) > 0 THEN 'banned words: ' || array_to_string(words, ', ') END
-            ], x -> x IS NOT NULL), ' | ') END AS violations
-            FROM (SELECT *, len(list_filter(string_split(t, ';'), s -> trim(s) <> '')) AS statements,
+                CASE WHEN words <> '' THEN 'banned words: ' || words END) END AS violations
+            FROM (SELECT *, len(regexp_extract_all(t, '[^;]*[^;\\s][^;]*')) AS statements,
                          upper(regexp_extract(t, '^\\w+')) AS first, {found} AS words
                   FROM (SELECT o_orderkey, trim(regexp_replace(regexp_replace(query, '--[^\n]*', ' ', 'g'),
                                '/\\*.*?\\*/', ' ', 'g')) AS t FROM query_log)))"""
@@ -300,7 +299,7 @@ def oracles() -> dict[str, str]:
         "standardize_categories": f"""{dirty}, canon AS ({spellings('dirty_orders', 'o_orderpriority')})
             SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, canonical AS o_orderpriority
             FROM dirty_orders LEFT JOIN canon ON o_orderpriority = value""",
-        "daily_mean_series": "SELECT CAST(o_orderdate AS TIMESTAMP) AS ts, round_even(avg(o_totalprice), 2) AS value "
+        "daily_mean_series": "SELECT CAST(o_orderdate AS TIMESTAMP) AS ts, round_even(avg(o_totalprice), 8) AS value "
                              "FROM orders GROUP BY 1",
         "series_step": """
             SELECT event_type, quantile_cont(CAST(epoch_us(ts) - epoch_us(before) AS DOUBLE), 0.5) AS step_us FROM (
@@ -312,7 +311,7 @@ def oracles() -> dict[str, str]:
     }
     corr = union(
         f"SELECT '{a}' AS column_a, '{b}' AS column_b, {i} AS i, {j} AS j, "
-        + (f"corr({a}, {b})" if "one" not in (a, b) else "CAST(NULL AS DOUBLE)") + " AS r FROM line_amounts"
+        + (f"corr({a}, {b}) AS r FROM line_amounts" if "one" not in (a, b) else "CAST(NULL AS DOUBLE) AS r")
         for i, a in enumerate(AMOUNTS) for j, b in enumerate(AMOUNTS) if i < j)
     out["correlation_matrix"] = cte("line_amounts") + f""", c AS ({corr})
         SELECT column_a, column_b, round_even(r, 6) AS correlation FROM c

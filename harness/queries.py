@@ -287,7 +287,7 @@ def standardize_categories(spark, sf):
 
 @query
 def daily_mean_series(spark, sf):
-    return rounded(forecast.series_points(table(spark, sf, "orders"), "o_orderdate", "o_totalprice"), 2, "value")
+    return rounded(forecast.series_points(table(spark, sf, "orders"), "o_orderdate", "o_totalprice"), 8, "value")
 
 
 def _event_points(spark, sf):

@@ -10,6 +10,8 @@ NULL_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+_BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+
 NUMBER = r"^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 INTEGER = r"^\s*[+-]?\d{1,19}\s*$"
 BOOLEAN = r"^(?:True|TRUE|true|False|FALSE|false)$"
@@ -24,7 +26,7 @@ _DAY_FIRST = r"^(\d{1,2})(?:st|nd|rd|th)?[ -]([A-Za-z]{3,9})[ -,]+(\d{4})$"
 
 def strip(c: Column) -> Column:
     """Remove all surrounding white space, not only blanks."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def fold_category(c: Column) -> Column:
@@ -53,7 +55,7 @@ def parse_timestamp(c: Column) -> Column:
     first and day first only where that fails. Bare clock times and words such as "now" are not
     dates, since their value would depend on the day of the run.
     """
-    s = strip(c)
+    s = F.when(F.length(strip(c)) <= 64, strip(c))   # no notation is longer
     month_day = F.regexp_replace(s, _NUMERIC_DATE, "$3-$1-$2$4")
     day_month = F.regexp_replace(s, _NUMERIC_DATE, "$3-$2-$1$4")
     named_md = F.concat_ws(" ", *[F.regexp_extract(s, _MONTH_FIRST, i) for i in (1, 2, 3)])

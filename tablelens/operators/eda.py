@@ -6,29 +6,29 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tablelens.operators.columnstats import TableStats, table_stats
 from tablelens.operators.frequency import value_frequency
 from tablelens.operators.quality import small_text_columns
 from tablelens.operators.quantiles import exact_quantiles
-from tablelens.schema import as_double, chunks, classify, col, local_frame, normalize, stack_rows
-from tablelens.thresholds import DEFAULTS, LIMITS, Thresholds
+from tablelens.schema import as_double, classify, col, local_frame, normalize
+from tablelens.thresholds import DEFAULTS, Thresholds
 
 
 def numeric_summary(df: DataFrame, stats: TableStats | None = None,
                     medians: dict[str, list[float | None]] | None = None) -> DataFrame:
     """``(column_name, mean, median, std, min, max)``, two decimals, columns without values left out."""
     df = normalize(df)
-    stats = stats or table_stats(df, classify(df).numeric, parse=False)
-    counts = {n: stats[n].present for n in classify(df).numeric if n in stats.columns and stats[n].present}
+    stats = stats or table_stats(df, classify(df).numeric, sketch=False, parse=False)
+    present = stats.numeric(df)
     if medians is None:
-        medians = exact_quantiles(df, [0.5], counts, {n: stats[n].distinct_estimate for n in counts})
+        medians = exact_quantiles(df, [0.5], present)
     return local_frame(df, [
         (n, round(c.mean, 2), round(medians[n][0], 2), round(c.std, 2) if c.std is not None else 0.0,
          round(c.low, 2), round(c.high, 2))
-        for n, c in ((n, stats[n]) for n in counts)
+        for n, c in present.items()
     ], "column_name string, mean double, median double, std double, min double, max double")
 
 
@@ -49,64 +49,49 @@ def top_categories(df: DataFrame, exclude: Iterable[str] = (), stats: TableStats
 
 # --- correlations ---------------------------------------------------------------------------------
 
-def _where_present(name: str, other: str, stats: TableStats) -> Column:
-    """The column over the rows where ``other`` has a value; plain, and so shared between pairs, if all do."""
-    return F.when(col(other).isNotNull(), as_double(name)) if stats[other].missing else as_double(name)
-
-
-def _jvm_pairs(df: DataFrame, pairs: list[tuple[str, str]], stats: TableStats) \
-        -> Iterator[tuple[str, str, float | None]]:
-    for block in chunks(pairs, 120):
-        wanted = []
-        for i, (a, b) in enumerate(block):
-            x, y = _where_present(a, b, stats), _where_present(b, a, stats)
-            wanted.append(F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)).alias(f"r{i}"))
-        yield from ((a, b, r) for (a, b), r in zip(block, df.agg(*wanted).first()))
-
-
-def _matrix_pairs(df: DataFrame, names: list[str], stats: TableStats) -> Iterator[tuple[str, str, float | None]]:
-    """Pairwise-complete sums of wide tables as one matrix product per batch.
+def pair_correlations(df: DataFrame, stats: TableStats | None = None) -> list[tuple[str, str, float | None]]:
+    """Pearson's r over the rows where both columns have a value; None where it is undefined.
 
-    Values are centred first, so that the sums of squares keep their precision. Each task emits one
-    partial matrix; the partial matrices are added up by position.
+    One scan for all pairs: each task multiplies its batches as matrices and emits one partial matrix;
+    the partial matrices are added up by position. Thirty aggregate expressions would already leave
+    generated code, and their number grows with the square of the columns. Values are centred by the
+    column means first, so that the sums of squares keep their precision.
     """
+    names = list(classify(df).numeric)
+    if len(names) < 2:
+        return []
+    stats = stats or table_stats(df, names, sketch=False, parse=False)
     centre = np.array([stats[n].mean or 0.0 for n in names])
     c = len(names)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((5, c, c))
-        for pdf in batches:
-            x = pdf.to_numpy(dtype=float) - centre
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, sums, squares, products = (np.zeros((c, c)) for _ in range(4))
+        for batch in batches:
+            x = np.column_stack([a.to_numpy(zero_copy_only=False) for a in batch.columns]).astype(float) - centre
             seen = ~np.isnan(x)
-            x = np.where(seen, x, 0.0)
             m = seen.astype(float)
-            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, x.T @ x])
-        i, j = np.triu_indices(c)
-        sq_y = total[3].T
-        yield pd.DataFrame({
-            "i": i, "j": j, "n": total[0][i, j], "sx": total[1][i, j], "sy": total[2][i, j],
-            "sxx": total[3][i, j], "syy": sq_y[i, j], "sxy": total[4][i, j],
+            x = np.where(seen, x, 0.0)
+            both += m.T @ m
+            sums += x.T @ m
+            squares += (x * x).T @ m
+            products += x.T @ x
+        i, j = np.triu_indices(c, 1)
+        yield pa.RecordBatch.from_pydict({
+            "i": i.astype(np.int32), "j": j.astype(np.int32), "n": both[i, j], "sx": sums[i, j], "sy": sums[j, i],
+            "sxx": squares[i, j], "syy": squares[j, i], "sxy": products[i, j],
         })
 
-    sums = (df.select(*[as_double(n).alias(f"c{k}") for k, n in enumerate(names)])
-            .mapInPandas(partial, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
-            .groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in ("n", "sx", "sy", "sxx", "syy", "sxy")]))
-    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    vx, vy = n * F.col("sxx") - sx * sx, n * F.col("syy") - sy * sy
-    r = F.when((vx > 0) & (vy > 0), F.try_divide(n * F.col("sxy") - sx * sy, F.sqrt(vx) * F.sqrt(vy)))
-    for row in sums.filter("i < j").select("i", "j", r.alias("r")).orderBy("i", "j").collect():
-        yield names[row["i"]], names[row["j"]], row["r"]
-
-
-def pair_correlations(df: DataFrame, stats: TableStats | None = None) -> list[tuple[str, str, float | None]]:
-    """Pearson's r over the rows where both columns have a value; None where it is undefined."""
-    names = list(classify(df).numeric)
-    if len(names) < 2:
-        return []
-    stats = stats or table_stats(df, names, sketch=False, parse=False)
-    if len(names) <= LIMITS.jvm_correlation_columns:
-        return list(_jvm_pairs(df, list(combinations(names, 2)), stats))
-    return list(_matrix_pairs(df, names, stats))
+    totals = (df.select(*[as_double(n).alias(f"c{k}") for k, n in enumerate(names)])
+              .mapInArrow(partial, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+              .groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in ("n", "sx", "sy", "sxx", "syy", "sxy")]))
+    found = {}
+    for t in totals.collect():
+        vx, vy = t["n"] * t["sxx"] - t["sx"] ** 2, t["n"] * t["syy"] - t["sy"] ** 2
+        # Spread that is rounding noise of the centred sums counts as none.
+        flat = t["n"] < 2 or vx <= 1e-12 * t["n"] * t["sxx"] or vy <= 1e-12 * t["n"] * t["syy"]
+        found[t["i"], t["j"]] = None if flat else float(
+            np.clip((t["n"] * t["sxy"] - t["sx"] * t["sy"]) / (vx ** 0.5 * vy ** 0.5), -1.0, 1.0))
+    return [(names[i], names[j], found.get((i, j))) for i, j in combinations(range(c), 2)]
 
 
 def correlation_matrix(df: DataFrame, pairs: list[tuple[str, str, float | None]] | None = None,

@@ -17,10 +17,15 @@ from tablelens.functions.parse import fold_category
 from tablelens.schema import classify, comparable, local_frame
 
 
-def _unpivot(df: DataFrame, names: list[str], cells: list[Column]) -> DataFrame:
+def _unpivot(df: DataFrame, cells: list[Column]) -> DataFrame:
+    """``(c, value)`` with the number of the column: grouping by a number is cheaper than by a name."""
     return df.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("column_name"), c.alias("value")) for n, c in zip(names, cells)
-    ])).alias("cell")).select("cell.column_name", "cell.value")
+        F.struct(F.lit(i).alias("c"), v.alias("value")) for i, v in enumerate(cells)
+    ])).alias("cell")).select("cell.c", "cell.value")
+
+
+def _name(names: list[str]) -> Column:
+    return F.element_at(F.array(*map(F.lit, names)), F.col("c") + 1).alias("column_name")
 
 
 def value_frequency(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
@@ -29,8 +34,8 @@ def value_frequency(df: DataFrame, columns: Iterable[str] | None = None) -> Data
     if not names:
         return local_frame(df, [], "column_name string, value string, n bigint")
     cells = [comparable(df, n).cast("string") for n in names]
-    return (_unpivot(df, names, cells).filter("value IS NOT NULL")
-            .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+    return (_unpivot(df, cells).filter("value IS NOT NULL").groupBy("c", "value")
+            .agg(F.count(F.lit(1)).alias("n")).select(_name(names), "value", "n"))
 
 
 def _family(kind: T.DataType) -> str:
@@ -57,8 +62,8 @@ def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None) -> Data
     parts = []
     for kind, members in families.items():
         cells = [comparable(df, n).cast(kind) for n in members]
-        parts.append(_unpivot(df, members, cells).distinct()
-                     .groupBy("column_name").agg(F.count("value").alias("distinct_count")))
+        parts.append(_unpivot(df, cells).distinct().groupBy("c").agg(F.count("value").alias("distinct_count"))
+                     .select(_name(members), "distinct_count"))
     return reduce(DataFrame.unionAll, parts)
 
 

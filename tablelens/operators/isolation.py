@@ -17,14 +17,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablelens.operators.columnstats import SKETCH_LG_K, SKETCH_MARGIN
-from tablelens.operators.quantiles import exact_quantiles
+from tablelens.operators.quantiles import quantile
 from tablelens.operators.rows import complete_cases
-from tablelens.schema import as_double, classify, col, normalize
+from tablelens.schema import as_double, classify, col, normalize, spread
 from tablelens.sources.scratch import materialize
 from tablelens.thresholds import DEFAULTS, Thresholds
 
 # Larger tables are thinned to about this many rows by one hash before the draws per tree.
-_POOL_ROWS = 1 << 20
+_POOL_ROWS = 1 << 16
 _UNIT = float(1 << 53)
 _NODES = "tree int, node int, feature int, split double, left int, right int, depth int, size int"
 
@@ -93,17 +93,19 @@ def _mean_depth(n: np.ndarray) -> np.ndarray:
 class Forest:
     features: tuple[str, ...]
     psi: int
-    trees: tuple[tuple[np.ndarray, ...], ...]   # feature, split, left, right, path length per node
+    trees: tuple[tuple[np.ndarray, ...], ...]   # feature, split, (left, right) pairs, path length per node
     height: int
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        """All rows walk down a tree together; a leaf is its own child."""
         depth = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for feature, split, left, right, length in self.trees:
-            at = np.zeros(len(x), dtype=np.int32)
+        flat, first = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+        for feature, split, children, length in self.trees:
+            at = np.zeros(len(x), dtype=np.int64)
             for _ in range(self.height):
-                at = np.where(x[rows, feature[at]] <= split[at], left[at], right[at])
-            depth += length[at]
+                right = flat.take(first + feature.take(at)) > split.take(at)
+                at = children.take(2 * at + right)
+            depth += length.take(at)
         return -np.exp2(-depth / len(self.trees) / _mean_depth(np.array(self.psi)))
 
 
@@ -123,8 +125,8 @@ def fit_forest(df: DataFrame, features: list[str], key: list[str], n: int, limit
     for _, t in nodes.groupby("tree"):
         leaf = (t["feature"] < 0).to_numpy()
         trees.append((
-            np.where(leaf, 0, t["feature"]).astype(np.int32), np.where(leaf, np.inf, t["split"]),
-            t["left"].to_numpy(np.int32), t["right"].to_numpy(np.int32),
+            np.where(leaf, 0, t["feature"]).astype(np.int64), np.where(leaf, np.inf, t["split"]),
+            t[["left", "right"]].to_numpy(np.int64).ravel(),
             t["depth"].to_numpy(float) + np.where(leaf, _mean_depth(t["size"].to_numpy()), 0.0),
         ))
     return Forest(tuple(features), psi, tuple(trees), height)
@@ -170,7 +172,7 @@ def isolation_forest(df: DataFrame, key: Iterable[str] = (), exclude: Iterable[s
     features = list(classify(df, set(exclude) | set(key)).numeric)
     if len(features) < limits.forest_min_columns:
         return IsolationReport(False, f"At least {limits.forest_min_columns} numeric columns are needed.")
-    rows = complete_cases(df.select(*[col(k) for k in key], *[col(f) for f in features]), features)
+    rows = spread(complete_cases(df.select(*[col(k) for k in key], *[col(f) for f in features]), features))
     hashed = F.xxhash64(*[col(k) for k in key]) if key else F.lit(0).cast("bigint")
     n, different = rows.agg(F.count(F.lit(1)), F.hll_sketch_estimate(F.hll_sketch_agg(hashed, SKETCH_LG_K))).first()
     if n < limits.forest_min_rows:
@@ -178,7 +180,7 @@ def isolation_forest(df: DataFrame, key: Iterable[str] = (), exclude: Iterable[s
     # Scores cost a pass through Python and are read several times below.
     drawn_by = key if different >= n * (1 - SKETCH_MARGIN) else []
     scored = materialize(score_rows(rows, fit_forest(rows, features, drawn_by, n, limits)), "scores")
-    threshold = exact_quantiles(scored, [limits.contamination], {"anomaly_score": n})["anomaly_score"][0]
+    threshold = quantile(scored, "anomaly_score", limits.contamination)
     flagged = scored.filter(F.col("anomaly_score") < threshold)
     top = (flagged.orderBy("anomaly_score", *[col(c) for c in [*key, *features]]).limit(limits.forest_top_rows)
            .withColumn("anomaly_score", F.bround("anomaly_score", 3)))

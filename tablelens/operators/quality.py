@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from tablelens.functions.fingerprint import fingerprint
-from tablelens.operators.columnstats import SKETCH_MARGIN, TableStats, table_stats
+from tablelens.operators.columnstats import SKETCH_MARGIN, TableStats, distinct_estimates, table_stats
 from tablelens.operators.frequency import distinct_counts, spelling_groups, value_frequency
 from tablelens.operators.quantiles import exact_quantiles
 from tablelens.schema import as_double, chunks, classify, col, comparable, local_frame, normalize, stack_rows
@@ -105,17 +105,15 @@ class Fence:
 def iqr_fences(df: DataFrame, stats: TableStats, limits: Thresholds = DEFAULTS,
                quartiles: dict[str, list[float | None]] | None = None) -> list[Fence]:
     """Limits of the columns that have enough values and some spread between the quartiles."""
-    counts = {n: stats[n].present for n in classify(df).numeric
-              if n in stats.columns and stats[n].present >= limits.iqr_min_rows}
+    usable = {n: c for n, c in stats.numeric(df).items() if c.present >= limits.iqr_min_rows}
     if quartiles is None:
-        quartiles = exact_quantiles(df, [0.25, 0.75], counts,
-                                    {n: stats[n].distinct_estimate for n in counts})
+        quartiles = exact_quantiles(df, [0.25, 0.75], usable)
     fences = []
-    for name, n in counts.items():
+    for name, c in usable.items():
         q1, q3 = quartiles[name][0], quartiles[name][-1]
         if q3 - q1 != 0:
             reach = limits.iqr_factor * (q3 - q1)
-            fences.append(Fence(name, q1 - reach, q3 + reach, n))
+            fences.append(Fence(name, q1 - reach, q3 + reach, c.present))
     return fences
 
 
@@ -138,7 +136,7 @@ _IQR_SCHEMA = ("column_name string, lower_fence double, upper_fence double, outl
 def iqr_outliers(df: DataFrame, stats: TableStats | None = None, limits: Thresholds = DEFAULTS) -> DataFrame:
     """Columns with values outside the quartile fences, and the share of such values."""
     df = normalize(df)
-    stats = stats or table_stats(df, classify(df).numeric, parse=False)
+    stats = stats or table_stats(df, classify(df).numeric, sketch=False, parse=False)
     fences = iqr_fences(df, stats, limits)
     outside = count_outside(df, fences)
     return local_frame(df, [
@@ -175,10 +173,8 @@ def settled_distinct_counts(df: DataFrame, stats: TableStats, limits: Thresholds
         ratio = c.distinct_estimate / stats.rows if stats.rows else 0.0
         if c.distinct_estimate <= 4 * limits.high_cardinality_min or _near(ratio, limits.id_like_ratio) \
                 or (c.dtype == "string" and _near(ratio, limits.high_cardinality_ratio)):
-            if not c.single_value:
-                doubtful.append(c.name)
+            doubtful.append(c.name)
     counts = {c.name: min(c.distinct_estimate, c.present) for c in stats.columns.values()}
-    counts.update({c.name: min(c.present, 1) for c in stats.columns.values() if c.single_value})
     if doubtful:
         counts.update({r["column_name"]: r["distinct_count"] for r in distinct_counts(df, doubtful).collect()})
     return counts
@@ -221,9 +217,9 @@ def structural_flags(df: DataFrame, stats: TableStats | None = None, limits: Thr
 
 def small_text_columns(df: DataFrame, most: int, stats: TableStats | None = None) -> list[str]:
     """Text columns that may have at most ``most`` distinct values, judged by sketch with a margin."""
-    text = classify(df).text
-    stats = stats or table_stats(df, text, parse=False)
-    return [n for n in text if stats[n].distinct_estimate <= most * (1 + SKETCH_MARGIN) + 1]
+    text = list(classify(df).text)
+    found = {n: stats[n].distinct_estimate for n in text} if stats else distinct_estimates(df, text)
+    return [n for n in text if found[n] <= most * (1 + SKETCH_MARGIN) + 1]
 
 
 def inconsistent_categories(df: DataFrame, stats: TableStats | None = None, limits: Thresholds = DEFAULTS,

@@ -1,93 +1,89 @@
 """Exact, linearly interpolated quantiles of any number of columns at any table size.
 
 ``percentile`` is exact, but its buffer holds every distinct value of the column and ends up in one
-task. It is therefore used only where that buffer is known to be small. Otherwise the wanted order
-statistics are bracketed first: a sketch proposes a value on both sides of the rank, one exact count
-tells where the rank lies, and the open interval between the two is searched next until it holds few
-values. A round is one scan for all columns and shrinks the interval by a factor of more than a
-thousand; values that fill a large part of the table become end points and drop out. No value leaves
-its executor and nothing is sorted.
+task. It is used for small tables only. Otherwise the wanted order statistics are closed in by counting:
+one scan counts the values of all columns in a few thousand equal bins, together with the smallest and
+largest value of each bin; the bin that holds the rank becomes the range of the next scan, until it
+holds one value or few enough to be ordered. A scan is a generated hash aggregation whose shuffle is
+columns times bins rows, whatever the table size, and a value that fills a third of the table costs
+nothing extra. Twelve significant bits are settled per scan, so that two or three scans are typical.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tablelens.operators.columnstats import ColumnStats, table_stats
 from tablelens.schema import as_double, chunks
 from tablelens.thresholds import LIMITS
 
-_ACCURACY = 10_000
-_SLACK = 2.0 / _ACCURACY
+_BINS = 4096
 
 
 @dataclass
-class _Search:
-    """The order statistic ``rank`` of ``column`` lies strictly between ``low`` and ``high``."""
+class _Range:
+    """Values of ``column`` in [low, high]: ``inside`` of them, after ``below`` smaller ones."""
 
     column: str
-    rank: int
-    inside: int                  # values between low and high
-    below: int = 0               # values not above low
-    low: float | None = None     # None: no limit on this side
-    high: float | None = None
-    answer: float | None = None
-
-    def value(self) -> Column:
+    low: float
+    high: float
+    below: int
+    inside: int
+    ranks: set[int] = field(default_factory=set)   # zero-based order statistics wanted from here
+
+    def bin_of(self) -> Column:
+        """Bin number, growing with the value; infinities go to bins of their own. NULL outside."""
         v = as_double(self.column)
-        keep = F.lit(True)
-        if self.low is not None:
-            keep = keep & (v > self.low)
-        if self.high is not None:
-            keep = keep & (v < self.high)
-        return F.when(keep, v)
-
-    def settle(self, a: float, b: float, under: int, at_a: int, between: int, at_b: int) -> None:
-        """Move to the part that holds the rank: (low, a), a, (a, b), b or (b, high)."""
-        k = self.rank - self.below - under
-        if k < 0:
-            self.high, self.inside = a, under
-        elif k < at_a:
-            self.answer = a
-        elif k < at_a + between:
-            self.low, self.high, self.below, self.inside = a, b, self.below + under + at_a, between
-        elif k < at_a + between + at_b:
-            self.answer = b
-        else:
-            passed = under + at_a + between + at_b
-            self.low, self.below, self.inside = b, self.below + passed, self.inside - passed
-
-
-def _narrow(df: DataFrame, searches: list[_Search]) -> None:
-    guesses = df.agg(*[
-        F.percentile_approx(s.value(), [
-            max((s.rank - s.below) / s.inside - _SLACK, 0.0),
-            min((s.rank - s.below) / s.inside + _SLACK, 1.0),
-        ], _ACCURACY) for s in searches
-    ]).first()
-    wanted = []
-    for s, (a, b) in zip(searches, guesses):
-        v = s.value()
-        wanted += [F.count_if(v < a), F.count_if(v == a), F.count_if((v > a) & (v < b)),
-                   F.count_if(v == b) if b > a else F.lit(0)]
-    counts = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(wanted)]).first()
-    for i, (s, (a, b)) in enumerate(zip(searches, guesses)):
-        s.settle(a, b, *counts[4 * i:4 * i + 4])
-
-
-def _finish(df: DataFrame, searches: list[_Search]) -> None:
-    """Read the order statistic out of an interval that holds few values."""
-    for block in chunks(searches, LIMITS.columns_per_job):
-        row = df.select(*[s.value().alias(f"v{i}") for i, s in enumerate(block)]).agg(*[
-            F.expr(f"percentile_disc({(s.rank - s.below + 0.5) / s.inside!r}D) "
-                   f"WITHIN GROUP (ORDER BY v{i})").alias(f"q{i}")
-            for i, s in enumerate(block)
-        ]).first()
-        for s, value in zip(block, row):
-            s.answer = value
+        low, high = (b if math.isfinite(b) else math.copysign(1.7e308, b) for b in (self.low, self.high))
+        # Halved before subtracting: the distance of two doubles may exceed the largest double.
+        place = F.floor((v / 2 - low / 2) / F.lit(high / 2 - low / 2) * _BINS)
+        finite = F.greatest(F.lit(0), F.least(place, F.lit(_BINS - 1))).cast("int")
+        kept = (F.when(v == float("inf"), F.lit(_BINS)).when(v == float("-inf"), F.lit(-1)).otherwise(finite)
+                if math.isinf(self.low) or math.isinf(self.high) else finite)
+        return F.when(v.between(self.low, self.high), kept)
+
+
+def _cells(df: DataFrame, ranges: list[_Range]) -> DataFrame:
+    """``(r, bin, v)``: every value once for each range that holds it."""
+    return df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("r"), r.bin_of().alias("bin"), as_double(r.column).alias("v"))
+        for i, r in enumerate(ranges)
+    ])).alias("c")).select("c.r", "c.bin", "c.v").filter("bin IS NOT NULL")
+
+
+def _split(df: DataFrame, ranges: list[_Range]) -> list[_Range]:
+    """The bins that hold the wanted ranks, as the next ranges."""
+    counted = (_cells(df, ranges).groupBy("r", "bin")
+               .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")))
+    order = Window.partitionBy("r").orderBy("bin")
+    running = counted.withColumn("upto", F.sum("n").over(order))
+    wanted = reduce(lambda a, b: a | b, [
+        (F.col("r") == i) & (F.col("upto") > k - r.below) & (F.col("upto") - F.col("n") <= k - r.below)
+        for i, r in enumerate(ranges) for k in r.ranks])
+    found = []
+    for row in running.filter(wanted).collect():
+        r = ranges[row["r"]]
+        below = r.below + row["upto"] - row["n"]
+        found.append(_Range(r.column, row["low"], row["high"], below, row["n"],
+                            {k for k in r.ranks if below <= k < below + row["n"]}))
+    return found
+
+
+def _order(df: DataFrame, ranges: list[_Range]) -> dict[tuple[str, int], float]:
+    """Read the wanted values out of ranges with few values each."""
+    counted = _cells(df, ranges).groupBy("r", "v").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("r").orderBy("v")
+    running = counted.withColumn("upto", F.sum("n").over(order))
+    wanted = F.array(*[F.array(*[F.lit(k - r.below) for k in sorted(r.ranks)]) for r in ranges])
+    hits = running.select("r", "v", F.explode(F.filter(
+        F.element_at(wanted, F.col("r") + 1),
+        lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("n")))).alias("k"))
+    return {(ranges[h["r"]].column, h["k"] + ranges[h["r"]].below): h["v"] for h in hits.collect()}
 
 
 def _direct(df: DataFrame, names: list[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
@@ -101,36 +97,37 @@ def _direct(df: DataFrame, names: list[str], probs: Sequence[float]) -> dict[str
     return found
 
 
-def exact_quantiles(df: DataFrame, probs: Sequence[float], counts: Mapping[str, int],
-                    distinct: Mapping[str, int] | None = None, *,
-                    buffer: int | None = None) -> dict[str, list[float | None]]:
-    """Quantiles per column. ``counts``: values per column; ``distinct``: estimates that bound buffers."""
+def exact_quantiles(df: DataFrame, probs: Sequence[float], stats: Mapping[str, ColumnStats], *,
+                    buffer: int | None = None, direct: int | None = None) -> dict[str, list[float | None]]:
+    """Quantiles of the columns in ``stats``, which gives their counts and extreme values."""
     buffer = buffer or LIMITS.quantile_buffer
-    distinct = distinct or {}
-    small, searches = [], {}
-    for name, n in counts.items():
-        if min(n, math.ceil((distinct.get(name) or n) * 1.1)) <= buffer:
-            small.append(name)
-            continue
-        for p in probs:
-            for rank in {math.floor(p * (n - 1)), math.ceil(p * (n - 1))}:
-                searches[name, rank] = _Search(name, rank, n)
+    direct = LIMITS.direct_quantile_rows if direct is None else direct
+    small = [n for n, c in stats.items() if c.present <= direct]
     found = _direct(df, small, probs) if small else {}
 
-    while wide := [s for s in searches.values() if s.answer is None and s.inside > buffer]:
-        for block in chunks(wide, LIMITS.columns_per_job):
-            _narrow(df, block)
-    _finish(df, [s for s in searches.values() if s.answer is None])
-    for name in counts:
+    answers: dict[tuple[str, int], float] = {}
+    open_ = [
+        _Range(n, c.low, c.high, 0, c.present,
+               {f(p * (c.present - 1)) for p in probs for f in (math.floor, math.ceil)})
+        for n, c in stats.items() if n not in found]
+    while open_:
+        for r in [r for r in open_ if r.low == r.high]:
+            answers.update({(r.column, k): r.low for k in r.ranks})
+        open_ = [r for r in open_ if r.low != r.high]
+        for block in chunks([r for r in open_ if r.inside <= buffer], LIMITS.columns_per_job):
+            answers.update(_order(df, block))
+        open_ = [s for block in chunks([r for r in open_ if r.inside > buffer], LIMITS.columns_per_job)
+                 for s in _split(df, block)]
+    for name, c in stats.items():
         if name not in found:
-            at = [p * (counts[name] - 1) for p in probs]
-            ends = [(searches[name, math.floor(r)].answer, searches[name, math.ceil(r)].answer) for r in at]
+            at = [p * (c.present - 1) for p in probs]
+            ends = [(answers[name, math.floor(r)], answers[name, math.ceil(r)]) for r in at]
             found[name] = [lo + (hi - lo) * (r - math.floor(r)) if hi > lo else lo
                            for r, (lo, hi) in zip(at, ends)]
     return found
 
 
 def quantile(df: DataFrame, name: str, prob: float) -> float | None:
-    """One exact quantile of one column."""
-    n = df.agg(F.count(as_double(name)).alias("n")).first()["n"]
-    return exact_quantiles(df, [prob], {name: n})[name][0] if n else None
+    """One exact quantile of one numeric column."""
+    stats = table_stats(df, [name], sketch=False, parse=False)
+    return exact_quantiles(df, [prob], stats.columns)[name][0] if stats[name].present else None

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from tablelens.functions.parse import strip
 from tablelens.schema import col, normalize
 
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
 
 def complete_cases(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Rows in which every one of ``columns`` has a value."""
@@ -20,7 +22,7 @@ def complete_cases(df: DataFrame, columns: Iterable[str] | None = None) -> DataF
 
 def marked_lines(df: DataFrame, key: str, text: str, marker: str = "INSIGHT: ") -> DataFrame:
     """``(key, line_no, line)``: lines that begin with ``marker`` once stripped, without the marker."""
-    lines = df.select(col(key), F.posexplode(F.split(col(text), r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]")).alias("line_no", "line"))
+    lines = df.select(col(key), F.posexplode(F.split(col(text), LINE_ENDS)).alias("line_no", "line"))
     stripped = strip(F.col("line"))
     return (lines.withColumn("line", stripped).filter(F.startswith(F.col("line"), F.lit(marker)))
             .withColumn("line", strip(F.substring(F.col("line"), F.lit(len(marker) + 1), F.length("line")))))

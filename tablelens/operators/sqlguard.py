@@ -23,25 +23,30 @@ def _without_comments(sql: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(sql, r"--[^\n]*(?:\n|\z)", " "), r"(?s)/\*.*?\*/", " "))
 
 
-def audit_sql(sql: Column) -> Column:
-    """``struct(safe, violations)`` for a column of query texts; part of whole-stage code generation."""
-    text = _without_comments(F.coalesce(sql, F.lit("")))
-    statements = F.size(F.filter(F.split(text, ";"), lambda s: strip(s) != ""))
-    first = F.upper(F.regexp_extract(text, r"^(\w+)", 1))
-    found = F.array_compact(F.array(*[
-        F.when(text.rlike(rf"(?i)\b{w}\b"), F.lit(w)) for w in BANNED_WORDS]))
+def audit_queries(df: DataFrame, text: str) -> DataFrame:
+    """Add ``safe`` and ``violations`` to a log of query texts. A projection without shuffle.
+
+    Intermediate values are columns of their own, so that each pattern runs once per text.
+    """
+    words = "|".join(BANNED_WORDS)
+    bare, first, found = F.col("_bare"), F.col("_first"), F.col("_found")
+    statements = F.size(F.filter(F.split(bare, ";"), lambda s: strip(s) != ""))
     problems = F.array_compact(F.array(
-        F.when(statements != 1, F.concat(F.lit("one statement expected, found "), statements.cast("string"))),
-        F.when(~first.isin("SELECT", "WITH"), F.concat(F.lit("starts with '"), first, F.lit("' instead of SELECT or WITH"))),
+        F.when(F.col("_statements") != 1,
+               F.concat(F.lit("one statement expected, found "), F.col("_statements").cast("string"))),
+        F.when(~first.isin("SELECT", "WITH"),
+               F.concat(F.lit("starts with '"), first, F.lit("' instead of SELECT or WITH"))),
         F.when(F.size(found) > 0, F.concat(F.lit("banned words: "), F.array_join(found, ", "))),
     ))
-    violations = F.when(text == "", F.array(F.lit("empty query"))).otherwise(problems)
-    return F.struct((F.size(violations) == 0).alias("safe"), violations.alias("violations"))
-
-
-def audit_queries(df: DataFrame, text: str) -> DataFrame:
-    """Add ``safe`` and ``violations`` to a log of query texts."""
-    return df.withColumn("_audit", audit_sql(F.col(text))).select("*", "_audit.safe", "_audit.violations").drop("_audit")
+    return (df.withColumn("_bare", _without_comments(F.coalesce(F.col(text), F.lit(""))))
+            .withColumns({
+                "_statements": statements, "_first": F.upper(F.regexp_extract(bare, r"^(\w+)", 1)),
+                "_found": F.array_sort(F.array_distinct(F.transform(
+                    F.regexp_extract_all(bare, F.lit(rf"(?i)\b(?:{words})\b"), F.lit(0)), F.upper))),
+            })
+            .withColumn("violations", F.when(bare == "", F.array(F.lit("empty query"))).otherwise(problems))
+            .withColumn("safe", F.size("violations") == 0)
+            .select(*df.columns, "safe", "violations"))
 
 
 @dataclass
@@ -60,10 +65,9 @@ def register_table(df: DataFrame, name: str = "data") -> None:
 
 
 def _violations(spark: SparkSession, sql: str) -> list[str]:
-    text = F.lit(sql)
-    row = spark.range(1).select(audit_sql(text).alias("a"),
-                                _without_comments(text).rlike(_METHOD_CALLS).alias("calls")).first()
-    return list(row["a"]["violations"]) + (["calls a JVM method"] if row["calls"] else [])
+    one = spark.range(1).select(F.lit(sql).alias("sql"), _without_comments(F.lit(sql)).rlike(_METHOD_CALLS).alias("calls"))
+    row = audit_queries(one, "sql").first()
+    return list(row["violations"]) + (["calls a JVM method"] if row["calls"] else [])
 
 
 def query_readonly(tables: DataFrame | Mapping[str, DataFrame], sql: str) -> QueryResult:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablelens.operators import anomalies, chartdata, cleaning, eda, forecast, hypothesis, isolation, quality
 from tablelens.operators.columnstats import TableStats, table_stats
 from tablelens.operators.quantiles import exact_quantiles
-from tablelens.schema import classify, local_frame, normalize
+from tablelens.schema import local_frame, normalize, spread
 from tablelens.thresholds import DEFAULTS, Thresholds
 
 REPORT_SCHEMA = ("report string, section string, column_name string, item string, metric string, "
@@ -62,7 +62,7 @@ class Analysis:
         self.df = normalize(self.source)
         if self.keep:
             # Spills to local disks and is recomputed from the source if an executor is lost.
-            self.df = self.df.persist()
+            self.df = spread(self.df).persist()
 
     def close(self) -> None:
         if self.keep:
@@ -79,9 +79,7 @@ class Analysis:
 
     @cached_property
     def quantiles(self) -> dict[str, list[float | None]]:
-        counts = {n: self.stats[n].present for n in classify(self.df).numeric if self.stats[n].present}
-        return exact_quantiles(self.df, [0.25, 0.5, 0.75], counts,
-                               {n: self.stats[n].distinct_estimate for n in counts})
+        return exact_quantiles(self.df, [0.25, 0.5, 0.75], self.stats.numeric(self.df))
 
     @cached_property
     def quality(self) -> quality.QualityReport:

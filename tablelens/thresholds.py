@@ -44,12 +44,12 @@ class Thresholds:
 class Limits:
     """Sizes up to which a simpler physical strategy is used. No result depends on them."""
 
-    # Distinct values one `percentile` buffer may hold; beyond it ranks are bracketed first.
-    quantile_buffer: int = 1_000_000
+    # Values per column up to which `percentile` may collect a column in one buffer.
+    direct_quantile_rows: int = 20_000
+    # Values of one range that may be put in order inside one task; larger ranges are split first.
+    quantile_buffer: int = 100_000
     # Aggregate expressions are spread over several jobs beyond this many columns each.
     columns_per_job: int = 60
-    # Correlation pairs computed by JVM aggregates; beyond it per-partition matrix products.
-    jvm_correlation_columns: int = 16
     # Rows of a lookup table that may be broadcast.
     broadcast_rows: int = 100_000
     # Points of one series fitted inside one task; longer series are cut into fragments.

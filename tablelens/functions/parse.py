@@ -17,11 +17,15 @@ INTEGER = r"^\s*[+-]?\d{1,19}\s*$"
 BOOLEAN = r"^(?:True|TRUE|true|False|FALSE|false)$"
 
 _CLOCK = r"(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?)?"
-_ISO = rf"^\d{{4}}(?:[-/]\d{{1,2}}(?:[-/]\d{{1,2}}{_CLOCK})?)?$"
-_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
-_NUMERIC_DATE = rf"^(\d{{1,2}})[/.-](\d{{1,2}})[/.-](\d{{4}})({_CLOCK})$"
-_MONTH_FIRST = r"^([A-Za-z]{3,9})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})$"
-_DAY_FIRST = r"^(\d{1,2})(?:st|nd|rd|th)?[ -]([A-Za-z]{3,9})[ -,]+(\d{4})$"
+_MONTH = (r"(?i)(?=(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?"
+          r"|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b)([a-z]{3})[a-z]*")
+_DATE_START = r"^\s*(?:\d{1,4}[-/. ]|\d{4}\s*$|\d{8}\s*$|\d{1,2}(?:st|nd|rd|th) |[A-Za-z]{3,9}\.? \d)"
+_ISO = rf"^\s*\d{{4}}(?:-\d{{1,2}}(?:-\d{{1,2}}{_CLOCK})?)?\s*$"
+_SLASHED = rf"^\s*(\d{{4}})/(\d{{1,2}})/(\d{{1,2}}{_CLOCK})\s*$"
+_COMPACT = r"^\s*(\d{4})(\d{2})(\d{2})\s*$"
+_NUMERIC_DATE = rf"^\s*(\d{{1,2}})[/.-](\d{{1,2}})[/.-](\d{{4}})({_CLOCK})\s*$"
+_MONTH_FIRST = rf"^\s*{_MONTH}\.? (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})\s*$"
+_DAY_FIRST = rf"^\s*(\d{{1,2}})(?:st|nd|rd|th)?[ -]{_MONTH}[ ,-]+(\d{{4}})\s*$"
 
 
 def strip(c: Column) -> Column:
@@ -47,37 +51,28 @@ def _ntz(c: Column) -> Column:
     return c.try_cast("timestamp_ntz")
 
 
+def _rewrite(c: Column, pattern: str, form: str) -> Column:
+    return F.regexp_replace(c, pattern, form).try_cast("timestamp_ntz")
+
+
+def _named(c: Column, pattern: str, form: str) -> Column:
+    return F.try_to_timestamp(F.regexp_replace(c, pattern, form), F.lit("MMM d yyyy")).cast("timestamp_ntz")
+
+
 def parse_timestamp(c: Column) -> Column:
     """Dates in mixed notations as TIMESTAMP_NTZ.
 
-    Each notation is recognised by a pattern first and then rewritten to ISO form, so that a value
-    of another shape never reaches a parser that throws. Ambiguous day/month pairs are read month
-    first and day first only where that fails. Bare clock times and words such as "now" are not
-    dates, since their value would depend on the day of the run.
+    Each notation is recognised by a pattern first and then rewritten to ISO form, so that a value of
+    another shape never reaches a parser that throws; one short pattern turns most other texts away.
+    Ambiguous day/month pairs are read month first and day first only where that fails. Bare clock times
+    and words such as "now" are not dates, since their value would depend on the day of the run.
     """
-    s = F.when(F.length(strip(c)) <= 64, strip(c))   # no notation is longer
-    month_day = F.regexp_replace(s, _NUMERIC_DATE, "$3-$1-$2$4")
-    day_month = F.regexp_replace(s, _NUMERIC_DATE, "$3-$2-$1$4")
-    named_md = F.concat_ws(" ", *[F.regexp_extract(s, _MONTH_FIRST, i) for i in (1, 2, 3)])
-    named_dm = F.concat_ws(" ", *[F.regexp_extract(s, _DAY_FIRST, i) for i in (2, 1, 3)])
-    return (
-        F.when(s.rlike(_ISO), _ntz(F.replace(s, F.lit("/"), F.lit("-"))))
-        .when(s.rlike(_COMPACT), _ntz(F.regexp_replace(s, _COMPACT, "$1-$2-$3")))
-        .when(s.rlike(_NUMERIC_DATE), F.coalesce(_ntz(month_day), _ntz(day_month)))
-        .when(s.rlike(_MONTH_FIRST), _named_month(named_md))
-        .when(s.rlike(_DAY_FIRST), _named_month(named_dm))
-    )
-
-
-def _named_month(c: Column) -> Column:
-    """``Jan 5 2024`` or ``January 5 2024``."""
-    month = F.initcap(F.substring_index(c, " ", 1))
-    text = F.concat_ws(" ", F.substring(month, 1, 3), F.substring_index(c, " ", -2))
-    full = F.date_format(_first_of(month), "MMMM")
-    known = (F.length(month) == 3) | (month == full) | (month == "Sept")
-    return F.when(known, F.try_to_timestamp(text, F.lit("MMM d yyyy")).cast("timestamp_ntz"))
-
-
-def _first_of(month: Column) -> Column:
-    return F.try_to_timestamp(
-        F.concat(F.substring(month, 1, 3), F.lit(" 1 2000")), F.lit("MMM d yyyy"))
+    return F.when(c.rlike(_DATE_START), (
+        F.when(c.rlike(_ISO), c.try_cast("timestamp_ntz"))
+        .when(c.rlike(_SLASHED), _rewrite(c, _SLASHED, "$1-$2-$3"))
+        .when(c.rlike(_COMPACT), _rewrite(c, _COMPACT, "$1-$2-$3"))
+        .when(c.rlike(_NUMERIC_DATE), F.coalesce(_rewrite(c, _NUMERIC_DATE, "$3-$1-$2$4"),
+                                                 _rewrite(c, _NUMERIC_DATE, "$3-$2-$1$4")))
+        .when(c.rlike(_MONTH_FIRST), _named(c, _MONTH_FIRST, "$1 $2 $3"))
+        .when(c.rlike(_DAY_FIRST), _named(c, _DAY_FIRST, "$2 $1 $3"))
+    ))

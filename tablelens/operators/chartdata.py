@@ -51,7 +51,8 @@ def histogram(df: DataFrame, columns: Iterable[str] | None = None, stats: TableS
         width = (high - low) / bins
         edges += [(n, i, low + i * width, high if i == bins - 1 else low + (i + 1) * width) for i in range(bins)]
         v = as_double(n)
-        at = F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+        # `least` passes over NULL, so missing values need a condition of their own.
+        at = F.when(v.isNotNull(), F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int"))
         cells.append(F.struct(F.lit(n).alias("column_name"), at.alias("bin")))
     counted = (df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter("bin IS NOT NULL")
                .groupBy("column_name", "bin").agg(F.count(F.lit(1)).alias("n")))

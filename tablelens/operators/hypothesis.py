@@ -65,38 +65,41 @@ def _infinite_unless_equal(difference: Column) -> Column:
     return F.when(difference > 0, F.lit(float("inf"))).when(difference < 0, F.lit(float("-inf")))
 
 
-def welch_t(moments: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
-    """``statistic`` and ``df1`` for the pairs that have exactly two usable groups."""
-    a, b = F.col("g")[0], F.col("g")[1]
-    va, vb = a["variance"] / a["n"], b["variance"] / b["n"]
-    gap = a["mean"] - b["mean"]
-    return _groups(moments, limits).filter("groups_compared = 2").select(
-        "categorical_column", "numeric_column", F.lit(T_TEST).alias("test"), "groups_compared", "g",
-        F.when(va + vb == 0, _infinite_unless_equal(gap)).otherwise(
-            F.try_divide(gap, F.sqrt(va + vb))).alias("statistic"),
-        F.coalesce(F.try_divide((va + vb) * (va + vb), va * va / (a["n"] - 1) + vb * vb / (b["n"] - 1)),
-                   F.lit(1.0)).alias("df1"),
-        F.lit(None).cast("double").alias("df2"))
-
-
 def _total(term) -> Column:
     return F.aggregate("g", F.lit(0.0), lambda acc, x: acc + term(x))
 
 
-def anova_f(moments: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
-    """``statistic``, ``df1`` and ``df2`` for the pairs that have three to six usable groups."""
+def test_statistics(moments: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
+    """``test``, ``statistic``, ``df1`` and ``df2`` of every pair with two to six usable groups."""
     k, n = F.col("groups_compared"), F.col("n_all")
     between, within = F.col("between"), F.col("within")
-    return (_groups(moments, limits)
-            .filter(F.col("groups_compared").between(limits.min_groups + 1, limits.max_groups))
+    a, b = F.get("g", F.lit(0)), F.get("g", F.lit(1))
+    va, vb = a["variance"] / a["n"], b["variance"] / b["n"]
+    gap = a["mean"] - b["mean"]
+    t = F.when(va + vb == 0, _infinite_unless_equal(gap)).otherwise(F.try_divide(gap, F.sqrt(va + vb)))
+    t_df = F.coalesce(F.try_divide((va + vb) * (va + vb), va * va / (a["n"] - 1) + vb * vb / (b["n"] - 1)), F.lit(1.0))
+    f = F.when(within == 0, _infinite_unless_equal(between)).otherwise(
+        F.try_divide(between / (k - 1), within / (n - k)))
+    two = k == 2
+    return (_groups(moments, limits).filter(k.between(limits.min_groups, limits.max_groups))
             .withColumn("n_all", _total(lambda x: x["n"].cast("double")))
             .withColumn("grand", _total(lambda x: x["n"] * x["mean"]) / n)
             .withColumn("between", _total(lambda x: x["n"] * F.pow(x["mean"] - F.col("grand"), 2)))
             .withColumn("within", _total(lambda x: (x["n"] - 1) * x["variance"]))
-            .select("categorical_column", "numeric_column", F.lit(ANOVA).alias("test"), "groups_compared", "g",
-                    F.when(within == 0, _infinite_unless_equal(between)).otherwise(
-                        F.try_divide(between / (k - 1), within / (n - k))).alias("statistic"),
-                    (k - 1).cast("double").alias("df1"), (n - k).alias("df2")))
+            .select("categorical_column", "numeric_column", F.when(two, T_TEST).otherwise(ANOVA).alias("test"),
+                    "groups_compared", "g", F.when(two, t).otherwise(f).alias("statistic"),
+                    F.when(two, t_df).otherwise((k - 1).cast("double")).alias("df1"),
+                    F.when(~two, n - k).alias("df2")))
+
+
+def welch_t(moments: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
+    """The pairs that have exactly two usable groups."""
+    return test_statistics(moments, limits).filter(F.col("test") == T_TEST)
+
+
+def anova_f(moments: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
+    """The pairs that have three to six usable groups."""
+    return test_statistics(moments, limits).filter(F.col("test") == ANOVA)
 
 
 def hypothesis_tests(df: DataFrame, exclude: Iterable[str] = (), stats: TableStats | None = None,
@@ -106,9 +109,8 @@ def hypothesis_tests(df: DataFrame, exclude: Iterable[str] = (), stats: TableSta
     if moments is None:
         moments = group_moments(df, grouping_columns(df, exclude, stats, limits),
                                 list(classify(df, exclude).numeric))
-    tests = welch_t(moments, limits).unionByName(anova_f(moments, limits))
     p = F.col("p")
-    return (tests.withColumn("p", p_value("statistic", "df1", "df2")).filter(p.isNotNull() & ~F.isnan(p))
+    return (test_statistics(moments, limits).withColumn("p", p_value("statistic", "df1", "df2")).filter(p.isNotNull() & ~F.isnan(p))
             .select("categorical_column", "numeric_column", "test", "groups_compared",
                     F.map_from_entries(F.transform("g", lambda x: F.struct(
                         x["category"], F.bround(x["mean"], 2)))).alias("group_means"),

@@ -40,8 +40,9 @@ class _Range:
         """Bin number, growing with the value; infinities go to bins of their own. NULL outside."""
         v = as_double(self.column)
         low, high = (b if math.isfinite(b) else math.copysign(1.7e308, b) for b in (self.low, self.high))
-        # Halved before subtracting: the distance of two doubles may exceed the largest double.
-        place = F.floor((v / 2 - low / 2) / F.lit(high / 2 - low / 2) * _BINS)
+        # The distance of two doubles may exceed the largest double; halved it does not.
+        scale = 1.0 if math.isfinite(high - low) else 0.5
+        place = F.floor((v * scale - low * scale) / F.lit(high * scale - low * scale) * _BINS)
         finite = F.greatest(F.lit(0), F.least(place, F.lit(_BINS - 1))).cast("int")
         kept = (F.when(v == float("inf"), F.lit(_BINS)).when(v == float("-inf"), F.lit(-1)).otherwise(finite)
                 if math.isinf(self.low) or math.isinf(self.high) else finite)

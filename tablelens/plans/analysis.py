@@ -119,7 +119,8 @@ class Analysis:
 
     @cached_property
     def tests(self) -> DataFrame:
-        return hypothesis.hypothesis_tests(self.df, self.constant, self.stats, self.limits)
+        # A few rows, read by the summary and by the ranking.
+        return hypothesis.hypothesis_tests(self.df, self.constant, self.stats, self.limits).persist()
 
     @cached_property
     def suggestions(self) -> list[cleaning.Action]:

@@ -10,10 +10,9 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablelens.sources.readers import _unreadable, infer_types, require_rows
+from tablelens.sources.readers import READ_ERRORS, _unreadable, infer_types, require_rows
 
 _CELLS = "path string, row_no int, cells array<string>, error string"
 _EPOCH = dt.datetime(1899, 12, 30)
@@ -123,7 +122,7 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
     try:
         cells = workbook_cells(spark, path)
         heads = cells.filter("row_no <= 0").select("cells", "error").distinct().limit(2).collect()
-    except PySparkException as e:
+    except READ_ERRORS as e:
         raise _unreadable(path, "Excel", e) from e
     if any(h["error"] for h in heads):
         raise ValueError(f"Could not read {path} as Excel: {next(h['error'] for h in heads if h['error'])}")

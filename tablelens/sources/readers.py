@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,6 +12,8 @@ from tablelens.functions.parse import BOOLEAN, INTEGER, null_tokens_to_null, par
 from tablelens.schema import chunks, classify, col
 from tablelens.thresholds import LIMITS
 
+# A failed task reaches the driver as the one, a failed plan as the other.
+READ_ERRORS = (PySparkException, Py4JJavaError)
 SUPPORTED = (".csv", ".json", ".parquet", ".xls", ".xlsx")
 
 
@@ -76,7 +79,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         raw = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
                .option("multiLine", probe["open_quotes"]).option("mode", "PERMISSIVE")
                .option("encoding", "UTF-8" if probe["utf8"] else "ISO-8859-1").csv(path))
-    except PySparkException as e:
+    except READ_ERRORS as e:
         raise _unreadable(path, "CSV", e) from e
     return infer_types(require_rows(raw, path))
 
@@ -94,7 +97,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
         else:
             df = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
         return require_rows(df, path)
-    except PySparkException as e:
+    except READ_ERRORS as e:
         raise _unreadable(path, "JSON", e) from e
 
 
@@ -123,7 +126,7 @@ def _column_objects(spark: SparkSession, path: str) -> DataFrame:
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     try:
         return require_rows(spark.read.parquet(path), path)
-    except PySparkException as e:
+    except READ_ERRORS as e:
         raise _unreadable(path, "Parquet", e) from e
 
 
@@ -131,7 +134,7 @@ def _unreadable(path: str, kind: str, error: Exception) -> Exception:
     text = str(error)
     if "PATH_NOT_FOUND" in text:
         return FileNotFoundError(f"No file found at {path}.")
-    return ValueError(f"Could not read {path} as {kind}: {text.splitlines()[0]}")
+    return ValueError(f"Could not read {path} as {kind}: {' '.join(text.split())[:300]}")
 
 
 def load_data_file(spark: SparkSession, path: str) -> DataFrame:

@@ -21,7 +21,8 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 
 def bundle(spark: SparkSession, sf_dir: str):
     """All reports of lineitem, the figure to compare with a single-machine run."""
-    return analyze(table(spark, sf_dir, "lineitem"), key=("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))[0]
+    return analyze(table(spark, sf_dir, "lineitem"), key=("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"),
+                   keep=True, partitions=int(CPUS))[0]
 
 
 def main() -> None:

@@ -267,6 +267,12 @@ def oracles() -> dict[str, str]:
               ON a.numeric_column = b.numeric_column AND a.category < b.category""",
         "anova_f": cte("order_lines") + " SELECT categorical_column, numeric_column, groups_compared, "
                    f"round_even(statistic, 4) AS statistic, df1, df2 FROM ({anova('order_lines')})",
+        # The upper tail of F has a closed form for the even numerator degrees of freedom found here.
+        "hypothesis_sweep": cte("order_lines") + f"""
+            SELECT categorical_column, numeric_column, 'one-way ANOVA' AS test, groups_compared,
+                   round_even(statistic, 3) AS statistic, round_even(p, 4) AS p_value, p < 0.05 AS likely_significant
+            FROM (SELECT *, CASE df1 WHEN 2 THEN pow(x, df2 / 2) WHEN 4 THEN pow(x, df2 / 2) * (1 + df2 / 2 * (1 - x)) END AS p
+                  FROM (SELECT *, df2 / (df2 + df1 * statistic) AS x FROM ({anova('order_lines')})))""",
         "cleaning_suggestions": cte("dirty_status") + """
             SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS seq, type, column_name, auto_applied FROM (
                 SELECT 1 AS k, 'fill_missing_numeric' AS type, 'price_band' AS column_name, true AS auto_applied, count(*) AS n

@@ -71,14 +71,18 @@ def _column_aggregates(df: DataFrame, i: int, name: str, kinds, parse: bool) ->
 
 
 def distinct_estimates(df: DataFrame, names: list[str]) -> dict[str, int]:
-    """Distinct values per column by sketch: no shuffle beyond one sketch per task and column."""
+    """Distinct values per column by sketch: one sketch per task and column is shuffled, no data.
+
+    The sketches of many tasks are merged in two levels, since hundreds of thousands of them would
+    otherwise meet in one task.
+    """
     found: dict[str, int] = {}
     for block in chunks(names, LIMITS.columns_per_job):
         cells = [comparable(df, n) for n in block]
-        row = df.agg(*[
-            F.hll_sketch_estimate(F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), SKETCH_LG_K)).alias(f"d{i}")
-            for i, c in enumerate(cells)
-        ]).first()
+        merged = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(LIMITS.merge_tasks)).alias("_part")).agg(*[
+            F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), SKETCH_LG_K).alias(f"d{i}")
+            for i, c in enumerate(cells)])
+        row = merged.agg(*[F.hll_sketch_estimate(F.hll_union_agg(f"d{i}")) for i in range(len(block))]).first()
         found.update({n: d or 0 for n, d in zip(block, row)})
     return found
 

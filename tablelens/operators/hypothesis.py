@@ -53,9 +53,16 @@ def group_moments(df: DataFrame, categorical: list[str], numeric: list[str]) ->
 
 
 def _groups(moments: DataFrame, limits: Thresholds) -> DataFrame:
-    """One row per pair of columns with its usable groups in order of the category (at most six)."""
-    return (moments.filter(F.col("n") >= limits.min_group_size)
-            .groupBy("categorical_column", "numeric_column")
+    """One row per pair of columns with its usable groups in order of the category.
+
+    Pairs with more groups than a test takes leave by their count, before any groups are gathered. The
+    counts have one row per pair of columns, a bound that does not grow with the data.
+    """
+    pair = ["categorical_column", "numeric_column"]
+    usable = moments.filter(F.col("n") >= limits.min_group_size)
+    few = usable.groupBy(*pair).agg(F.count(F.lit(1)).alias("groups")).filter(
+        F.col("groups").between(limits.min_groups, limits.max_groups))
+    return (usable.join(F.broadcast(few.select(*pair)), pair, "left_semi").groupBy(*pair)
             .agg(F.array_sort(F.collect_list(F.struct("category", "n", "mean", "variance"))).alias("g"))
             .withColumn("groups_compared", F.size("g")))
 
@@ -81,7 +88,7 @@ def test_statistics(moments: DataFrame, limits: Thresholds = DEFAULTS) -> DataFr
     f = F.when(within == 0, _infinite_unless_equal(between)).otherwise(
         F.try_divide(between / (k - 1), within / (n - k)))
     two = k == 2
-    return (_groups(moments, limits).filter(k.between(limits.min_groups, limits.max_groups))
+    return (_groups(moments, limits)
             .withColumn("n_all", _total(lambda x: x["n"].cast("double")))
             .withColumn("grand", _total(lambda x: x["n"] * x["mean"]) / n)
             .withColumn("between", _total(lambda x: x["n"] * F.pow(x["mean"] - F.col("grand"), 2)))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablelens.operators import anomalies, chartdata, cleaning, eda, forecast, hypothesis, isolation, quality
 from tablelens.operators.columnstats import TableStats, table_stats
 from tablelens.operators.quantiles import exact_quantiles
-from tablelens.schema import local_frame, normalize, spread
+from tablelens.schema import local_frame, normalize
 from tablelens.thresholds import DEFAULTS, Thresholds
 
 REPORT_SCHEMA = ("report string, section string, column_name string, item string, metric string, "
@@ -49,24 +49,33 @@ class Analysis:
 
     ``key`` names columns that identify a row. Which columns a report leaves out differs: constant and
     identifier-like ones for categories and anomalies, constant ones only for tests and forecasts.
+
+    Each job reads only the columns it needs, so a columnar source is best read again. ``keep=True``
+    caches the table instead, for sources that are slow to parse or to compute and fit the cluster;
+    ``partitions`` splits small inputs that come in fewer pieces than there are cores.
     """
 
     source: DataFrame
     key: tuple[str, ...] = ()
     series_keys: tuple[str, ...] = ()
     limits: Thresholds = DEFAULTS
-    keep: bool = True
+    keep: bool = False
+    partitions: int | None = None
     extra: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.df = normalize(self.source)
+        if self.partitions:
+            self.df = self.df.repartition(self.partitions)
         if self.keep:
             # Spills to local disks and is recomputed from the source if an executor is lost.
-            self.df = spread(self.df).persist()
+            self.df = self.df.persist()
 
     def close(self) -> None:
         if self.keep:
             self.df.unpersist()
+        if "tests" in self.__dict__:
+            self.tests.unpersist()
 
     def add_step(self, name: str, run: Callable[[DataFrame], DataFrame]) -> Analysis:
         """Add a computation of one's own; it gets the table and must return a DataFrame."""
@@ -254,9 +263,10 @@ class _NotRun(Exception):
 
 
 def analyze(df: DataFrame, key: Iterable[str] = (), series_keys: Iterable[str] = (),
-            limits: Thresholds = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+            limits: Thresholds = DEFAULTS, keep: bool = False, partitions: int | None = None) \
+        -> tuple[DataFrame, DataFrame]:
     """All reports of ``df`` in long form and the status of each."""
-    analysis = Analysis(df, tuple(key), tuple(series_keys), limits)
+    analysis = Analysis(df, tuple(key), tuple(series_keys), limits, keep, partitions)
     try:
         return analysis.run()
     finally:

@@ -74,12 +74,6 @@ def chunks(items: Sequence, size: int) -> list[list]:
     return [list(items[i:i + size]) for i in range(0, len(items), size)]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Split an input that has fewer partitions than the cluster has cores; large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def stack_rows(df: DataFrame, structs: Sequence[Column]) -> DataFrame:
     """Turn every row of ``df`` into one row per struct (all structs of one type)."""
     return df.select(F.inline(F.array(*structs)))

@@ -47,7 +47,9 @@ class Limits:
     # Values per column up to which `percentile` may collect a column in one buffer.
     direct_quantile_rows: int = 20_000
     # Values of one range that may be put in order inside one task; larger ranges are split first.
-    quantile_buffer: int = 100_000
+    quantile_buffer: int = 200_000
+    # Tasks between which large aggregation states are merged before the last one.
+    merge_tasks: int = 256
     # Aggregate expressions are spread over several jobs beyond this many columns each.
     columns_per_job: int = 60
     # Rows of a lookup table that may be broadcast.

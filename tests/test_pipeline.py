@@ -28,9 +28,9 @@ def test_all_reports(sales):
 
 
 def test_each_report_has_its_own_exclusions(sales):
-    a = Analysis(sales.selectExpr("region", "amount + order_id * 1e-6 AS metric", "source", "7 AS seven", "rating"), keep=False)
+    a = Analysis(sales.selectExpr("region", "amount + order_id * 1e-6 AS metric", "source", "7 AS seven", "rating"))
     assert "metric" not in a.junk and a.constant == {"source", "seven"}
-    b = Analysis(sales.selectExpr("region", "order_id * 1.5 AS metric", "source", "7 AS seven", "rating"), keep=False)
+    b = Analysis(sales.selectExpr("region", "order_id * 1.5 AS metric", "source", "7 AS seven", "rating"))
     assert "metric" in b.junk
     tested = {r["numeric_column"] for r in b.tests.collect()}
     assert "metric" in tested and "seven" not in tested

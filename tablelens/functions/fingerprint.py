@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablelens.schema import comparable
+from tablelens.schema import chunks, comparable
 
 
 def fingerprint(df: DataFrame, names: list[str] | None = None) -> list[Column]:
@@ -16,8 +18,11 @@ def fingerprint(df: DataFrame, names: list[str] | None = None) -> list[Column]:
     """
     names = list(names or df.columns)
     cells = [comparable(df, n) for n in names]
-    holes = F.concat(*[F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")) for c in cells])
+    holes = [
+        reduce(lambda a, b: a.bitwiseOR(b), [
+            F.when(c.isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, c in enumerate(block)])
+        for block in chunks(cells, 62)]
     return [
-        F.xxhash64(F.lit(seed), holes, *cells).alias(alias)
+        F.xxhash64(F.lit(seed), *holes, *cells).alias(alias)
         for seed, alias in ((0x1F83D9AB, "fp_a"), (0x5BE0CD19, "fp_b"))
     ]

@@ -14,10 +14,13 @@ LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 def complete_cases(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Rows in which every one of ``columns`` has a value."""
-    df = normalize(df)
+    kinds = dict(df.dtypes)
     for name in (columns if columns is not None else df.columns):
+        # On the stored column, so that the condition reaches the scan.
         df = df.filter(col(name).isNotNull())
-    return df
+        if kinds[name] in ("float", "double"):
+            df = df.filter(~F.isnan(col(name)))
+    return normalize(df)
 
 
 def marked_lines(df: DataFrame, key: str, text: str, marker: str = "INSIGHT: ") -> DataFrame:

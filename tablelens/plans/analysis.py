@@ -12,6 +12,7 @@ from tablelens.operators import anomalies, chartdata, cleaning, eda, forecast, h
 from tablelens.operators.columnstats import TableStats, table_stats
 from tablelens.operators.quantiles import exact_quantiles
 from tablelens.schema import local_frame, normalize
+from tablelens.sources.scratch import materialize
 from tablelens.thresholds import DEFAULTS, Thresholds
 
 REPORT_SCHEMA = ("report string, section string, column_name string, item string, metric string, "
@@ -41,6 +42,7 @@ def _long(df: DataFrame, report: str, section: str, metrics: Iterable[str] = (),
 class _Step:
     name: str
     run: Callable[[], list[DataFrame]]
+    bounded: bool = True    # the rows grow with the columns of the table only
 
 
 @dataclass
@@ -236,7 +238,7 @@ class Analysis:
             _Step("profile", self._profile), _Step("quality", self._quality), _Step("eda", self._eda),
             _Step("charts", self._charts), _Step("anomalies", self._anomalies),
             _Step("isolation_forest", self._isolation), _Step("tests", self._tests),
-            _Step("cleaning", self._cleaning), _Step("forecast", self._forecast),
+            _Step("cleaning", self._cleaning), _Step("forecast", self._forecast, bounded=not self.series_keys),
             *[own(n, f) for n, f in self.extra.items()],
         ]
 
@@ -246,9 +248,12 @@ class Analysis:
         for step in self._steps():
             try:
                 frames = step.run()
-                # Report rows are few; reading them here keeps a failing report from taking others along.
-                rows = [tuple(r) for f in frames for r in f.collect()]
-                parts.append(local_frame(self.df, rows, REPORT_SCHEMA))
+                # Computed here, so that a failing report does not take others along.
+                if step.bounded:
+                    rows = [tuple(r) for f in frames for r in f.collect()]
+                    parts.append(local_frame(self.df, rows, REPORT_SCHEMA))
+                else:
+                    parts += [materialize(f, "report") for f in frames]
                 status.append((step.name, True, None))
             except _NotRun as e:
                 status.append((step.name, False, str(e)))

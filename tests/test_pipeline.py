@@ -55,6 +55,14 @@ def test_own_steps(sales):
     assert not status.filter("report = 'broken'").first()["ran"]
 
 
+def test_forecasts_per_series_stay_on_the_cluster(sales):
+    report, status = analyze(sales.drop("rating"), key=["order_id"], series_keys=["region"])
+    assert status.filter("report = 'forecast'").first()["ran"]
+    points = report.filter("section = 'point' AND metric = 'predicted_value'")
+    assert {(r["column_name"], r["count"]) for r in points.groupBy("column_name").count().collect()} == {
+        (f'{{"region":"{k}"}}', 7) for k in ("north", "south", "North", "east")}
+
+
 def test_nothing_to_analyse(spark):
     report, status = analyze(spark.createDataFrame([], "a double, b string"))
     got = {r["report"]: r["ran"] for r in status.collect()}

@@ -336,10 +336,10 @@ SQL = {
                      "AND NOT EXISTS (SELECT 1 FROM data e WHERE e.o_custkey = d.o_custkey AND e.o_totalprice > 499000)",
     "sql_setops": "SELECT o_custkey FROM data WHERE o_orderstatus = 'P' INTERSECT SELECT o_custkey FROM data WHERE "
                   "o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM data WHERE o_orderpriority = '1-URGENT'",
-    "sql_window_rank": "SELECT * FROM (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority "
-                       "ORDER BY o_totalprice DESC, o_orderkey) AS rk FROM data) t WHERE rk <= 3",
+    "sql_window_rank": "SELECT * FROM (SELECT o_orderkey, o_orderpriority, CAST(row_number() OVER (PARTITION BY o_orderpriority "
+                       "ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rk FROM data) t WHERE rk <= 3",
     "sql_case_string_date": "SELECT CASE WHEN o_totalprice > 250000 THEN 'high' ELSE 'low' END AS band, "
-                            "upper(substring(o_orderpriority, 3)) AS word, year(o_orderdate) AS yr, count(*) AS n "
+                            "upper(substring(o_orderpriority, 3)) AS word, CAST(year(o_orderdate) AS BIGINT) AS yr, count(*) AS n "
                             "FROM data GROUP BY 1, 2, 3",
 }
 

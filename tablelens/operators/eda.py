@@ -33,13 +33,15 @@ def numeric_summary(df: DataFrame, stats: TableStats | None = None,
 
 
 def top_categories(df: DataFrame, exclude: Iterable[str] = (), stats: TableStats | None = None,
-                   limits: Thresholds = DEFAULTS) -> DataFrame:
+                   limits: Thresholds = DEFAULTS, frequency: DataFrame | None = None) -> DataFrame:
     """``(column_name, rank, value, n)`` for text columns with few distinct values."""
     df = normalize(df)
     names = [n for n in small_text_columns(df, limits.top_categories_max_distinct, stats) if n not in set(exclude)]
+    if frequency is None:
+        frequency = value_frequency(df, names)
     per_column = Window.partitionBy("column_name")
     # The window sees at most about twenty rows per column.
-    return (value_frequency(df, names)
+    return (frequency.filter(F.col("column_name").isin(names))
             .withColumn("distinct_values", F.count(F.lit(1)).over(per_column))
             .withColumn("rank", F.row_number().over(per_column.orderBy(F.desc("n"), "value")))
             .filter((F.col("distinct_values") <= limits.top_categories_max_distinct)

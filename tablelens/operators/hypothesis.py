@@ -24,10 +24,12 @@ T_TEST, ANOVA = "two-sample t-test", "one-way ANOVA"
 
 
 def grouping_columns(df: DataFrame, exclude: Iterable[str] = (), stats: TableStats | None = None,
-                     limits: Thresholds = DEFAULTS) -> list[str]:
-    """Text columns with two to six distinct values."""
+                     limits: Thresholds = DEFAULTS, distinct: dict[str, int] | None = None) -> list[str]:
+    """Text columns with two to six distinct values. ``distinct`` gives counts that are known already."""
     names = [n for n in small_text_columns(df, limits.max_groups, stats) if n not in set(exclude)]
-    counts = {r["column_name"]: r["distinct_count"] for r in distinct_counts(df, names).collect()} if names else {}
+    counts = distinct
+    if counts is None:
+        counts = {r["column_name"]: r["distinct_count"] for r in distinct_counts(df, names).collect()}
     return [n for n in names if limits.min_groups <= counts.get(n, 0) <= limits.max_groups]
 
 
@@ -110,11 +112,12 @@ def anova_f(moments: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
 
 
 def hypothesis_tests(df: DataFrame, exclude: Iterable[str] = (), stats: TableStats | None = None,
-                     limits: Thresholds = DEFAULTS, moments: DataFrame | None = None) -> DataFrame:
+                     limits: Thresholds = DEFAULTS, moments: DataFrame | None = None,
+                     distinct: dict[str, int] | None = None) -> DataFrame:
     """One row per pair that could be tested; pairs with an undefined p-value are left out."""
     df = normalize(df)
     if moments is None:
-        moments = group_moments(df, grouping_columns(df, exclude, stats, limits),
+        moments = group_moments(df, grouping_columns(df, exclude, stats, limits, distinct),
                                 list(classify(df, exclude).numeric))
     p = F.col("p")
     return (test_statistics(moments, limits).withColumn("p", p_value("statistic", "df1", "df2")).filter(p.isNotNull() & ~F.isnan(p))

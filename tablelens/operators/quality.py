@@ -162,19 +162,39 @@ def _near(value: float, threshold: float) -> bool:
     return abs(value - threshold) <= threshold * SKETCH_MARGIN
 
 
-def settled_distinct_counts(df: DataFrame, stats: TableStats, limits: Thresholds = DEFAULTS) -> dict[str, int]:
+def _few(limits: Thresholds) -> int:
+    """Columns with up to this many values are counted value by value."""
+    return 4 * limits.high_cardinality_min
+
+
+def small_frequency(df: DataFrame, stats: TableStats, limits: Thresholds = DEFAULTS) -> DataFrame:
+    """Values and counts of all text columns with few values: one scan for every check that asks for them.
+
+    A few hundred rows per column, so the result is kept while several checks read it.
+    """
+    return value_frequency(df, small_text_columns(df, _few(limits), stats)).persist()
+
+
+def settled_distinct_counts(df: DataFrame, stats: TableStats, limits: Thresholds = DEFAULTS,
+                            frequency: DataFrame | None = None) -> dict[str, int]:
     """Distinct counts that are exact wherever a threshold could go either way.
 
     A sketch decides the columns that are clear of every threshold by more than six standard errors;
     only the others, and those with few values, are counted exactly.
     """
+    counts = {c.name: min(c.distinct_estimate, c.present) for c in stats.columns.values()}
+    known: set[str] = set()
+    if frequency is not None:
+        known = {n for n in small_text_columns(df, _few(limits), stats) if stats[n].present}
+        counts.update({r["column_name"]: r["d"] for r in frequency.groupBy("column_name").agg(
+            F.count("value").alias("d")).collect()})
     doubtful = []
     for c in stats.columns.values():
         ratio = c.distinct_estimate / stats.rows if stats.rows else 0.0
-        if c.distinct_estimate <= 4 * limits.high_cardinality_min or _near(ratio, limits.id_like_ratio) \
+        if c.distinct_estimate <= _few(limits) or _near(ratio, limits.id_like_ratio) \
                 or (c.dtype == "string" and _near(ratio, limits.high_cardinality_ratio)):
-            doubtful.append(c.name)
-    counts = {c.name: min(c.distinct_estimate, c.present) for c in stats.columns.values()}
+            if c.name not in known and c.present:
+                doubtful.append(c.name)
     if doubtful:
         counts.update({r["column_name"]: r["distinct_count"] for r in distinct_counts(df, doubtful).collect()})
     return counts
@@ -277,21 +297,26 @@ class QualityReport:
 
 
 def assess_data_quality(df: DataFrame, stats: TableStats | None = None, limits: Thresholds = DEFAULTS,
-                        quartiles: dict[str, list[float | None]] | None = None) -> QualityReport:
-    """All checks: one scan for the statistics, one for the quartiles, one for the outliers, one
-    narrow shuffle for the duplicates and one small one for the categories."""
+                        quartiles: dict[str, list[float | None]] | None = None,
+                        frequency: DataFrame | None = None) -> QualityReport:
+    """All checks: two scans for the statistics, two or three for the quartiles, one for the outliers,
+    one narrow shuffle for the duplicates and one small one for the categories."""
     df = normalize(df)
     stats = stats or table_stats(df)
+    own = frequency is None
+    frequency = small_frequency(df, stats, limits) if own else frequency
     missing, missing_pct = _missing_score(stats)
     dup = duplicate_rows(df).first()
     types = _type_flags(stats, limits)
     fences = iqr_fences(df, stats, limits, quartiles)
     outside = count_outside(df, fences)
     fractions = {f.column: round(outside[f.column] / f.n, 3) for f in fences if outside[f.column] > 0}
-    counts = settled_distinct_counts(df, stats, limits)
+    counts = settled_distinct_counts(df, stats, limits, frequency)
     flags = _flags(df, stats, counts, limits)
-    for r in inconsistent_categories(df, stats, limits).orderBy("column_name", "folded").collect():
+    for r in inconsistent_categories(df, stats, limits, frequency).orderBy("column_name", "folded").collect():
         flags.inconsistent.setdefault(r["column_name"], {})[r["folded"]] = list(r["spellings"])
+    if own:
+        frequency.unpersist()
     flags.inconsistent = {n: flags.inconsistent[n] for n in df.columns if n in flags.inconsistent}
     scores = {
         "missing_values": missing,

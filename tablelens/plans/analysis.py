@@ -76,8 +76,9 @@ class Analysis:
     def close(self) -> None:
         if self.keep:
             self.df.unpersist()
-        if "tests" in self.__dict__:
-            self.tests.unpersist()
+        for small in ("frequency", "tests"):
+            if small in self.__dict__:
+                self.__dict__[small].unpersist()
 
     def add_step(self, name: str, run: Callable[[DataFrame], DataFrame]) -> Analysis:
         """Add a computation of one's own; it gets the table and must return a DataFrame."""
@@ -92,9 +93,13 @@ class Analysis:
     def quantiles(self) -> dict[str, list[float | None]]:
         return exact_quantiles(self.df, [0.25, 0.5, 0.75], self.stats.numeric(self.df))
 
+    @cached_property
+    def frequency(self) -> DataFrame:
+        return quality.small_frequency(self.df, self.stats, self.limits)
+
     @cached_property
     def quality(self) -> quality.QualityReport:
-        return quality.assess_data_quality(self.df, self.stats, self.limits, self.quantiles)
+        return quality.assess_data_quality(self.df, self.stats, self.limits, self.quantiles, self.frequency)
 
     @cached_property
     def junk(self) -> set[str]:
@@ -110,7 +115,7 @@ class Analysis:
 
     @cached_property
     def top_categories(self) -> DataFrame:
-        return eda.top_categories(self.df, self.junk, self.stats, self.limits)
+        return eda.top_categories(self.df, self.junk, self.stats, self.limits, self.frequency)
 
     @cached_property
     def correlations(self) -> list[tuple[str, str, float | None]]:
@@ -131,7 +136,8 @@ class Analysis:
     @cached_property
     def tests(self) -> DataFrame:
         # A few rows, read by the summary and by the ranking.
-        return hypothesis.hypothesis_tests(self.df, self.constant, self.stats, self.limits).persist()
+        return hypothesis.hypothesis_tests(self.df, self.constant, self.stats, self.limits,
+                                           distinct=self.quality.distinct).persist()
 
     @cached_property
     def suggestions(self) -> list[cleaning.Action]:

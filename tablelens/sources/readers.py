@@ -112,10 +112,9 @@ def _column_objects(spark: SparkSession, path: str) -> DataFrame:
     by_place = columns.filter(F.startswith(F.col("body"), F.lit("["))).select(
         "file", "column_name", F.posexplode(F.from_json("body", "array<string>")).alias("row", "value"))
     cells = by_row.unionByName(by_place.withColumn("row", F.col("row").cast("string")))
-    # The object's own order of columns; a schema, not data.
+    # Names only, in the order of the first object.
     order = [r["column_name"] for r in columns.select("column_name").distinct().collect()]
-    first = columns.select(F.json_object_keys(F.to_json(F.create_map("column_name", "body")))[0].alias("k"))
-    seen = [r["k"] for r in first.limit(len(order)).collect()]
+    seen = [r["column_name"] for r in columns.select("column_name").limit(len(order)).collect()]
     order.sort(key=lambda n: seen.index(n) if n in seen else len(seen))
     if not order:
         raise ValueError(f"{path} contains no rows.")

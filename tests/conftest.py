@@ -10,10 +10,14 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     session = (
-        SparkSession.builder.master("local[8]").appName("tests")
+        SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "6g")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "6g")
+        .config("spark.sql.session.timeZone", "UTC")
+        # Tables of a few rows: compiling a plan takes longer than interpreting it. The harness check and
+        # the benchmark run the same operators with generated code.
+        .config("spark.sql.codegen.wholeStage", "false")
+        .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -37,7 +37,7 @@ RULES = (
     Rule("words_too_short", "word_chars", "n_words", least=200),
     Rule("symbols", "n_symbols", "word_chars", most=8),
     Rule("few_stop_words", "n_stop_words", "n_words", least=2),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", most=30),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", most=60),
 )
 
 

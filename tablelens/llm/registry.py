@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tablelens.llm import quality_rules
+from tablelens.llm import bpe, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op9_bpe": bpe.query,
 }
 
 ORACLES = {

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tablelens.llm import bpe, quality_rules, simhash
+from tablelens.llm import bpe, language, quality_rules, simhash
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op3_language": language.query,
     "op5_simhash": simhash.query,
     "op9_bpe": bpe.query,
 }

@@ -13,7 +13,7 @@ SPACES = " \t\n\x0b\f\r"
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda v: body(v))[0]
 
 
 def space_words(text: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tablelens.llm import bpe, decontaminate, language, linededup, quality_rules, simhash
+from tablelens.llm import bpe, decontaminate, language, linededup, pii, quality_rules, simhash
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_pii": pii.query,
     "op3_language": language.query,
     "op4_line_dedup": linededup.query,
     "op5_simhash": simhash.query,

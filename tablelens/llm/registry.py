@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablelens.llm import bpe, decontaminate, language, linededup, pii, quality_rules, simhash
+from tablelens.llm import bpe, decontaminate, language, linededup, pii, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_line_dedup": linededup.query,
     "op5_simhash": simhash.query,
     "op7_decontaminate": decontaminate.query,
+    "op8_toxicity": toxicity.query,
     "op9_bpe": bpe.query,
 }
 

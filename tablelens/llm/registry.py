@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablelens.llm import bpe, decontaminate, language, linededup, pii, quality_rules, simhash, toxicity
+from tablelens.llm import bpe, decontaminate, html_text, language, linededup, pii, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.query,
     "op8_toxicity": toxicity.query,
     "op9_bpe": bpe.query,
+    "op10_html_text": html_text.query,
 }
 
 ORACLES = {

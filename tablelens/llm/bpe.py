@@ -43,60 +43,59 @@ class ByteBpe:
             return bytes(letters[c] for c in token)
 
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
-        self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items()}
+        ids = {raw(t): i for t, i in spec["model"]["vocab"].items()}
+        pairs = [(raw(a), raw(b)) for a, b in pairs]
+        self.rank = {(ids[a], ids[b]): i for i, (a, b) in enumerate(pairs)}
+        self.merged = [ids[a + b] for a, b in pairs]
+        self.byte = [ids[bytes([b])] for b in range(256)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.bytes = {i: t for t, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.words = regex.compile(WORDS)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.seen: dict[str, tuple[int, ...]] = {}
 
-    def _short(self, word: bytes) -> list[bytes]:
-        bounds = list(range(len(word) + 1))
-        rank = self.ranks.get
-
-        def joint(i: int) -> int:
-            return rank((word[bounds[i]:bounds[i + 1]], word[bounds[i + 1]:bounds[i + 2]]), NEVER)
-
-        ranks = [joint(i) for i in range(len(bounds) - 2)]
+    def _short(self, word: bytes) -> tuple[int, ...]:
+        # parts[i] is the id of the part that begins at the i-th boundary, so deleting an entry deletes a boundary
+        parts = [self.byte[b] for b in word]
+        rank, merged = self.rank.get, self.merged
+        ranks = [rank(p, NEVER) for p in zip(parts, parts[1:])]
         while ranks and (least := min(ranks)) < NEVER:
             i = ranks.index(least)
-            del bounds[i + 1], ranks[i]
+            parts[i] = merged[least]
+            del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = joint(i - 1)
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), NEVER)
             if i < len(ranks):
-                ranks[i] = joint(i)
-        return [word[a:b] for a, b in zip(bounds, bounds[1:])]
+                ranks[i] = rank((parts[i], parts[i + 1]), NEVER)
+        return tuple(parts)
 
-    def _long(self, word: bytes) -> list[bytes]:
+    def _long(self, word: bytes) -> tuple[int, ...]:
         """The same merges in the same order, the next minimum from a heap of (rank, left part)."""
-        end = list(range(1, len(word) + 1))  # of the part that starts here; 0: no part starts here
-        before = list(range(-1, len(word) - 1))  # start of the part to the left
-        rank = self.ranks.get
+        parts, n = [self.byte[b] for b in word], len(word)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # neighbouring parts; after 0: merged away
+        rank = self.rank.get
 
         def joint(a: int) -> int:
-            b = end[a]
-            return rank((word[a:b], word[b:end[b]]), NEVER) if b < len(word) else NEVER
+            return rank((parts[a], parts[after[a]]), NEVER) if after[a] < n else NEVER
 
-        heap = [(r, a) for a in range(len(word) - 1) if (r := joint(a)) < NEVER]
+        heap = [(r, a) for a in range(n - 1) if (r := joint(a)) < NEVER]
         heapq.heapify(heap)
         while heap:
             r, a = heapq.heappop(heap)
-            if not end[a] or joint(a) != r:
+            if not after[a] or joint(a) != r:
                 continue
-            b = end[a]
-            end[a], end[b] = end[b], 0
-            if end[a] < len(word):
-                before[end[a]] = a
+            b = after[a]
+            parts[a], after[a], after[b] = self.merged[r], after[b], 0
+            if after[a] < n:
+                before[after[a]] = a
             for x in (before[a], a):
                 if x >= 0 and (r := joint(x)) < NEVER:
                     heapq.heappush(heap, (r, x))
-        starts = [i for i, e in enumerate(end) if e]
-        return [word[a:end[a]] for a in starts]
+        return tuple(p for p, x in zip(parts, after) if x)
 
     def word(self, word: str) -> tuple[int, ...]:
         raw = word.encode()
-        return tuple(self.ids[p] for p in (self._short(raw) if len(raw) <= SHORT else self._long(raw)))
+        return self._short(raw) if len(raw) <= SHORT else self._long(raw)
 
     def _plain(self, text: str) -> list[tuple[int, ...]]:
         found, seen = self.words.findall(text), self.seen
@@ -165,23 +164,23 @@ def bpe_decode(encoded: DataFrame, source: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def digests(decoded: DataFrame) -> DataFrame:
+def digests(decoded: DataFrame, ids: bool = False) -> DataFrame:
     return decoded.select(
-        "doc_id",
+        "doc_id", *(["ids"] if ids else []),
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
-def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Encode, decode again, and give the digests of both."""
+def encode_and_decode(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
+    """Encode, decode again, and give the digests of both (and the ids if asked for)."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     source = tokenizer_file(path)
-    return digests(bpe_decode(bpe_encode(docs, source), source))
+    return digests(bpe_decode(bpe_encode(docs, source), source), ids)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +24,7 @@ MOST_CONTEXTS = 40_000
 #: Bytes scored at once.
 CHUNK = 1 << 19
 UNKNOWN = "und"
+LOWERED = "text in lower case"
 
 
 class ContextTrees:
@@ -134,8 +135,8 @@ def fit_languages(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, most_bytes:
     return ContextTrees.fit({l: sorted(t) for l, t in found.items()})
 
 
-def identify_languages(docs: DataFrame, model: ContextTrees) -> DataFrame:
-    """(doc_id, lang_pred, score) for every row of ``docs``, repeated rows too; one scan, nothing is shuffled.
+def identify_languages(docs: DataFrame, model: ContextTrees, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(``keep``, lang_pred, score) for every row of ``docs``, repeated rows too; one scan, nothing is shuffled.
 
     ``score`` is the probability of the predicted language, all being equally likely beforehand. A null, empty
     or letterless text is ``und`` with score 0, as is every text if no language could be learned. Ties go to the
@@ -146,21 +147,22 @@ def identify_languages(docs: DataFrame, model: ContextTrees) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = _model(data.value)
-        for b in pieces(batches, most=CHUNK):
-            bits = trees.code_lengths([t.encode() for t in strings(b)])
+        for b in pieces(batches, LOWERED, most=CHUNK):
+            bits = trees.code_lengths([t.encode() for t in strings(b, LOWERED)])
             best = bits.argmin(axis=1)
             score = 1 / np.exp2(np.minimum(bits.min(axis=1, keepdims=True) - bits, 0)).sum(axis=1)
             names = np.array(trees.languages, object)[best]
-            known = np.array(b.column(2).to_pylist(), bool)
+            known = np.array(b.column(len(keep) + 1).to_pylist(), bool)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.where(known, names, UNKNOWN), pa.string()), pa.array(np.where(known, score, 0.0))],
-                ["doc_id", "lang_pred", "score"],
+                [*b.columns[:len(keep)], pa.array(np.where(known, names, UNKNOWN), pa.string()), pa.array(np.where(known, score, 0.0))],
+                [*keep, "lang_pred", "score"],
             )
 
-    rows = docs.select("doc_id", F.lower("text").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    own = [F.col(f"`{c}`") for c in keep]
+    rows = docs.select(*own, F.lower("text").alias(LOWERED), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters in it"))
     if not languages:
-        return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+        return rows.select(*own, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    schema = T.StructType([*rows.schema.fields[:len(keep)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(run, schema)
 
 

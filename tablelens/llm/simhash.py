@@ -43,17 +43,17 @@ def fingerprint(text: str, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp bigint) for every row of ``docs``; the text never leaves its task.
+    """(doc_id, text_hash, fp bigint) for every row of ``docs``; the text never leaves its task.
 
     A null or blank text has fingerprint zero; a text of fewer than ``width`` words is one shingle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             fp = np.array([fingerprint(t, width) for t in strings(b)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
-    rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], rows.schema["text_hash"], T.StructField("fp", T.LongType())]))
 
 
 def _segments(distance: int) -> list[tuple[int, int]]:
@@ -128,11 +128,11 @@ def close_pairs(prints: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``, repeated rows too.
+    """(doc_id, text_hash, fp, label, component_id) for every row of ``docs``, repeated rows too.
 
-    ``component_id`` is the least doc_id that can be reached over links of at most ``distance`` bits. Copies
-    share a fingerprint and are one node of the graph, so groups of any size cost one row. Rows without a
-    doc_id keep their fingerprint and get the least doc_id of their group, or null if it has none.
+    ``component_id`` is the least doc_id that can be reached over links of at most ``distance`` bits, ``label`` a
+    fingerprint of the group. Copies share a fingerprint and are one node of the graph, so groups of any size cost
+    one row. Rows without a doc_id get the least doc_id of their group, or null if it has none.
     """
     prints = written(fingerprints(docs, width), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
@@ -141,9 +141,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2) -> DataF
         nodes["fp"].alias("key"), "first", F.coalesce("component", nodes["fp"]).alias("label")
     )
     least = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
-    # the few columns below are per distinct fingerprint, the documents join them once
-    labels = grouped.join(least, "label").select("key", "component_id")
-    return prints.join(labels, prints["fp"] == labels["key"]).select("doc_id", "fp", "component_id")
+    labels = grouped.join(least, "label")
+    return prints.join(labels, prints["fp"] == labels["key"]).select("doc_id", "text_hash", "fp", "label", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the least (doc_id, text hash) stays, once."""
+    found = near_duplicates(docs, width, distance)
+    first = found.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(
+        F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash")
+    )
+    keyed = docs.alias("d").join(
+        first.hint("merge"),
+        F.col("d.doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("d.text") == F.col("kept_hash")),
+    )
+    return keyed.dropDuplicates(["kept_id", "kept_hash"]).select("d.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

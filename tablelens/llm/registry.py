@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablelens.llm import bpe, decontaminate, html_text, language, linededup, pii, quality_rules, simhash, toxicity
+from tablelens.llm import bpe, decontaminate, html_text, language, linededup, pii, quality_model, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language": language.query,
     "op4_line_dedup": linededup.query,
     "op5_simhash": simhash.query,
+    "op6_quality_model": quality_model.query,
     "op7_decontaminate": decontaminate.query,
     "op8_toxicity": toxicity.query,
     "op9_bpe": bpe.query,

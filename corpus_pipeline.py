@@ -11,22 +11,25 @@ from tablelens.llm.shared import written
 
 #: Least probability of the predicted language; a tie of two languages has one half.
 LEAST_SCORE = 0.4
+#: Names for what a stage adds for itself, which no table has.
+OWN = ("pipeline: first", "pipeline: second")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told. Texts that are null or have no letter go, as do ties of three languages."""
-    found = language.identify_languages(docs, language.fit_languages(docs), keep=docs.columns)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(
+    found = language.identify_languages(docs, language.fit_languages(docs), keep=docs.columns, names=OWN)
+    return found.where((F.col(f"`{OWN[0]}`") != language.UNKNOWN) & (F.col(f"`{OWN[1]}`") >= LEAST_SCORE)).select(
         *[F.col(f"`{c}`") for c in docs.columns]
     )
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of blocks are cut out and n_chars follows; documents of which no word is left go."""
-    found = linededup.dedup_lines(docs)
-    left = (F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return found.where(left).withColumn("n_chars", F.when(
-        F.col("n_removed_lines") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    found = linededup.dedup_lines(docs, names=OWN)
+    removed = F.col(f"`{OWN[0]}`")
+    left = (removed == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    n_chars = F.when(removed > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return found.where(left).withColumn("n_chars", n_chars).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,23 +43,26 @@ class ContextTrees:
     @classmethod
     def fit(cls, texts: dict[str, list[bytes]]) -> ContextTrees:
         languages = sorted(texts)
+        if not languages:
+            return cls([], np.zeros(256, np.int32), np.zeros(1, np.int32), np.zeros((1, 1, 0), np.float32))
         streams = {l: np.frombuffer(b"".join(b"\n" * ORDER + t for t in texts[l]), np.uint8) for l in languages}
+        real = {l: np.concatenate([np.r_[np.zeros(ORDER, bool), np.ones(len(t), bool)] for t in texts[l]])[ORDER:] for l in languages}
         seen = np.unique(np.concatenate([*streams.values(), np.frombuffer(b"\n", np.uint8)]))
         symbol = np.zeros(256, np.int32)  # 0: a byte that the sample does not hold
         symbol[seen] = np.arange(1, len(seen) + 1)
         size = len(seen) + 1
         coded = {l: symbol[s] for l, s in streams.items()}
+        after = {l: s[ORDER:][real[l]] for l, s in coded.items()}
         bits = np.full((1, size, len(languages)), 8.0)
         shorter = np.zeros(1, np.int64)  # row in bits of each context code one byte shorter
         rows, parts = 1, [bits]
-        whole = bits  # rows of the previous order, by its codes in `shorter`
         for order in range(ORDER + 1):
             codes = {}
             for l, s in coded.items():
                 c = np.zeros(len(s) - ORDER, np.int64)
                 for back in range(order, 0, -1):
                     c = c * size + s[ORDER - back:len(s) - back]
-                codes[l] = c
+                codes[l] = c[real[l]]
             kept, often = np.unique(np.concatenate(list(codes.values())), return_counts=True)
             if order == ORDER and len(kept) > MOST_CONTEXTS:
                 kept = np.sort(kept[np.lexsort((kept, -often))[:MOST_CONTEXTS]])
@@ -69,7 +72,7 @@ class ContextTrees:
                 at = np.searchsorted(kept, codes[l])
                 at[at == len(kept)] = 0
                 hit = kept[at] == codes[l]
-                counts = np.bincount(at[hit] * size + coded[l][ORDER:][hit], minlength=len(kept) * size).reshape(-1, size)
+                counts = np.bincount(at[hit] * size + after[l][hit], minlength=len(kept) * size).reshape(-1, size)
                 total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     own = -np.log2(counts / (total + distinct))
@@ -135,8 +138,10 @@ def fit_languages(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, most_bytes:
     return ContextTrees.fit({l: sorted(t) for l, t in found.items()})
 
 
-def identify_languages(docs: DataFrame, model: ContextTrees, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """(``keep``, lang_pred, score) for every row of ``docs``, repeated rows too; one scan, nothing is shuffled.
+def identify_languages(
+    docs: DataFrame, model: ContextTrees, keep: Sequence[str] = ("doc_id",), names: Sequence[str] = ("lang_pred", "score")
+) -> DataFrame:
+    """(``keep``, lang_pred, score, or other ``names``) for every row of ``docs``, repeated rows too; one scan, nothing is shuffled.
 
     ``score`` is the probability of the predicted language, all being equally likely beforehand. A null, empty
     or letterless text is ``und`` with score 0, as is every text if no language could be learned. Ties go to the
@@ -151,18 +156,18 @@ def identify_languages(docs: DataFrame, model: ContextTrees, keep: Sequence[str]
             bits = trees.code_lengths([t.encode() for t in strings(b, LOWERED)])
             best = bits.argmin(axis=1)
             score = 1 / np.exp2(np.minimum(bits.min(axis=1, keepdims=True) - bits, 0)).sum(axis=1)
-            names = np.array(trees.languages, object)[best]
+            likeliest = np.array(trees.languages, object)[best]
             known = np.array(b.column(len(keep) + 1).to_pylist(), bool)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:len(keep)], pa.array(np.where(known, names, UNKNOWN), pa.string()), pa.array(np.where(known, score, 0.0))],
-                [*keep, "lang_pred", "score"],
+                [*b.columns[:len(keep)], pa.array(np.where(known, likeliest, UNKNOWN), pa.string()), pa.array(np.where(known, score, 0.0))],
+                [*keep, *names],
             )
 
     own = [F.col(f"`{c}`") for c in keep]
     rows = docs.select(*own, F.lower("text").alias(LOWERED), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters in it"))
     if not languages:
-        return rows.select(*own, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    schema = T.StructType([*rows.schema.fields[:len(keep)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+        return rows.select(*own, F.lit(UNKNOWN).alias(names[0]), F.lit(0.0).alias(names[1]))
+    schema = T.StructType([*rows.schema.fields[:len(keep)], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return rows.mapInArrow(run, schema)
 
 

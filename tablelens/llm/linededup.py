@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -176,8 +176,11 @@ def _without(text: Column, cuts: Column) -> Column:
     return let(F.split(text, "\n"), lambda lines: let(cuts, lambda c: rest(lines, c)))
 
 
-def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
-    """Every row of ``docs``, repeated rows too, with ``text`` shortened, and n_removed_lines, n_removed_words.
+def dedup_lines(
+    docs: DataFrame, block_words: int = BLOCK_WORDS, line_words: int = LINE_WORDS,
+    names: Sequence[str] = ("n_removed_lines", "n_removed_words"),
+) -> DataFrame:
+    """Every row of ``docs``, repeated rows too, with ``text`` shortened, and the numbers of removed lines and words.
 
     A run of lines is deleted from a document if each of them is aligned with a document of smaller doc_id, the run
     has ``block_words`` words or more and one of its lines ``line_words`` or more; blank lines inside go with it. A
@@ -194,7 +197,7 @@ def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, line_words: int
     text = F.when(F.col("cut_list").isNull(), F.col("d.text")).otherwise(_without(F.col("d.text"), F.col("cut_list")))
     return joined.select(
         *[text.alias("text") if n == "text" else F.col(f"d.`{n}`") for n in docs.columns],
-        total("lines").alias("n_removed_lines"), total("words").alias("n_removed_words"),
+        total("lines").alias(names[0]), total("words").alias(names[1]),
     )
 
 

@@ -141,7 +141,7 @@ class LabelModel:
     """
 
     #: Correlation given the label from which two voters share a cluster, and most voters of a cluster.
-    CORRELATED, LARGEST, ROUNDS = 0.15, 6, 40
+    CORRELATED, LARGEST, ROUNDS = 0.3, 6, 40
 
     def __init__(self, ballots: np.ndarray, counts: np.ndarray, known: np.ndarray):
         """``counts``: documents per ballot; ``known``: labelled ones among them, columns clean and toxic."""
@@ -151,30 +151,36 @@ class LabelModel:
         for_toxic = votes @ POLARITY
         for_clean = votes @ (1 - POLARITY)
         p = np.where(for_toxic > for_clean, 0.9, 0.05)
-        p = self._em(votes, free, known, p)
-        self.clusters = self._correlated(votes, free, known, p)
-        self.p = self._em(votes, free, known, p)
+        p, parts = self._em(votes, free, known, p)
+        self.clusters = self._correlated(votes, free, known, parts)
+        self.p, _ = self._em(votes, free, known, p)
 
-    def _em(self, votes: np.ndarray, free: np.ndarray, known: np.ndarray, p: np.ndarray) -> np.ndarray:
+    def _em(self, votes: np.ndarray, free: np.ndarray, known: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Posteriors, and the log odds that the prior (column 0) and each cluster contribute."""
+        parts = np.zeros((len(votes), 1 + len(self.clusters)))
         for _ in range(self.ROUNDS):
             mass = np.column_stack((free * (1 - p), free * p)) + known
-            log = np.tile(np.log(mass.sum(0) + 1) - np.log(mass.sum() + 2), (len(votes), 1))
-            for c in self.clusters:
+            parts[:, 0] = np.log((mass[:, 1].sum() + 1) / (mass[:, 0].sum() + 1))
+            for k, c in enumerate(self.clusters, 1):
                 cell = votes[:, c] @ (1 << np.arange(len(c)))
                 table = np.column_stack([np.bincount(cell, mass[:, y], 1 << len(c)) for y in (0, 1)]) + 0.5
-                log += np.log(table / table.sum(0))[cell]
-            p = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -60, 60)))
-        return p
+                table = np.log(table / table.sum(0))
+                parts[:, k] = (table[:, 1] - table[:, 0])[cell]
+            p = _sigmoid(parts.sum(1))
+        return p, parts
 
-    def _correlated(self, votes: np.ndarray, free: np.ndarray, known: np.ndarray, p: np.ndarray) -> list[list[int]]:
+    def _correlated(self, votes: np.ndarray, free: np.ndarray, known: np.ndarray, parts: np.ndarray) -> list[list[int]]:
+        """Clusters of voters whose votes go together beyond what the label, as told by all other voters, explains."""
         most = np.zeros((len(VOTERS), len(VOTERS)))
-        for y, w in enumerate(np.column_stack((free * (1 - p), free * p)).T + known.T):
-            centred = votes - np.average(votes, axis=0, weights=w + 1e-9)
-            cov = (centred * (w + 1e-9)[:, None]).T @ centred / (w + 1e-9).sum()
-            sd = np.sqrt(np.diag(cov)) + 1e-6
-            most = np.maximum(most, np.abs(cov / sd[:, None] / sd))
+        pairs = list(zip(*np.triu_indices(len(VOTERS), 1)))
+        for i, j in pairs:
+            p = _sigmoid(parts.sum(1) - parts[:, 1 + i] - parts[:, 1 + j])
+            for w in (free * (1 - p) + known[:, 0] + 1e-9, free * p + known[:, 1] + 1e-9):
+                a, b = (votes[:, x] - np.average(votes[:, x], weights=w) for x in (i, j))
+                both = np.average(a * b, weights=w)
+                most[i, j] = max(most[i, j], abs(both) / (np.sqrt(np.average(a * a, weights=w) * np.average(b * b, weights=w)) + 1e-6))
         clusters = [{j} for j in range(len(VOTERS))]
-        for i, j in sorted(zip(*np.triu_indices(len(VOTERS), 1)), key=lambda x: -most[x]):
+        for i, j in sorted(pairs, key=lambda x: -most[x]):
             a, b = (next(c for c in clusters if x in c) for x in (i, j))
             if most[i, j] >= self.CORRELATED and a is not b and len(a) + len(b) <= self.LARGEST:
                 clusters.remove(b)
@@ -182,6 +188,10 @@ class LabelModel:
         return [sorted(map(int, c)) for c in clusters]
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
 def _linear(docs: list[set[str]], target: np.ndarray, features: list[str], rounds: int = 400) -> tuple[dict[str, float], float]:
     """Logistic regression on soft labels over all rows; weights shrink a little towards zero."""
     index = {f: i for i, f in enumerate(features)}

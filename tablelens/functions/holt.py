@@ -40,19 +40,32 @@ def grid(alpha: tuple[float, float], share: tuple[float, float], steps: int) ->
 
 
 def stretch(y: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> Stretch:
-    g = len(alpha)
-    level, trend = np.tile([1.0, 0.0, 0.0], (g, 1)), np.tile([0.0, 1.0, 0.0], (g, 1))
-    cost = np.zeros((g, 3, 3))
+    """The points are cut into equal runs that advance side by side; their matrices are multiplied at the end."""
+    runs = max(1, int(np.sqrt(len(y) / 4)))
+    length = len(y) // runs
+    done = _runs(y[:runs * length].reshape(runs, length), alpha, beta)
+    if runs * length < len(y):
+        done.append(_runs(y[runs * length:][None], alpha, beta)[0])
+    total = done[0]
+    for part in done[1:]:
+        total = total.then(part)
+    return total
+
+
+def _runs(y: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> list[Stretch]:
+    shape = (len(y), len(alpha), 1)
+    level, trend = np.tile([1.0, 0.0, 0.0], shape), np.tile([0.0, 1.0, 0.0], shape)
+    cost = np.zeros((*shape[:2], 3, 3))
     a, ab = alpha[:, None], (alpha * beta)[:, None]
-    for value in y:
+    for values in y.T:
         level = level + trend
         error = -level
-        error[:, 2] += value
-        cost += error[:, :, None] * error[:, None, :]
+        error[:, :, 2] += values[:, None]
+        cost += error[..., :, None] * error[..., None, :]
         level += a * error
         trend = trend + ab * error
-    move = np.stack([level, trend, np.tile([0.0, 0.0, 1.0], (g, 1))], axis=1)
-    return Stretch(move, cost, len(y))
+    move = np.stack([level, trend, np.tile([0.0, 0.0, 1.0], shape)], axis=2)
+    return [Stretch(m, c, y.shape[1]) for m, c in zip(move, cost)]
 
 
 def best_start(s: Stretch) -> tuple[int, np.ndarray, float]:
@@ -93,26 +106,45 @@ def final_state(s: Stretch, i: int, start: np.ndarray) -> tuple[float, float]:
     return float(level), float(trend)
 
 
+def slope_between(first: float, last: float, n: int) -> float:
+    """Slope of the line through the first and the last point, which is taken out before the search."""
+    return (last - first) / (n - 1) if n > 1 else 0.0
+
+
+def moved(grid: int, by: float) -> Stretch:
+    """The state as seen from another line: the level changes by a constant."""
+    move = np.eye(3)
+    move[0, 2] = by
+    return Stretch(np.tile(move, (grid, 1, 1)), np.zeros((grid, 3, 3)), 0)
+
+
+def steps_of(round_: int) -> int:
+    return COARSE if round_ == 0 else FINE
+
+
+def width_of(round_: int) -> float:
+    """How far the search goes on from the best weights after a round."""
+    return (2.0 / (FINE - 1)) ** round_ / (COARSE - 1)
+
+
 def fit(y: np.ndarray) -> Fit:
     """Least squares over both weights and the initial state: grid search, narrowed around the best.
 
-    A straight line passes through the model unchanged; the one through the data is taken out first and
+    A straight line passes through the model unchanged; the one through both ends is taken out first and
     added back at the end, which keeps the sums small.
     """
     t = np.arange(len(y), dtype=float)
-    slope, base = np.polyfit(t, y, 1)
+    slope, base = slope_between(y[0], y[-1], len(y)), y[0]
     rest = y - (base + slope * t)
-    width = 1.0 / (COARSE - 1)
-    bounds, steps, best = ((0.0, 1.0), (0.0, 1.0)), COARSE, None
-    for _ in range(ROUNDS):
-        alpha, beta = grid(*bounds, steps)
+    bounds, best = ((0.0, 1.0), (0.0, 1.0)), None
+    for r in range(ROUNDS):
+        alpha, beta = grid(*bounds, steps_of(r))
         s = stretch(rest, alpha, beta)
         i, start, sse = best_start(s)
         if best is None or sse < best.sse:
             level, trend = final_state(s, i, start)
             best = Fit(float(alpha[i]), float(beta[i]), level, trend, sse)
-        bounds, steps = refine(best.alpha, best.beta, width), FINE
-        width *= 2.0 / (FINE - 1)
+        bounds = refine(best.alpha, best.beta, width_of(r))
     best.level += base + slope * (len(y) - 1)
     best.trend += slope
     return best

@@ -2,7 +2,7 @@
 
 A forest has a fixed size whatever the table: each tree is grown in one task from at most 256 rows, and
 all trees together have about fifty thousand nodes. Which rows a tree sees is decided by a hash of the
-row key and the tree number, so that the same table gives the same forest on any cluster. Scoring is
+row and the tree number, so that the same table gives the same forest on any cluster. Scoring is
 one scan that ships only the numeric columns to vectorised code.
 """
 
@@ -16,15 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablelens.operators.columnstats import SKETCH_LG_K, SKETCH_MARGIN
+from tablelens.functions.fingerprint import fingerprint
 from tablelens.operators.quantiles import quantile
 from tablelens.operators.rows import complete_cases
 from tablelens.schema import as_double, classify, col, normalize
 from tablelens.sources.scratch import materialize
 from tablelens.thresholds import DEFAULTS, Thresholds
 
-# Larger tables are thinned to about this many rows by one hash before the draws per tree.
-_POOL_ROWS = 1 << 16
 _UNIT = float(1 << 53)
 _NODES = "tree int, node int, feature int, split double, left int, right int, depth int, size int"
 
@@ -35,26 +33,62 @@ def _uniform(key: list[Column], *salt) -> Column:
     return bits.cast("double") / F.lit(_UNIT)
 
 
+def _copies(pdf: pd.DataFrame, limit: float, blocks: int, seed: int) -> Iterator[pd.DataFrame]:
+    """The draws below ``limit`` of rows that occur ``n`` times: the smallest of n uniform numbers, one after another.
+
+    They are found through their spacings, so a row that occurs a billion times costs as many draws as a tree
+    can use and is never written out a billion times.
+    """
+    for row in pdf.itertuples(index=False):
+        for b in range(blocks):
+            rng = np.random.default_rng([seed, b, row.fp_a & (2**64 - 1), row.fp_b & (2**64 - 1)])
+            drawn, done, low = [], 0, 0.0
+            while done < row.n:
+                m = min(row.n - done, int(row.n * limit * 1.2) + 16)
+                tail = low + np.cumsum(np.log1p(-rng.random(m)) / (row.n - done - np.arange(m)))
+                u = -np.expm1(tail)
+                drawn.append(u[u < limit])
+                done, low = done + m, tail[-1]
+                if u[-1] >= limit:
+                    break
+            u = np.concatenate(drawn)
+            if len(u):
+                yield pd.DataFrame({"x": [row.x] * len(u), "fp_a": row.fp_a, "fp_b": row.fp_b, "block": b, "u": u})
+
+
 def tree_samples(df: DataFrame, features: list[str], key: list[str], n: int,
                  limits: Thresholds = DEFAULTS) -> DataFrame:
-    """``(tree, draw, x)``: up to 256 rows for each tree, drawn without replacement.
+    """``(tree, draw, x)``: up to 256 rows for each tree, drawn without replacement from the whole table.
 
-    Each row is offered to a tree with four times the needed probability and the tree keeps the
-    smallest draws, so that about a hundred thousand rows are shuffled at any table size.
+    Each row is offered to a tree with four times the needed probability and the tree keeps the smallest draws,
+    so that about a hundred thousand rows are shuffled at any table size. A number per row and block of trees
+    says to which tree of the block a row is offered: a large table costs one hash per row. It is a hash of key
+    and features. Without a key, equal rows are counted, and each copy gets a number of its own.
     """
-    keys = [col(k) for k in key] if key else [F.col("_draw")]
-    rows = df if key else df.withColumn("_draw", F.rand(limits.seed))
-    rows = rows.select(*keys, F.array(*[as_double(f) for f in features]).alias("x"))
-    pool = n
-    if n > _POOL_ROWS:
-        rows, pool = rows.filter(_uniform(keys, limits.seed, -1) < _POOL_ROWS / n), _POOL_ROWS
     psi = min(limits.forest_subsample, n)
-    share = min(1.0, 4 * psi / pool)
-    offered = rows.select("x", *keys, F.explode(F.filter(
-        F.sequence(F.lit(0), F.lit(limits.forest_trees - 1)),
-        lambda t: _uniform(keys, limits.seed, t) < share)).alias("tree"))
-    per_tree = Window.partitionBy("tree").orderBy("draw", *keys)
-    return (offered.withColumn("draw", _uniform(keys, limits.seed, F.col("tree")))
+    share = min(1.0, 4 * psi / n)
+    per_block = max(1, math.floor(1 / share))
+    blocks = math.ceil(limits.forest_trees / per_block)
+    x = F.array(*[as_double(f) + F.lit(0.0) for f in features]).alias("x")
+    if key:
+        rows, copies = df.select(x, *fingerprint(df, [*key, *features])), None
+    else:
+        counted = df.select(x).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+        counted = counted.select("x", "n", *fingerprint(counted, ["x"]))
+        rows, limit, seed = counted.filter("n = 1"), min(1.0, per_block * share), limits.seed
+        copies = counted.filter("n > 1").mapInPandas(
+            lambda parts: (out for pdf in parts for out in _copies(pdf, limit, blocks, seed)),
+            "x array<double>, fp_a bigint, fp_b bigint, block int, u double")
+    draws = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.struct(
+        b.alias("block"), _uniform([F.col("fp_a"), F.col("fp_b")], limits.seed, b).alias("u")))
+    offered = rows.select("x", "fp_a", "fp_b", F.inline(F.filter(draws, lambda d: d["u"] < per_block * share)))
+    if copies is not None:
+        offered = offered.unionByName(copies)
+    nth = F.floor(F.col("u") / share)
+    tree = (F.col("block") * per_block + nth).cast("int")
+    offered = offered.filter(nth < per_block).select("x", "fp_a", "fp_b", tree.alias("tree"), (F.col("u") - nth * share).alias("draw"))
+    per_tree = Window.partitionBy("tree").orderBy("draw", "fp_a", "fp_b")
+    return (offered.filter(F.col("tree") < limits.forest_trees)
             .withColumn("nth", F.row_number().over(per_tree)).filter(F.col("nth") <= psi)
             .select("tree", "draw", "x"))
 
@@ -164,22 +198,19 @@ def isolation_forest(df: DataFrame, key: Iterable[str] = (), exclude: Iterable[s
                      limits: Thresholds = DEFAULTS) -> IsolationReport:
     """Flag the five percent of the complete numeric rows that are isolated soonest.
 
-    ``key`` names the columns that identify a row and makes the result independent of how the table is
-    partitioned; it is no feature. Without one, or if it repeats too often to tell rows apart, the trees
-    draw their rows at random, so that copies of one row are never drawn all or none.
+    ``key`` names the columns that identify a row; it is no feature. Without one, equal rows are counted first
+    and drawn copy by copy. The result does not depend on how the table is partitioned, with or without a key.
     """
     df, key = normalize(df), list(key)
     features = list(classify(df, set(exclude) | set(key)).numeric)
     if len(features) < limits.forest_min_columns:
         return IsolationReport(False, f"At least {limits.forest_min_columns} numeric columns are needed.")
     rows = complete_cases(df.select(*[col(k) for k in key], *[col(f) for f in features]), features)
-    hashed = F.xxhash64(*[col(k) for k in key]) if key else F.lit(0).cast("bigint")
-    n, different = rows.agg(F.count(F.lit(1)), F.hll_sketch_estimate(F.hll_sketch_agg(hashed, SKETCH_LG_K))).first()
+    n = rows.count()
     if n < limits.forest_min_rows:
         return IsolationReport(False, f"At least {limits.forest_min_rows} complete numeric rows are needed.")
     # Scores cost a pass through Python and are read several times below.
-    drawn_by = key if different >= n * (1 - SKETCH_MARGIN) else []
-    scored = materialize(score_rows(rows, fit_forest(rows, features, drawn_by, n, limits)), "scores")
+    scored = materialize(score_rows(rows, fit_forest(rows, features, key, n, limits)), "scores")
     threshold = quantile(scored, "anomaly_score", limits.contamination)
     flagged = scored.filter(F.col("anomaly_score") < threshold)
     top = (flagged.orderBy("anomaly_score", *[col(c) for c in [*key, *features]]).limit(limits.forest_top_rows)

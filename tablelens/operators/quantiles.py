@@ -1,7 +1,7 @@
 """Exact, linearly interpolated quantiles of any number of columns at any table size.
 
 ``percentile`` is exact, but its buffer holds every distinct value of the column and ends up in one
-task. It is used for small tables only. Otherwise the wanted order statistics are closed in by counting:
+task. Here the wanted order statistics are closed in by counting, at every table size the same way:
 one scan counts the values of all columns in a few thousand equal bins, together with the smallest and
 largest value of each bin; the bin that holds the rank becomes the range of the next scan, until it
 holds one value or few enough to be ordered. A scan is a generated hash aggregation whose shuffle is
@@ -87,25 +87,11 @@ def _order(df: DataFrame, ranges: list[_Range]) -> dict[tuple[str, int], float]:
     return {(ranges[h["r"]].column, h["k"] + ranges[h["r"]].below): h["v"] for h in hits.collect()}
 
 
-def _direct(df: DataFrame, names: list[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
-    found: dict[str, list[float | None]] = {}
-    for block in chunks(names, LIMITS.columns_per_job):
-        row = df.agg(*[
-            F.percentile(as_double(c), F.array(*map(F.lit, probs))).alias(f"q{i}")
-            for i, c in enumerate(block)
-        ]).first()
-        found.update({c: list(q) if q is not None else [None] * len(probs) for c, q in zip(block, row)})
-    return found
-
-
 def exact_quantiles(df: DataFrame, probs: Sequence[float], stats: Mapping[str, ColumnStats], *,
-                    buffer: int | None = None, direct: int | None = None) -> dict[str, list[float | None]]:
+                    buffer: int | None = None) -> dict[str, list[float | None]]:
     """Quantiles of the columns in ``stats``, which gives their counts and extreme values."""
     buffer = buffer or LIMITS.quantile_buffer
-    direct = LIMITS.direct_quantile_rows if direct is None else direct
-    small = [n for n, c in stats.items() if c.present <= direct]
-    found = _direct(df, small, probs) if small else {}
-
+    found: dict[str, list[float | None]] = {n: [None] * len(probs) for n, c in stats.items() if not c.present}
     answers: dict[tuple[str, int], float] = {}
     open_ = [
         _Range(n, c.low, c.high, 0, c.present,

@@ -44,8 +44,6 @@ class Thresholds:
 class Limits:
     """Sizes up to which a simpler physical strategy is used. No result depends on them."""
 
-    # Values per column up to which `percentile` may collect a column in one buffer.
-    direct_quantile_rows: int = 20_000
     # Values of one range that may be put in order inside one task; larger ranges are split first.
     quantile_buffer: int = 200_000
     # Tasks between which large aggregation states are merged before the last one.

@@ -64,11 +64,23 @@ def test_samples_have_the_right_size(cloud):
     assert len(sizes) == 100 and {r["count"] for r in sizes} == {256}
 
 
-def test_large_tables_are_thinned_first(spark, monkeypatch):
-    monkeypatch.setattr(isolation, "_POOL_ROWS", 4_096)
-    df = spark.range(50_000).selectExpr("id", "rand(3) AS a", "rand(4) AS b")
-    samples = isolation.tree_samples(df, ["a", "b"], ["id"], 50_000)
-    assert {r["count"] for r in samples.groupBy("tree").count().collect()} == {256}
+@pytest.mark.parametrize("key", [[], ["id"]])
+@pytest.mark.parametrize("n", [2_000, 90_000])
+def test_samples_do_not_depend_on_partitions(spark, key, n):
+    df = spark.range(n).selectExpr("id", "CAST(id * 7919 % 1000 AS double) AS a", "CAST(id * 31 % 97 AS double) AS b")
+    one, many = ({(r["tree"], r["draw"], tuple(r["x"])) for r in isolation.tree_samples(d, ["a", "b"], key, n).collect()}
+                 for d in (df.coalesce(1), df.repartition(7)))
+    assert one == many and len(one) == 100 * 256
+
+
+def test_every_row_of_a_large_table_can_be_drawn(spark):
+    """Above any size: the draws spread over the whole table, and a row with many copies is drawn by its share."""
+    df = spark.range(120_000).selectExpr("id", "CAST(IF(id % 2 = 0, -1, id) AS double) AS a", "1.0D AS b")
+    for key in ([], ["id"]):
+        x = [r["x"][0] for r in isolation.tree_samples(df, ["a", "b"], key, 120_000).collect()]
+        assert 0.47 < sum(v == -1 for v in x) / len(x) < 0.53
+        rest = [v for v in x if v != -1]
+        assert len(set(rest)) > 0.8 * len(rest) and 0.45 < sum(v < 60_000 for v in rest) / len(rest) < 0.55
 
 
 def test_score_formula():

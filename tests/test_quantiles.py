@@ -10,9 +10,9 @@ from tablelens.operators.quantiles import exact_quantiles, quantile
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
 
 
-def check(df, names, buffer, direct=0):
+def check(df, names, buffer):
     stats = table_stats(df, names, sketch=False, parse=False)
-    got = exact_quantiles(df, PROBS, stats.columns, buffer=buffer, direct=direct)
+    got = exact_quantiles(df, PROBS, stats.columns, buffer=buffer)
     for name in names:
         values = np.array([r[0] for r in df.select(name).collect() if r[0] is not None], dtype=float)
         assert got[name] == pytest.approx(list(np.quantile(values, PROBS)), rel=1e-12, abs=1e-300)
@@ -40,10 +40,10 @@ def test_extreme_doubles(spark):
 def test_infinities(spark):
     df = spark.createDataFrame([(v,) for v in (-math.inf, 1.0, 2.0, 3.0, math.inf)], "v double")
     stats = table_stats(df, ["v"], sketch=False, parse=False)
-    assert exact_quantiles(df, [0.0, 0.25, 0.5, 1.0], stats.columns, buffer=1, direct=0)["v"] == [-math.inf, 1.0, 2.0, math.inf]
+    assert exact_quantiles(df, [0.0, 0.25, 0.5, 1.0], stats.columns, buffer=1)["v"] == [-math.inf, 1.0, 2.0, math.inf]
 
 
 def test_small_tables_use_one_aggregate(spark):
-    check(spark.range(101).selectExpr("CAST(id AS double) AS v"), ["v"], 10, direct=1_000)
+    check(spark.range(101).selectExpr("CAST(id AS double) AS v"), ["v"], 1_000)
     assert quantile(spark.range(4), "id", 0.5) == 1.5
     assert quantile(spark.range(0), "id", 0.5) is None

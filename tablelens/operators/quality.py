@@ -271,8 +271,10 @@ class QualityReport:
     outliers: dict[str, float]
     flags: Flags
     distinct: dict[str, int]
+    outlier_counts: dict[str, int] = field(default_factory=dict)
 
     def to_dict(self) -> dict:
+        # The names of the nested keys.
         return {
             "overall_score": self.overall,
             "scores": self.scores,
@@ -328,7 +330,8 @@ def assess_data_quality(df: DataFrame, stats: TableStats | None = None, limits:
         rows=stats.rows, overall=round(sum(scores.values()) / 4), scores=scores, missing_pct=missing_pct,
         missing={c.name: c.missing for c in stats.columns.values() if c.missing},
         duplicates=dup["duplicate_count"], duplicate_pct=dup["duplicate_pct"], type_flags=types,
-        outliers=fractions, flags=flags, distinct=counts)
+        outliers=fractions, flags=flags, distinct=counts,
+        outlier_counts={f.column: outside[f.column] for f in fences if outside[f.column] > 0})
 
 
 def quality_score(df: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -19,6 +22,10 @@ BANNED_WORDS = (
 _METHOD_CALLS = r"(?i)\b(?:try_reflect|reflect|java_method)\b`?\s*\("
 
 
+# The semicolon that ends a statement, with whatever comments follow it.
+_AFTER_LAST = re.compile(r";(?:\s|;|--[^\n]*(?:\n|\Z)|/\*(?:(?!\*/).)*\*/)*\Z", re.S)
+
+
 def _without_comments(sql: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(sql, r"--[^\n]*(?:\n|\z)", " "), r"(?s)/\*.*?\*/", " "))
 
@@ -70,27 +77,44 @@ def _violations(spark: SparkSession, sql: str) -> list[str]:
     return list(row["violations"]) + (["calls a JVM method"] if row["calls"] else [])
 
 
+def _relations(df: DataFrame) -> set[str]:
+    """Views and catalog tables that an analysed plan reads, sub-queries included."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return set(re.findall(r"View \(([^,)]+)[,)]", plan)) | set(re.findall(r"SubqueryAlias ((?:\w+\.)+\w+)", plan))
+
+
 def query_readonly(tables: DataFrame | Mapping[str, DataFrame], sql: str) -> QueryResult:
     """Run one SELECT over ``data`` (or the given names); anything else comes back as an error.
 
-    After the audit the text is analysed as a sub-query, a place where the grammar admits no commands,
-    and with file paths switched off as table names.
+    The given tables are common table expressions around the text, over views of unique names that are dropped
+    again: no view of the session is replaced, and a plan that reads any other relation is refused. The
+    text must be a statement by itself and a sub-query, a place where the grammar admits no commands; file paths
+    are no table names.
     """
     named = dict(tables) if isinstance(tables, Mapping) else {"data": tables}
     spark = next(iter(named.values())).sparkSession
     problems = _violations(spark, sql)
     if problems:
         return QueryResult(False, None, "; ".join(problems))
-    for name, df in named.items():
-        register_table(df, name)
+    hidden = {name: f"tablelens_{uuid.uuid4().hex}" for name in named}
     setting = "spark.sql.runSQLOnFiles"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "false")
     try:
-        body = sql.strip().rstrip(";")
-        spark.sql(f"SELECT * FROM (\n{body}\n) LIMIT 0")
-        return QueryResult(True, spark.sql(body), None)
-    except PySparkException as e:
+        for name, df in named.items():
+            register_table(df, hidden[name])
+        given = ", ".join(f"`{n.replace('`', '``')}` AS (SELECT * FROM {h})" for n, h in hidden.items())
+        body = _AFTER_LAST.sub("", sql)
+        spark._jsparkSession.sessionState().sqlParser().parsePlan(body)
+        found = spark.sql(f"WITH {given} SELECT * FROM (\n{body}\n)")
+        allowed = {f"`{h}`" for h in hidden.values()}.union(*map(_relations, named.values()))
+        others = _relations(found) - allowed
+        if others:
+            return QueryResult(False, None, f"reads other tables: {', '.join(sorted(others))}")
+        return QueryResult(True, found, None)
+    except (PySparkException, Py4JJavaError) as e:
         return QueryResult(False, None, str(e))
     finally:
         spark.conf.set(setting, before)
+        for h in hidden.values():
+            spark.catalog.dropTempView(h)

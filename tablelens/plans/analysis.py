@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablelens.operators import anomalies, chartdata, cleaning, eda, forecast, hypothesis, isolation, quality
 from tablelens.operators.columnstats import TableStats, table_stats
+from tablelens.operators.frequency import distinct_counts
+from tablelens.operators.profile import sample_rows
 from tablelens.operators.quantiles import exact_quantiles
-from tablelens.schema import local_frame, normalize
+from tablelens.schema import col, local_frame, normalize
 from tablelens.sources.scratch import materialize
 from tablelens.thresholds import DEFAULTS, Thresholds
 
@@ -54,7 +56,9 @@ class Analysis:
 
     Each job reads only the columns it needs, so a columnar source is best read again. ``keep=True``
     caches the table instead, for sources that are slow to parse or to compute and fit the cluster;
-    ``partitions`` splits small inputs that come in fewer pieces than there are cores.
+    ``partitions`` splits small inputs that come in fewer pieces than there are cores. Distinct values are counted
+    exactly unless ``approximate`` asks for estimates, which are named so. What a step of one's own returns is
+    found in ``results``.
     """
 
     source: DataFrame
@@ -64,8 +68,11 @@ class Analysis:
     keep: bool = False
     partitions: int | None = None
     extra: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
+    approximate: bool = False
+    results: dict[str, DataFrame] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        self._failed: dict[str, Exception] = {}
         self.df = normalize(self.source)
         if self.partitions:
             self.df = self.df.repartition(self.partitions)
@@ -85,9 +92,19 @@ class Analysis:
         self.extra[name] = run
         return self
 
+    def _once(self, name: str, run: Callable):
+        """A failure is remembered, so that reports that share a part don't compute it again to fail again."""
+        if name in self._failed:
+            raise self._failed[name]
+        try:
+            return run()
+        except Exception as e:
+            self._failed[name] = e
+            raise
+
     @cached_property
     def stats(self) -> TableStats:
-        return table_stats(self.df)
+        return self._once("stats", lambda: table_stats(self.df))
 
     @cached_property
     def quantiles(self) -> dict[str, list[float | None]]:
@@ -99,7 +116,8 @@ class Analysis:
 
     @cached_property
     def quality(self) -> quality.QualityReport:
-        return quality.assess_data_quality(self.df, self.stats, self.limits, self.quantiles, self.frequency)
+        return self._once("quality", lambda: quality.assess_data_quality(
+            self.df, self.stats, self.limits, self.quantiles, self.frequency))
 
     @cached_property
     def junk(self) -> set[str]:
@@ -155,9 +173,18 @@ class Analysis:
     # --- long form --------------------------------------------------------------------------------
 
     def _profile(self) -> list[DataFrame]:
+        if self.approximate:
+            distinct, name = self.quality.distinct, "unique_count_estimate"
+        else:
+            distinct = {r["column_name"]: r["distinct_count"] for r in distinct_counts(self.df).collect()}
+            name = "unique_count"
         rows = [("profile", "column", c.name, None, m, float(v), None, None)
-                for c in self.stats.columns.values()
-                for m, v in (("null_count", c.missing), ("unique_count", self.quality.distinct[c.name]))]
+                for c in self.stats.columns.values() for m, v in (("null_count", c.missing), (name, distinct.get(c.name, 0)))]
+        if self.df.columns:
+            shown = sample_rows(self.df, self.limits.sample_rows, [col(k) for k in self.key])
+            whole = F.to_json(F.struct(*map(col, self.df.columns)), {"ignoreNullFields": "false"}).alias("row")
+            rows += [("profile", "sample_row", None, None, "row", None, r["row"], i)
+                     for i, r in enumerate(shown.select(whole).collect(), 1)]
         rows += [("profile", "column", c.name, None, "dtype", None, c.dtype, None) for c in self.stats.columns.values()]
         rows += [("profile", "table", None, None, m, float(v), None, None) for m, v in (
             ("rows", self.stats.rows), ("columns", len(self.df.columns)), ("duplicate_rows", self.quality.duplicates))]
@@ -167,7 +194,12 @@ class Analysis:
         q = self.quality
         rows = [("quality", "score", None, None, m, float(v), None, None)
                 for m, v in [*q.scores.items(), ("overall", q.overall)]]
-        rows += [("quality", "missing", n, None, "missing_count", float(v), None, None) for n, v in q.missing.items()]
+        rows += [("quality", "missing", None, None, "overall_missing_pct", float(q.missing_pct or 0), None, None)]
+        rows += [("quality", "missing", n, None, m, float(x), None, None) for n, v in q.missing.items()
+                 for m, x in (("missing_count", v), ("missing_pct", round(100 * v / q.rows, 1)))]
+        rows += [("quality", "duplicates", None, None, m, float(v), None, None)
+                 for m, v in (("duplicate_count", q.duplicates), ("duplicate_pct", q.duplicate_pct or 0))]
+        rows += [("quality", "outliers", n, None, "outlier_count", float(v), None, None) for n, v in q.outlier_counts.items()]
         rows += [("quality", "type", n, k, "parse_rate", r, None, None) for n, k, r in q.type_flags]
         rows += [("quality", "outliers", n, None, "outlier_fraction", v, None, None) for n, v in q.outliers.items()]
         rows += [("quality", "flag", n, None, f, None, None, None) for f, names in (
@@ -210,11 +242,15 @@ class Analysis:
                 _long(top, "isolation_forest", "row", ("anomaly_score",), item="row")]
 
     def _tests(self) -> list[DataFrame]:
+        best = hypothesis.top_significant(self.tests, self.limits)
+        means = best.select("numeric_column", "categorical_column", F.explode("group_means").alias("group", "group_mean")).withColumn(
+            "item", F.concat_ws(": ", "categorical_column", "group"))
         return [
+            _long(means, "tests", "group", ("group_mean",), column="numeric_column", item="item"),
             _long(hypothesis.sweep_summary(self.tests), "tests", "summary",
                   ("total_tests_run", "significant_results_count"), ("note",)),
-            _long(hypothesis.top_significant(self.tests, self.limits), "tests", "significant",
-                  ("statistic", "p_value"), ("test",), column="numeric_column", item="categorical_column"),
+            _long(best, "tests", "significant",
+                  ("statistic", "p_value", "groups_compared"), ("test",), column="numeric_column", item="categorical_column"),
         ]
 
     def _cleaning(self) -> list[DataFrame]:
@@ -227,7 +263,11 @@ class Analysis:
         f = self.forecast
         if not f.ran:
             raise _NotRun(f.reason)
-        return [_long(f.forecast.withColumn("series", F.to_json(F.struct(*self.series_keys)) if self.series_keys
+        header = [("forecast", "header", None, None, m, None, t, None)
+                  for m, t in (("date_column", f.date_column), ("value_column", f.value_column))]
+        header.append(("forecast", "header", None, None, "historical_points", float(f.historical_points), None, None))
+        return [local_frame(self.df, header, REPORT_SCHEMA),
+                _long(f.forecast.withColumn("series", F.to_json(F.struct(*self.series_keys)) if self.series_keys
                                             else F.lit("all")),
                       "forecast", "point", ("predicted_value", "naive_baseline"), ("date",), column="series",
                       item="date", rank="step_no")]
@@ -236,8 +276,10 @@ class Analysis:
         def own(name: str, run: Callable[[DataFrame], DataFrame]) -> _Step:
             # A row count starts the computation, so that a failure stays with its step.
             def go() -> list[DataFrame]:
-                return [local_frame(self.df, [(name, "result", None, None, "rows", float(run(self.df).count()),
-                                               None, None)], REPORT_SCHEMA)]
+                result = run(self.df)
+                rows = float(result.count())
+                self.results[name] = result
+                return [local_frame(self.df, [(name, "result", None, None, "rows", rows, None, None)], REPORT_SCHEMA)]
             return _Step(name, go)
 
         return [
@@ -282,3 +324,15 @@ def analyze(df: DataFrame, key: Iterable[str] = (), series_keys: Iterable[str] =
         return analysis.run()
     finally:
         analysis.close()
+
+
+def analyze_file(spark: SparkSession, path: str, **options) -> tuple[DataFrame, DataFrame]:
+    """``analyze`` for a file, folder or pattern; the status begins with ``load``, which alone is left if reading fails."""
+    from tablelens.sources.readers import load_data_file
+
+    try:
+        df = load_data_file(spark, path)
+    except (ValueError, OSError) as e:
+        return spark.createDataFrame([], REPORT_SCHEMA), spark.createDataFrame([("load", False, str(e))], _STATUS)
+    report, status = analyze(df, **options)
+    return report, spark.createDataFrame([("load", True, None)], _STATUS).unionAll(status)

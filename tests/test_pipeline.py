@@ -1,6 +1,6 @@
 import pytest
 
-from tablelens import Analysis, analyze, load_data_file
+from tablelens import Analysis, analyze, analyze_file, load_data_file
 from tablelens.plans import analysis as plan
 
 
@@ -86,3 +86,39 @@ def test_file_to_reports(spark, tmp_path):
     assert [(s.type, s.column) for s in a.suggestions] == [
         ("fill_missing_numeric", "rating"), ("drop_id_column", "movie_id"), ("drop_id_column", "votes")]
     a.close()
+
+
+def test_file_in_reports_out(spark, tmp_path):
+    report, status = analyze_file(spark, movie_like(tmp_path))
+    assert status.first()["report"] == "load" and status.filter("NOT ran").collect()[0]["report"] == "forecast"
+    assert report.filter("section = 'sample_row'").count() == 5
+    assert report.filter("report = 'profile' AND metric = 'unique_count' AND column_name = 'votes'").first()["value"] == 200.0
+    for path in (f"{tmp_path}/none.csv", f"{tmp_path}/notes.txt"):
+        report, status = analyze_file(spark, path)
+        assert report.count() == 0 and [(r["report"], r["ran"]) for r in status.collect()] == [("load", False)] and status.first()["reason"]
+
+
+def test_details_of_the_reports(sales):
+    a = Analysis(sales, key=("order_id",)).add_step("by_region", lambda df: df.groupBy("region").count())
+    report, _ = a.run()
+    rows = report.collect()
+    found = {(r["report"], r["section"], r["column_name"], r["metric"]): r["value"] if r["text"] is None else r["text"] for r in rows}
+    assert found["quality", "missing", "amount", "missing_pct"] == 5.0 and found["quality", "duplicates", None, "duplicate_count"] == 0.0
+    assert found["quality", "missing", None, "overall_missing_pct"] > 0
+    assert found["forecast", "header", None, "date_column"] == "day" and found["forecast", "header", None, "historical_points"] == 60.0
+    assert a.results["by_region"].count() == 4
+    significant = {(r["column_name"], r["item"]) for r in rows if r["section"] == "significant"}
+    assert {(r["column_name"], r["item"].split(": ")[0]) for r in rows if r["section"] == "group"} == significant
+    a.close()
+
+
+def test_estimates_are_named_so(sales):
+    a = Analysis(sales, approximate=True)
+    assert {r["metric"] for f in a._profile() for r in f.filter("section = 'column'").collect()} == {"null_count", "unique_count_estimate", "dtype"}
+
+
+def test_a_shared_part_fails_once(sales, monkeypatch):
+    calls = []
+    monkeypatch.setattr(plan.quality, "assess_data_quality", lambda *a, **k: calls.append(1) or 1 / 0)
+    Analysis(sales).run()
+    assert len(calls) == 1

@@ -61,3 +61,26 @@ def test_several_tables(data, rows):
     names = rows([("a", "first")], "category string, name string")
     r = sqlguard.query_readonly({"data": data, "names": names}, "SELECT name, sum(price) AS s FROM data JOIN names USING (category) GROUP BY name")
     assert r.df.first().asDict() == {"name": "first", "s": 30.0}
+
+
+def test_other_views_are_out_of_reach(spark, data):
+    spark.range(3).createOrReplaceTempView("secret_other")
+    spark.range(7).createOrReplaceTempView("data")
+    try:
+        for sql in ("SELECT * FROM secret_other", "SELECT (SELECT max(id) FROM secret_other) AS m FROM data",
+                    "WITH t AS (SELECT * FROM secret_other) SELECT * FROM t", "SELECT price FROM data WHERE price IN (SELECT id FROM secret_other)"):
+            r = sqlguard.query_readonly(data, sql)
+            assert not r.success and "secret_other" in r.error
+        assert sqlguard.query_readonly(data, "SELECT count(*) AS n FROM data").df.first()["n"] == 3
+        assert spark.table("data").count() == 7
+        assert {t.name for t in spark.catalog.listTables()} >= {"data", "secret_other"}
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("tablelens_")]
+    finally:
+        spark.catalog.dropTempView("secret_other")
+        spark.catalog.dropTempView("data")
+
+
+@pytest.mark.parametrize("sql", ["SELECT count(*) AS n FROM data; -- done", "SELECT count(*) AS n FROM data /* a */ ; /* b; */ -- c",
+                                 "SELECT count(*) AS n FROM data -- x", "WITH data2 AS (SELECT * FROM data) SELECT count(*) AS n FROM data2;"])
+def test_comments_after_the_statement(data, sql):
+    assert sqlguard.query_readonly(data, sql).df.first()["n"] == 3

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+from functools import reduce
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -59,49 +62,83 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*cells)
 
 
+def _same(path: str) -> str:
+    """A file's path in one spelling, whether Spark quoted it or not."""
+    return re.sub(r"^(\w+):/+", r"\1:/", unquote(path))
+
+
+def _files_by_kind(spark: SparkSession, path: str, probe: DataFrame) -> dict[str, str | list[str]]:
+    """Paths to read for each ``kind`` in ``probe`` (file, kind); ``path`` itself if all files are of one kind.
+
+    Only the paths of the files that are not of the commonest kind are collected.
+    """
+    probe = probe.persist()
+    try:
+        kinds = [r["kind"] for r in probe.groupBy("kind").count().orderBy(F.desc("count"), "kind").collect()]
+        if len(kinds) < 2:
+            return {k: path for k in kinds}
+        others: dict[str, str | list[str]] = {}
+        for r in probe.filter(F.col("kind") != kinds[0]).collect():
+            others.setdefault(r["kind"], []).append(unquote(r["file"]))
+    finally:
+        probe.unpersist()
+    taken = {_same(f) for files in others.values() for f in files}
+    return {kinds[0]: [unquote(f) for f in spark.read.text(path).inputFiles() if _same(f) not in taken], **others}
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header in the first row; UTF-8, or Latin-1 for all of it if any line is not valid UTF-8.
+    """Header in the first row of each file; UTF-8, or Latin-1 for a file that is not valid UTF-8.
 
-    One cheap scan of the lines finds the encoding, empty input, and quotes that stay open at the end of
-    a line. Only in the last case are files read whole, one per task, since a split could start inside
-    a quoted value.
+    One cheap scan of the lines finds encoding and quotes that stay open at the end of a line, file by file. Only
+    files with open quotes are read whole, one per task, since a split could start inside a quoted value.
     """
     try:
         line = F.col("value")
         quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-        probe = spark.read.text(path).agg(
-            F.count(F.lit(1)).alias("lines"),
-            F.coalesce(F.bool_and(F.is_valid_utf8(line)), F.lit(True)).alias("utf8"),
-            F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("open_quotes"),
-        ).first()
-        if not probe["lines"]:
+        probe = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
+            F.bool_and(F.is_valid_utf8(line)).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("open_quotes"))
+        kinds = _files_by_kind(spark, path, probe.select("file", F.concat(
+            F.when(F.col("utf8"), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1")),
+            F.when(F.col("open_quotes"), F.lit(" whole")).otherwise(F.lit(""))).alias("kind")))
+        if not kinds:
             raise ValueError(f"{path} is empty.")
-        raw = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-               .option("multiLine", probe["open_quotes"]).option("mode", "PERMISSIVE")
-               .option("encoding", "UTF-8" if probe["utf8"] else "ISO-8859-1").csv(path))
+        parts = [spark.read.option("header", True).option("quote", '"').option("escape", '"')
+                 .option("multiLine", kind.endswith(" whole")).option("mode", "PERMISSIVE")
+                 .option("encoding", kind.split()[0]).csv(files) for kind, files in kinds.items()]
     except READ_ERRORS as e:
         raise _unreadable(path, "CSV", e) from e
-    return infer_types(require_rows(raw, path))
+    return infer_types(require_rows(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), path))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A list of records, an object of columns, or one record per line; recognised by the first line."""
+    """A list of records, an object of columns, or one record per line; recognised file by file from the first line.
+
+    Only the ends of that line are looked at, so a file on a single line never reaches the driver.
+    """
     try:
-        head = [r["value"].strip() for r in spark.read.text(path).filter("trim(value) != ''").limit(2).collect()]
-        if not head:
+        text = F.trim("value")
+        lines = spark.read.text(path).filter(text != "").select(
+            F.col("_metadata.file_path").alias("file"), F.substring(text, 1, 1).alias("head"), F.substring(text, -1, 1).alias("tail"),
+            F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
+        probe = lines.groupBy("file").agg(
+            F.count(F.lit(1)).alias("n"), F.min_by("head", "place").alias("head"), F.min_by("tail", "place").alias("tail"))
+        records = (F.col("n") > 1) & (F.col("tail") == "}")
+        kinds = _files_by_kind(spark, path, probe.select("file", F.when(F.col("head") != "{", F.lit("list")).when(
+            records, F.lit("records")).otherwise(F.lit("columns")).alias("kind")))
+        if not kinds:
             raise ValueError(f"{path} is empty.")
-        if head[0].startswith("{") and len(head) == 2 and head[0].endswith("}"):
-            df = spark.read.option("mode", "FAILFAST").json(path)
-        elif head[0].startswith("{"):
-            df = _column_objects(spark, path)
-        else:
-            df = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
-        return require_rows(df, path)
+        read = {
+            "records": lambda files: spark.read.option("mode", "FAILFAST").json(files),
+            "list": lambda files: spark.read.option("multiLine", True).option("mode", "FAILFAST").json(files),
+            "columns": lambda files: _column_objects(spark, files),
+        }
+        parts = [read[kind](files) for kind, files in kinds.items()]
+        return require_rows(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), path)
     except READ_ERRORS as e:
         raise _unreadable(path, "JSON", e) from e
 
 
-def _column_objects(spark: SparkSession, path: str) -> DataFrame:
+def _column_objects(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``{"column": {"row": value}}`` or ``{"column": [values]}``, one object per file."""
     whole = spark.read.text(path, wholetext=True).select(
         F.from_json("value", "map<string,string>").alias("m"), F.col("_metadata.file_path").alias("file"))

@@ -4,6 +4,7 @@ import zipfile
 import pytest
 
 from tablelens import load_data_file
+from tablelens.sources import readers
 from tablelens.sources.readers import read_csv
 from tablelens.sources.writers import write_cleaned, write_report
 
@@ -158,3 +159,23 @@ def test_writers(spark, tmp_path):
     report = df.selectExpr("'quality' AS report", "a", "b")
     write_report(report, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r" / "report=quality")).count() == 2
+
+
+def test_encodings_and_open_quotes_per_file(spark, tmp_path):
+    folder = tmp_path / "mixed.csv"
+    folder.mkdir()
+    (folder / "a one.csv").write_bytes("name,n\nZoë,1\n日本,2\n".encode())
+    (folder / "b.csv").write_bytes("name,n\nRené,3\n".encode("latin-1"))
+    (folder / "c.csv").write_bytes('name,n\n"two\nlines",4\n'.encode())
+    df = readers.read_csv(spark, str(folder))
+    assert {(r["name"], r["n"]) for r in df.collect()} == {("Zoë", 1), ("日本", 2), ("René", 3), ("two\nlines", 4)}
+
+
+def test_json_shapes_per_file(spark, tmp_path):
+    folder = tmp_path / "mixed.json"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"k": 1, "v": "a"}\n{"k": 2, "v": "b"}\n')
+    (folder / "b.json").write_text('[{"k": 3, "v": "c"}, {"k": 4, "v": "d"}]')
+    (folder / "c.json").write_text('{"k": {"0": 5}, "v": {"0": "e"}}')
+    df = readers.read_json(spark, str(folder))
+    assert {(r["k"], r["v"]) for r in df.collect()} == {(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e")}

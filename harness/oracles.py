@@ -140,6 +140,15 @@ def _naive() -> str:
         FROM ends JOIN steps USING (event_type), range(1, 8) r(k) WHERE n >= 5"""
 
 
+def _sweep() -> str:
+    """The upper tail of F has a closed form for the even numerator degrees of freedom found here."""
+    return f"""
+            SELECT categorical_column, numeric_column, 'one-way ANOVA' AS test, groups_compared,
+                   round_even(statistic, 3) AS statistic, round_even(p, 4) AS p_value, p < 0.05 AS likely_significant
+            FROM (SELECT *, CASE df1 WHEN 2 THEN pow(x, df2 / 2) WHEN 4 THEN pow(x, df2 / 2) * (1 + df2 / 2 * (1 - x)) END AS p
+                  FROM (SELECT *, df2 / (df2 + df1 * statistic) AS x FROM ({anova('order_lines')})))"""
+
+
 def oracles() -> dict[str, str]:
     dirty = cte("dirty_orders")
     out = {
@@ -268,12 +277,25 @@ def oracles() -> dict[str, str]:
               ON a.numeric_column = b.numeric_column AND a.category < b.category""",
         "anova_f": cte("order_lines") + " SELECT categorical_column, numeric_column, groups_compared, "
                    f"round_even(statistic, 4) AS statistic, df1, df2 FROM ({anova('order_lines')})",
-        # The upper tail of F has a closed form for the even numerator degrees of freedom found here.
-        "hypothesis_sweep": cte("order_lines") + f"""
-            SELECT categorical_column, numeric_column, 'one-way ANOVA' AS test, groups_compared,
-                   round_even(statistic, 3) AS statistic, round_even(p, 4) AS p_value, p < 0.05 AS likely_significant
-            FROM (SELECT *, CASE df1 WHEN 2 THEN pow(x, df2 / 2) WHEN 4 THEN pow(x, df2 / 2) * (1 + df2 / 2 * (1 - x)) END AS p
-                  FROM (SELECT *, df2 / (df2 + df1 * statistic) AS x FROM ({anova('order_lines')})))""",
+        "hypothesis_sweep": cte("order_lines") + _sweep(),
+        "sweep_summary": cte("order_lines") + f""", s AS ({_sweep()})
+            SELECT count(*) AS total_tests_run, count(*) FILTER (likely_significant) AS significant_results_count,
+                   CASE WHEN count(*) > 0 THEN 'No correction for multiple comparisons: among ' || count(*)
+                        || ' tests some differences look significant by chance.' END AS note FROM s""",
+        "top_significant": cte("order_lines") + f""", s AS ({_sweep()})
+            SELECT * FROM s WHERE likely_significant ORDER BY p_value, categorical_column, numeric_column LIMIT 5""",
+        "holt_lines": f"""{cte("trend_lines")}, n AS (SELECT line, count(*) AS n FROM trend_lines GROUP BY line)
+            SELECT line, CAST(s AS INTEGER) AS step_no, DATE '2000-01-01' + CAST(n + s AS INTEGER) AS date,
+                   CAST(10 * line + (n + s) / 2.0 AS DOUBLE) AS predicted_value, CAST(10 * line + n / 2.0 AS DOUBLE) AS naive_baseline
+            FROM n CROSS JOIN range(1, 8) r(s) WHERE n >= 5""",
+        "chart_lines": f"""{cte("trend_lines")}, n AS (SELECT line, count(*) AS n FROM trend_lines GROUP BY line)
+            SELECT line, 'history' AS kind, day AS date, CAST(value AS DOUBLE) AS value FROM trend_lines
+            UNION ALL SELECT line, 'forecast', DATE '2000-01-01' + CAST(n + s AS INTEGER), CAST(10 * line + (n + s) / 2.0 AS DOUBLE)
+            FROM n CROSS JOIN range(1, 8) r(s) WHERE n >= 5""",
+        "skipped_series": """
+            SELECT o_custkey, count(DISTINCT o_orderdate) AS points,
+                   'too short: ' || count(DISTINCT o_orderdate) || ' of the 5 points that a forecast takes' AS reason
+            FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderdate) < 5""",
         "cleaning_suggestions": cte("dirty_status") + """
             SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS seq, type, column_name, auto_applied FROM (
                 SELECT 1 AS k, 'fill_missing_numeric' AS type, 'price_band' AS column_name, true AS auto_applied, count(*) AS n

@@ -241,6 +241,16 @@ def hypothesis_sweep(spark, sf):
     return hypothesis.hypothesis_tests(view(spark, sf, "order_lines")).drop("group_means")
 
 
+@query
+def sweep_summary(spark, sf):
+    return hypothesis.sweep_summary(hypothesis.hypothesis_tests(view(spark, sf, "order_lines")))
+
+
+@query
+def top_significant(spark, sf):
+    return hypothesis.top_significant(hypothesis.hypothesis_tests(view(spark, sf, "order_lines"))).drop("group_means")
+
+
 # --- cleaning -------------------------------------------------------------------------------------
 
 @query
@@ -310,6 +320,26 @@ def holt_forecast(spark, sf):
     return forecast.holt_forecast(_event_points(spark, sf), ["event_type"])
 
 
+def _line_points(spark, sf):
+    return forecast.series_points(view(spark, sf, "trend_lines"), "day", "value", ["line"])
+
+
+@query
+def holt_lines(spark, sf):
+    return forecast.holt_forecast(_line_points(spark, sf), ["line"])
+
+
+@query
+def chart_lines(spark, sf):
+    points = _line_points(spark, sf)
+    return forecast.chart_series(points, forecast.holt_forecast(points, ["line"]), ["line"])
+
+
+@query
+def skipped_series(spark, sf):
+    return forecast.skipped_series(forecast.series_points(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", ["o_custkey"]), ["o_custkey"])
+
+
 @query
 def forecast_chart(spark, sf):
     points = _event_points(spark, sf)

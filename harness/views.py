@@ -49,6 +49,10 @@ VIEWS = {
     "order_days": """
         SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS day, o_totalprice FROM orders""",
     "event_days": "SELECT event_type, CAST(ts AS DATE) AS day, value FROM events",
+    # Exact straight lines of different lengths, one point a day.
+    "trend_lines": """
+        SELECT line, DATE '2000-01-01' + CAST(i AS INTEGER) AS day, 10 * line + i / 2.0 AS value
+        FROM (SELECT o_custkey % 5 AS line, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS i FROM orders) AS numbered""",
     "order_lines": """
         SELECT o_orderstatus, o_orderpriority, c_mktsegment, o_totalprice, c_acctbal
         FROM orders JOIN customer ON o_custkey = c_custkey""",

@@ -130,10 +130,10 @@ def disclosing_terms(docs: DataFrame, least_lines: int = LEAST_LINES, discloses:
         F.explode(F.array_distinct(F.split("line", _TERM_GAP))).alias("term")
     ).where(F.length(term) >= TERM_CHARS)
     n_term = everywhere.join(broadcast_if_small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    lines = docs.select(F.sum(F.size(F.split("text", "\n"))).cast("double").alias("n_lines"))
-    scored = candidates.join(values, "value").join(n_term, "term").crossJoin(F.broadcast(lines))  # one row
-    info = F.log2(F.col("n_lines") / F.col("n_value"))
-    pmi = F.log2(F.col("n_lines") * F.col("n_both") / (F.col("n_value").cast("double") * F.col("n_term")))
+    n_lines = F.lit(float(docs.agg(F.sum(F.size(F.split("text", "\n")))).first()[0] or 0))
+    scored = candidates.join(values, "value").join(n_term, "term")
+    info = F.log2(n_lines / F.col("n_value"))
+    pmi = F.log2(n_lines * F.col("n_both") / (F.col("n_value").cast("double") * F.col("n_term")))
     return scored.where(info > 0).groupBy("term").agg(F.max(pmi / info).alias("strength")).where(F.col("strength") >= discloses)
 
 

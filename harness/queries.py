@@ -263,13 +263,15 @@ def cleaning_suggestions(spark, sf):
 @query
 def cleaned_table(spark, sf):
     df = view(spark, sf, "dirty_status")
-    return cleaning.apply_cleaning_actions(df, cleaning.suggest_cleaning_actions(df)).df
+    report = quality.assess_data_quality(df)
+    return cleaning.apply_cleaning_actions(df, cleaning.suggest_cleaning_actions(df, report), report).df
 
 
 @query
 def cleaning_log(spark, sf):
     df = view(spark, sf, "dirty_status")
-    return cleaning.apply_cleaning_actions(df, cleaning.suggest_cleaning_actions(df)).log_frame().select(
+    report = quality.assess_data_quality(df)
+    return cleaning.apply_cleaning_actions(df, cleaning.suggest_cleaning_actions(df, report), report).log_frame().select(
         "seq", "action", "column_name", "affected")
 
 

@@ -272,6 +272,9 @@ class QualityReport:
     flags: Flags
     distinct: dict[str, int]
     outlier_counts: dict[str, int] = field(default_factory=dict)
+    # What the checks were made of, for the cleaning that follows.
+    stats: TableStats | None = None
+    medians: dict[str, float | None] = field(default_factory=dict)
 
     def to_dict(self) -> dict:
         # The names of the nested keys.
@@ -305,6 +308,8 @@ def assess_data_quality(df: DataFrame, stats: TableStats | None = None, limits:
     one narrow shuffle for the duplicates and one small one for the categories."""
     df = normalize(df)
     stats = stats or table_stats(df)
+    if quartiles is None:
+        quartiles = exact_quantiles(df, [0.25, 0.5, 0.75], stats.numeric(df))
     own = frequency is None
     frequency = small_frequency(df, stats, limits) if own else frequency
     missing, missing_pct = _missing_score(stats)
@@ -331,7 +336,8 @@ def assess_data_quality(df: DataFrame, stats: TableStats | None = None, limits:
         missing={c.name: c.missing for c in stats.columns.values() if c.missing},
         duplicates=dup["duplicate_count"], duplicate_pct=dup["duplicate_pct"], type_flags=types,
         outliers=fractions, flags=flags, distinct=counts,
-        outlier_counts={f.column: outside[f.column] for f in fences if outside[f.column] > 0})
+        outlier_counts={f.column: outside[f.column] for f in fences if outside[f.column] > 0},
+        stats=stats, medians={n: q[1] for n, q in quartiles.items() if len(q) == 3})
 
 
 def quality_score(df: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:

@@ -163,7 +163,7 @@ class Analysis:
 
     @cached_property
     def cleaned(self) -> cleaning.CleaningResult:
-        return cleaning.apply_cleaning_actions(self.df, self.suggestions)
+        return cleaning.apply_cleaning_actions(self.df, self.suggestions, self.quality)
 
     @cached_property
     def forecast(self) -> forecast.ForecastReport:

@@ -133,7 +133,8 @@ def later_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, line_words: in
     owners = rows.groupBy("key").agg(
         F.min(F.struct("doc_id", "nth")).alias("o"), F.max("doc_id").alias("latest")
     ).where("o.doc_id < latest").select("key", F.col("o.doc_id").alias("owner"), F.col("o.nth").alias("owner_nth"))
-    common = rows.join(owners, "key").where("owner < doc_id").drop("key")
+    # written, so that both sides of the join are plain shuffles and Spark can split the lines of a frequent key
+    common = rows.join(written(owners, "owners"), "key").where("owner < doc_id").drop("key")
     ordered = common.repartition("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "owner", "nth")
     names = ordered.columns
     fields = ("doc_id", "text_hash", "first", "last", "lines", "words")

@@ -1,8 +1,10 @@
 """Quality rules and personal data against plain loops."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -94,3 +96,56 @@ def test_query_digest(spark):
     for r in pii.query(spark, "/root/testdata/sf0.001").collect():
         want = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in naive_spans(docs[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def naive_terms(texts):
+    """Strength of every disclosing term, by counting lines."""
+    def gone(line):
+        for pattern in (EMAIL, IP):
+            line = pattern.sub("\n", line)
+        line = CARD.sub(lambda m: "\n" if 14 <= len(re.sub("[^0-9]", "", m.group())) <= 19 else m.group(), line)
+        return PHONE.sub("\n", line)
+
+    def terms(line):
+        return {w for w in re.split(r"[\W_]+", line) if len(w) >= 3}
+
+    lines = [x for t in texts for x in (t or "").split("\n")]
+    both, kinds, values, n_term = Counter(), defaultdict(set), Counter(), Counter()
+    for x in lines:
+        n_term.update(terms(x))
+        for v in {x[a:b] for a, _, b in naive_spans(x)}:
+            values[v] += 1
+            for w in terms(gone(x)):
+                both[v, w] += 1
+                kinds[v, w].add(x)
+    out = {}
+    for (v, w), n in both.items():
+        info = math.log2(len(lines) / values[v])
+        if len(kinds[v, w]) >= pii.LEAST_LINES and info > 0 and n_term[w]:  # cutting out a value can leave half a word
+            strength = math.log2(len(lines) * n / (values[v] * n_term[w])) / info
+            if strength >= pii.DISCLOSES:
+                out[w] = max(strength, out.get(w, 0.0))
+    return out
+
+
+def test_disclosing_terms_match_loops(spark):
+    rnd = random.Random(12)
+    values = ["bo@mail.example.com", "10.0.0.7", "+1 (555) 123-4567", "4111 1111 1111 1111"]
+    texts = []
+    for _ in range(400):
+        lines = []
+        for _ in range(rnd.randint(1, 4)):
+            words = [f"word{rnd.randint(0, 60)}" for _ in range(rnd.randint(1, 8))]
+            if rnd.random() < 0.25:
+                v = rnd.randrange(4)
+                words.insert(rnd.randint(0, len(words)), values[v])
+                words += [f"Near{v}"] * (rnd.random() < 0.8) + [f"loose{v}"] * (rnd.random() < 0.5)
+            elif rnd.random() < 0.03:
+                words.append(f"loose{rnd.randrange(4)}")
+            lines.append(" ".join(words))
+        texts += ["\n".join(lines)] * rnd.choice([1, 1, 1, 3])
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "doc_id bigint, text string")
+    got = {r["term"]: r["strength"] for r in pii.disclosing_terms(df.selectExpr("doc_id", "coalesce(text, '') AS text")).collect()}
+    want = naive_terms([*texts, None])
+    assert got.keys() == want.keys() and {"Near0", "Near1", "Near2", "Near3"} <= got.keys()
+    assert all(math.isclose(got[w], want[w], rel_tol=1e-9) for w in want)

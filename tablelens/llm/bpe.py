@@ -8,7 +8,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,7 +143,10 @@ def bpe_encode(docs: DataFrame, source: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
         for b in pieces(batches):
-            ids = pa.array([model.encode(t) for t in strings(b)], pa.list_(pa.int32()))
+            each = [model.encode(t) for t in strings(b)]
+            ends = np.cumsum([0, *map(len, each)])
+            flat = np.fromiter(chain.from_iterable(each), np.int32, ends[-1])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], ["doc_id", "text", "ids"])
 
     rows = docs.select("doc_id", "text")
@@ -156,7 +161,9 @@ def bpe_decode(encoded: DataFrame, source: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
         for b in pieces(batches, "ids"):
-            text = pa.array([model.decode(x or []) for x in b.column(1).to_pylist()], pa.string())
+            flat = b.column(1).flatten().to_numpy().tolist()
+            ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(b.column(1)), 0).to_pylist()]).tolist()
+            text = pa.array([model.decode(flat[i:j]) for i, j in zip(ends, ends[1:])], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), text], ["doc_id", "ids", "decoded"])
 
     rows = encoded.select("doc_id", "ids")

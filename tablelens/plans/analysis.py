@@ -14,7 +14,7 @@ from tablelens.operators.frequency import distinct_counts
 from tablelens.operators.profile import sample_rows
 from tablelens.operators.quantiles import exact_quantiles
 from tablelens.schema import col, local_frame, normalize
-from tablelens.sources.scratch import materialize
+from tablelens.sources.scratch import materialize, release
 from tablelens.thresholds import DEFAULTS, Thresholds
 
 REPORT_SCHEMA = ("report string, section string, column_name string, item string, metric string, "
@@ -81,6 +81,9 @@ class Analysis:
             self.df = self.df.persist()
 
     def close(self) -> None:
+        """Give back caches and scratch files; reports that were not read by then can't be any more."""
+        if "isolation" in self.__dict__ and self.isolation.scored is not None:
+            release(self.isolation.scored)
         if self.keep:
             self.df.unpersist()
         for small in ("frequency", "tests"):

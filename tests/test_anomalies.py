@@ -109,3 +109,16 @@ def test_scratch_folder():
 
 def test_materialize_reads_back_what_it_wrote(spark):
     assert materialize(spark.range(3), "t").count() == 3
+
+
+def test_release_deletes_the_files(spark, tmp_path):
+    import os
+    from urllib.parse import urlparse
+
+    from tablelens.sources.scratch import release
+
+    df = materialize(spark.range(3), "gone")
+    folder = os.path.dirname(urlparse(df.inputFiles()[0]).path)
+    assert os.path.isdir(folder)
+    release(df)
+    assert not os.path.exists(folder)

@@ -23,7 +23,7 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Parts up to which a word is scanned for its minimum; longer words (one run of letters in a page) use a heap.
 SHORT = 96
 #: Encoded words that a worker remembers before it starts afresh; a bound on memory, not on results.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 NEVER = 1 << 60
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +22,7 @@ MOST_CONTEXTS = 40_000
 #: Bytes scored at once.
 CHUNK = 1 << 19
 UNKNOWN = "und"
-LOWERED = "text in lower case"
+LETTERS = "letters in it"
 
 
 class ContextTrees:
@@ -107,21 +105,6 @@ class ContextTrees:
                 totals[for_docs[some]] += sums[::2]
         return totals
 
-    def dump(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, languages=np.array(self.languages), symbol=self.symbol, node=self.node, bits=self.bits)
-        return out.getvalue()
-
-    @classmethod
-    def load(cls, data: bytes) -> ContextTrees:
-        z = np.load(io.BytesIO(data))
-        return cls(z["languages"].tolist(), z["symbol"], z["node"], z["bits"])
-
-
-@lru_cache(maxsize=1)
-def _model(data: bytes) -> ContextTrees:
-    return ContextTrees.load(data)
-
 
 def fit_languages(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, most_bytes: int = BYTES_PER_TEXT) -> ContextTrees:
     """Fits trees on at most 1.5 * ``texts`` texts per language, none longer than ``most_bytes``, chosen by text hash.
@@ -133,8 +116,8 @@ def fit_languages(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, most_bytes:
         ~held_out() & F.col("lang").isNotNull() & F.octet_length("text").between(1, most_bytes)
     )
     found: dict[str, list[bytes]] = {}
-    for r in sample_per_class(rows, "lang", F.xxhash64("text"), texts).select("lang", F.lower("text")).collect():
-        found.setdefault(r[0], []).append(r[1].encode())
+    for r in sample_per_class(rows, "lang", F.xxhash64("text"), texts).select("lang", "text").collect():
+        found.setdefault(r[0], []).append(r[1].lower().encode())
     return ContextTrees.fit({l: sorted(t) for l, t in found.items()})
 
 
@@ -147,27 +130,27 @@ def identify_languages(
     or letterless text is ``und`` with score 0, as is every text if no language could be learned. Ties go to the
     language that sorts first.
     """
-    data = docs.sparkSession.sparkContext.broadcast(model.dump())
-    languages = len(model.languages)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_CONTEXTS
+    others, whole = [c for c in keep if c != "text"], "text" in keep
+    rows = docs.select(*[F.col(f"`{c}`") for c in others], "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(LETTERS))
+    out = [*others, *(["text"] if whole else [])]
+    if not model.languages:
+        return rows.select(*[F.col(f"`{c}`") for c in out], F.lit(UNKNOWN).alias(names[0]), F.lit(0.0).alias(names[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = _model(data.value)
-        for b in pieces(batches, LOWERED, most=CHUNK):
-            bits = trees.code_lengths([t.encode() for t in strings(b, LOWERED)])
+        trees = shared.value
+        for b in pieces(batches, most=CHUNK):
+            bits = trees.code_lengths([t.lower().encode() for t in strings(b)])
             best = bits.argmin(axis=1)
             score = 1 / np.exp2(np.minimum(bits.min(axis=1, keepdims=True) - bits, 0)).sum(axis=1)
             likeliest = np.array(trees.languages, object)[best]
-            known = np.array(b.column(len(keep) + 1).to_pylist(), bool)
+            known = np.array(b.column(len(others) + 1).to_pylist(), bool)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:len(keep)], pa.array(np.where(known, likeliest, UNKNOWN), pa.string()), pa.array(np.where(known, score, 0.0))],
-                [*keep, *names],
+                [*b.columns[:len(out)], pa.array(np.where(known, likeliest, UNKNOWN), pa.string()), pa.array(np.where(known, score, 0.0))],
+                [*out, *names],
             )
 
-    own = [F.col(f"`{c}`") for c in keep]
-    rows = docs.select(*own, F.lower("text").alias(LOWERED), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters in it"))
-    if not languages:
-        return rows.select(*own, F.lit(UNKNOWN).alias(names[0]), F.lit(0.0).alias(names[1]))
-    schema = T.StructType([*rows.schema.fields[:len(keep)], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields[:len(out)], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return rows.mapInArrow(run, schema)
 
 

@@ -11,13 +11,16 @@ from tablelens.llm.shared import delete, written
 def _star(links: DataFrame, both: bool) -> DataFrame:
     """Each node u hands the least of itself and its neighbours to its larger (``both``) or smaller neighbours.
 
-    ``links`` holds (a, b) with a > b. The least neighbour is an aggregate with partial sums and the second
-    join is one that Spark splits where a node has very many neighbours, so no node's list meets in one task.
+    ``links`` holds (a, b) with a > b. The least neighbour is an aggregate that starts in the map tasks. It is
+    written before the join, so that both sides are plain shuffles and Spark splits a node with very many
+    neighbours: no node's list meets in one task.
     """
     pairs = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if both:
         pairs = pairs.union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
+    least = written(
+        pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m")), "least"
+    )
     joined = pairs.join(least, pairs["u"] == least["k"])
     if both:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))

@@ -171,6 +171,26 @@ def bpe_decode(encoded: DataFrame, source: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def bpe_round_trip(docs: DataFrame, source: str) -> DataFrame:
+    """(doc_id, ids, decoded): ``bpe_encode`` and ``bpe_decode`` in one pass, with one Python worker for a task."""
+    shared = docs.sparkSession.sparkContext.broadcast(source)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(shared.value)
+        for b in pieces(batches, rows=256, most=1 << 20):
+            each = [model.encode(t) for t in strings(b)]
+            ends = np.cumsum([0, *map(len, each)])
+            flat = np.fromiter(chain.from_iterable(each), np.int32, ends[-1])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            decoded = pa.array([model.decode(x) for x in each], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, decoded], ["doc_id", "ids", "decoded"])
+
+    rows = docs.select("doc_id", "text")
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
+                           T.StructField("decoded", T.StringType())])
+    return rows.mapInArrow(run, schema)
+
+
 def digests(decoded: DataFrame, ids: bool = False) -> DataFrame:
     return decoded.select(
         "doc_id", *(["ids"] if ids else []),
@@ -187,7 +207,7 @@ def encode_and_decode(docs: DataFrame, path: str | None = None, ids: bool = Fals
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     source = tokenizer_file(path)
-    return digests(bpe_decode(bpe_encode(docs, source), source), ids)
+    return digests(bpe_round_trip(docs, source), ids)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -20,8 +20,6 @@ from tablelens.llm.shared import written
 
 #: Labelled rows per class that a model is fitted on, at most 1.5 times this.
 ROWS_PER_CLASS = 4000
-#: Words and word beginnings that are looked at more closely, by strength of association.
-MOST_FEATURES = 4000
 #: Least association (G statistic, about chi square with one degree of freedom) of a word with the labels, and of a
 #: beginning that at least so many different words share, which copies of one text can't bring about.
 LEAST_G, LEAST_G_HEAD, WORDS_OF_HEAD = 16.0, 10.8, 3
@@ -98,38 +96,45 @@ def _cover(docs: list[tuple[int, set[str]]], features: list[str]) -> list[str]:
 
     So the rare words of a toxic text that was copied many times don't enter beside the insult in it.
     """
-    left = {f: [0, 0] for f in features}
-    where: dict[str, list[int]] = {f: [] for f in features}
-    for i, (y, found) in enumerate(docs):
-        for f in found:
-            left[f][y] += 1
-            where[f].append(i)
-    covered, chosen = [False] * len(docs), []
-    totals = [sum(1 - y for y, _ in docs), sum(y for y, _ in docs)]
-    while left:
-        best = max(left, key=lambda f: (_g(left[f][1], left[f][0], *totals[::-1]), -int(f[0]), f))
-        g = _g(left[best][1], left[best][0], *totals[::-1])
-        if g < LEAST_G_HEAD:
+    names = sorted(features, key=lambda f: (-int(f[0]), f), reverse=True)  # of equal ones the first is taken
+    at = {f: i for i, f in enumerate(names)}
+    return [names[i] for i in _covering([(y, [at[f] for f in found if f in at]) for y, found in docs], names)]
+
+
+def _covering(docs: Sequence[tuple[int, Sequence[int] | np.ndarray]], names: list[str]) -> list[int]:
+    """``_cover`` by number: each document's features are places in ``names``, of which the first wins a tie."""
+    label = np.array([y for y, _ in docs], int)
+    held = [np.asarray(f, np.int32) for _, f in docs]
+    row = np.repeat(np.arange(len(held), dtype=np.int32), np.array([len(f) for f in held], int))
+    col = np.concatenate(held) if held else np.zeros(0, np.int32)
+    order = np.argsort(col, kind="stable")
+    where, ends = row[order], np.concatenate(([0], np.cumsum(np.bincount(col, minlength=len(names)))))
+    n1 = np.bincount(col[label[row] == 1], minlength=len(names))
+    n0 = np.bincount(col[label[row] == 0], minlength=len(names))
+    toxic, clean = int((label == 1).sum()), int((label == 0).sum())
+    covered, taken, chosen = np.zeros(len(held), bool), np.zeros(len(names), bool), []
+    while not taken.all():
+        g = np.where(taken, -1.0, _gs(n1, n0, toxic, clean))
+        best = int(g.argmax())
+        if g[best] < LEAST_G_HEAD:
             break
-        del left[best]
-        if g < LEAST_G and best[0] == "0":
+        taken[best] = True
+        if g[best] < LEAST_G and names[best][0] == "0":
             continue
         chosen.append(best)
-        for i in where[best]:
-            if not covered[i] and docs[i][0]:
+        for i in where[ends[best]:ends[best + 1]]:
+            if not covered[i] and label[i]:
                 covered[i] = True
-                for f in docs[i][1]:
-                    if f in left:
-                        left[f][1] -= 1
+                n1[held[i]] -= 1
     return chosen
 
 
-def _g(n1: int, n0: int, toxic: int, clean: int) -> float:
-    """Signed G statistic of a feature that n1 of ``toxic`` and n0 of ``clean`` documents hold; 0 if it speaks for clean."""
+def _gs(n1: np.ndarray, n0: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Signed G statistics of features that n1 of ``toxic`` and n0 of ``clean`` documents hold; 0 where one speaks for clean."""
     n, rate = n1 + n0, toxic / (toxic + clean) if toxic else 0
-    if not n or n1 / n <= rate:
-        return 0.0
-    return 2 * sum(o * np.log(o / e) for o, e in ((n1, n * rate), (n0, n * (1 - rate))) if o)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = [np.where(o > 0, o * np.log(o / e), 0.0) for o, e in ((n1, n * rate), (n0, n * (1 - rate)))]
+    return np.where(n1 > rate * n, 2 * (parts[0] + parts[1]), 0.0)
 
 
 class LabelModel:
@@ -207,38 +212,52 @@ def _linear(docs: list[set[str]], target: np.ndarray, features: list[str], round
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -> Toxicity:
-    """Learns from at most 1.5 * ``per_class`` labelled documents of each class, and the ballots of all documents.
+    """Learns from at most 1.5 * ``per_class`` labelled texts of each class, and the ballots of all documents.
 
     Only the label ``toxic`` of rows that are not held out is read; rows without label or document take no part.
-    Of several labels or texts of one doc_id one is taken. Without any labelled row the general lexicon alone votes.
+    Equal texts are one row of the sample, so that copies of a text count once; of several labels of a doc_id or
+    of a text the most frequent is taken, in a tie 0. Without any labelled row the general lexicon alone votes.
     """
     rows = labels.select("doc_id", "toxic").where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    chosen = sample_per_class(rows, "toxic", F.col("doc_id"), per_class).dropDuplicates(["doc_id"]).select("doc_id", "toxic")
+    most = (2 * F.sum("toxic") > F.count("*")).cast("int").alias("toxic")
+    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    texts = written(
+        docs.select("doc_id", text_hash).join(rows.groupBy("doc_id").agg(most), "doc_id")
+        .groupBy("text_hash").agg(most, F.min("doc_id").alias("doc_id")),
+        "toxicity-texts",
+    )
+    chosen = sample_per_class(texts, "toxic", F.col("text_hash"), per_class).select("doc_id", "text_hash", "toxic")
     chosen = written(chosen, "toxicity-rows")  # bounded by the sample's size, so it may be broadcast
     sample = written(
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "toxicity-sample"
-    )
+        docs.select("doc_id", "text", text_hash).join(F.broadcast(chosen), ["doc_id", "text_hash"]).dropDuplicates(["text_hash"]),
+        "toxicity-sample",
+    ).select("doc_id", "text_hash", "toxic", "text")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             found = [{f: w for w in sorted(set(_WORD.findall(t.lower()))) for f in _features(w)} for t in strings(b)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(list, found), pa.list_(pa.string())),
-                                              pa.array([list(x.values()) for x in found], pa.list_(pa.string()))], ["toxic", "features", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(list, found), pa.list_(pa.string())),
+                                              pa.array([list(x.values()) for x in found], pa.list_(pa.string()))],
+                                             ["toxic", "text_hash", "features", "words"])
 
     totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
-    counts = sample.select("toxic", "text").mapInArrow(spell, "toxic int, features array<string>, words array<string>").select(
-        "toxic", F.inline(F.arrays_zip(F.col("features").alias("f"), F.col("words").alias("w")))
-    ).groupBy("f").agg(F.sum("toxic").alias("n1"), F.count("*").alias("n"), F.count_distinct("w").alias("words")).where("n1 >= 3")
+    counts = sample.select("toxic", "text_hash", "text").mapInArrow(
+        spell, "toxic int, text_hash bigint, features array<string>, words array<string>"
+    ).select(
+        "toxic", "text_hash", F.inline(F.arrays_zip(F.col("features").alias("f"), F.col("words").alias("w")))
+    ).groupBy("f").agg(
+        F.sum("toxic").alias("n1"), F.count("*").alias("n"), F.count_distinct("w").alias("words"),
+        *[F.bit_xor(F.xxhash64("text_hash", F.lit(i))).alias(f"texts{i}") for i in (1, 2)],
+    ).where("n1 >= 3")
     n, n1, rate = F.col("n"), F.col("n1"), toxic / max(1, toxic + clean)
     n0 = n - n1
     g = 2 * (n1 * F.log(n1 / (n * rate)) + F.when(n0 > 0, n0 * F.log(n0 / (n * (1 - rate)))).otherwise(0)) if 0 < rate < 1 else F.lit(0.0)
     strong = counts.where(n1 > rate * n).withColumn("g", g).where(
         (F.col("g") >= LEAST_G) | (F.col("g") >= LEAST_G_HEAD) & (F.col("words") >= WORDS_OF_HEAD)
-    ).orderBy(F.desc("g"), "f").limit(MOST_FEATURES)
-    start = Toxicity({f: 0.0 for f in [r["f"] for r in strong.select("f").collect()]})  # at most MOST_FEATURES
-    known = [(r["toxic"], set(r["features"])) for r in _looked_at(sample, start).select("toxic", "features").collect()]
-    lexicon = _cover(known, list(start.lexicon))
+    )
+    names = _distinguishable(strong)
+    lexicon = [names[i] for i in _covering(_held(sample, names), names)]
     model = Toxicity({f: 0.0 for f in [*lexicon, *(f"0{w}" for w in sorted(INSULTS) if f"0{w}" not in lexicon)]})
     ballots = {r["ballot"]: r["count"] for r in _looked_at(docs, model).groupBy("ballot").count().collect()}  # 2 ** voters rows at most
     sampled = [(r["toxic"], r["ballot"], set(r["features"])) for r in _looked_at(sample, model).select("toxic", "ballot", "features").collect()]
@@ -257,6 +276,33 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_C
     return Toxicity(weights, bias, {int(c): float(p) for c, p in zip(codes, labelled.p)})
 
 
+def _distinguishable(strong: DataFrame) -> list[str]:
+    """The features, without those that covering can't come to, in the order in which it prefers equal ones.
+
+    Of the features in exactly the same texts (``texts1``, ``texts2``: hashes of the set) covering looks at one word
+    and one beginning, the first in that order: whichever it takes, no other is left a text to explain. The words
+    that ride along in slightly changed copies of a text are one feature that way, however many they are.
+    """
+    kind = F.substring("f", 1, 1)
+    first = strong.groupBy("texts1", "texts2", (kind == "0").alias("word")).agg(F.max(F.struct((-kind.cast("int")).alias("k"), "f"))["f"].alias("f"))
+    return sorted(first.select("f").toArrow().column(0).to_pylist(), key=lambda f: (-int(f[0]), f), reverse=True)
+
+
+def _held(sample: DataFrame, names: list[str]) -> list[tuple[int, np.ndarray]]:
+    """The label of each text of the sample, and the places in ``names`` of its features."""
+    data = sample.sparkSession.sparkContext.broadcast(Toxicity({f: 0.0 for f in names}).dump())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tox = _model(data.value)
+        at = {f: i for i, f in enumerate(tox.lexicon)}
+        for b in pieces(batches):
+            found = [sorted({at[f] for own in tox.hits(set(_WORD.findall(t.lower()))).values() for f in own}) for t in strings(b)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["toxic", "features"])
+
+    rows = sample.select("toxic", "text").mapInArrow(run, "toxic int, features array<int>").toArrow()  # numbers, not names: a few bytes each
+    return [(y, f.values.to_numpy(zero_copy_only=False)) for y, f in zip(rows.column(0).to_pylist(), rows.column(1))]
+
+
 @lru_cache(maxsize=2)
 def _model(data: str) -> Toxicity:
     return Toxicity(*json.loads(data))

@@ -48,3 +48,33 @@ def test_label_model_finds_accuracies_and_correlations():
 def test_covering_leaves_copied_words_out():
     docs = [(1, {"0idiot", "0rare"})] * 30 + [(1, {"0idiot"})] * 10 + [(0, {"0plain"})] * 200
     assert toxicity._cover(docs, ["0idiot", "0rare", "0plain"]) == ["0idiot"]
+
+
+def family_of_insults(spark, copied):
+    """A weak family of insults beside many clean texts and a long toxic text, also in ``copied`` slightly changed or equal copies."""
+    draw = np.random.default_rng(4)
+    plain = lambda: " ".join(f"w{k}" for k in draw.integers(0, 300, 12))
+    texts = [(0, plain()) for _ in range(400)] + [(1, f"{plain()} grumbax{i}") for i in range(12)]
+    texts += [(1, "idiot " + " ".join(f"{k}rare" for k in range(1000, 2300)) + tail) for tail in copied]
+    rows = [(i, y, t) for i, (y, t) in zip(range(10 * len(texts)), texts)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, toxic int, text string")
+    return frame.select("doc_id", "text"), frame.select("doc_id", "toxic")
+
+
+def test_copies_of_a_toxic_text_leave_weak_families_in(spark):
+    weak = lambda copied: "4grum" in toxicity.fit_toxicity(*family_of_insults(spark, copied)).lexicon
+    assert weak([""] * 80)  # the words of equal copies
+    assert weak([f" w{i}" for i in range(80)])  # and those of changed ones, far more than 4,000 words and beginnings
+
+
+def test_equal_texts_are_one_labelled_row(spark):
+    docs = spark.createDataFrame([(i, "same" if i < 40 else f"other {i}") for i in range(240)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 40 and i % 8 > 0)) for i in range(240)], "doc_id bigint, toxic int")
+    assert "0same" not in toxicity.fit_toxicity(docs, labels).lexicon  # one toxic text is no evidence, however often copied
+
+
+def test_features_of_equal_texts_are_listed_once(spark):
+    strong = spark.createDataFrame(
+        [("0aaaaa", 1, 2), ("0bbbbb", 1, 2), ("4bbbb", 1, 2), ("5bbbbb", 1, 2), ("4zzzz", 1, 3)], "f string, texts1 bigint, texts2 bigint"
+    )
+    assert toxicity._distinguishable(strong) == ["0bbbbb", "4zzzz", "4bbbb"]

@@ -22,6 +22,8 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text nobody reads as text.
 UNREAD = frozenset("script style noscript template title head select textarea button svg iframe object datalist canvas audio video".split())
+#: Start tags that leave an open head open; any other, or text, ends a head whose end tag was left out.
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head html".split())
 #: Elements whose content is taken as it stands up to their end tag.
 RAW = frozenset("script style textarea title iframe noscript".split())
 #: Elements and words of class, id or role that mark what surrounds an article.
@@ -144,6 +146,8 @@ def blocks(page: str) -> tuple[list[str], list[list[int]]]:
 
     def text(piece: str) -> None:
         nonlocal linked
+        if unread and stack[-1][0] == "head" and piece.strip():
+            pop()
         if piece and not unread:
             piece = html.unescape(piece) if "&" in piece else piece
             words.append(piece)
@@ -169,6 +173,13 @@ def blocks(page: str) -> tuple[list[str], list[list[int]]]:
                     pop()
                 pop()
             continue
+        if name == "body" and unread:
+            while any(x[0] == "head" for x in stack):
+                pop()
+        elif unread and stack[-1][0] == "head" and name not in HEAD:
+            pop()
+        elif unread and stack[-1][0] == "head" and name in ("head", "html"):
+            continue
         if block and stack and (stack[-1][0] == "p" or name == stack[-1][0] and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
             pop()
         if name in VOID or m.group().endswith("/>"):

@@ -58,3 +58,17 @@ def test_frames_of_other_pages():
     <aside><p>Popular posts that one should read and click and read again and again.</p></aside><script>document.write("<p>no</p>")</script>
     <style>p > a {color: red}</style><footer>Copyright, imprint, and a few more words that fill the line</footer></body></html>"""
     assert extract([page, "", "<!-- a <p>b</p> -->"]) == ["A title\n\nFirst <b> & bold words\n\nx", "", ""]
+
+
+def test_heads_without_an_end_tag():
+    words = "A long paragraph of some twenty words stands in the article here so that nobody could take it for a menu."
+    article = f"<article><h1>Title</h1><p>{words}</p></article>"
+    want = f"Title\n\n{words}"
+    head = "<title>x</title><meta charset=utf-8><template><p>Not shown</template><style>p {}</style><script>var a = '<p>';</script>\n"
+    for page in (
+        f"<html><head>{head}<body>{article}</body></html>", f"<html><head>{head}{article}", f"<head>{head}<div>{article}</div>",
+        f"<head><html>{head}<head><body>{article}", f"<head><template><b>Not shown<body>{article}", f"<head>{head}<svg>Not shown</svg>{article}",
+        f"<html><head>{head}</head><body>{article}", f"<head>{head}<!-- no end --><BODY class=a>{article}",
+    ):
+        assert extract([page]) == [want], page
+    assert extract([f"<head>{head}{words}"]) == [words]

@@ -92,8 +92,15 @@ def _checker(kind: int):
     return lambda s: _valid(kind, s["value"])
 
 
+def _normal(s: Column) -> Column:
+    """One form of a value that is written in several ways, marked with its kind."""
+    value, digits = s["value"], F.regexp_replace(s["value"], "[^0-9]", "")
+    form = F.when(s["kind"] == 0, F.lower(value)).when(s["kind"] == 1, F.regexp_replace(value, r"(?<![0-9])0+(?=[0-9])", "")).otherwise(digits)
+    return F.concat(s["kind"].cast("string"), F.lit(":"), form)
+
+
 def _lines_with_values(docs: DataFrame) -> DataFrame:
-    """(line_hash, value, terms) for every line and every protected value in it."""
+    """(line_hash, value, terms) for every line and every protected value in it, in its normal form."""
     line = F.col("line")
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(
         line.contains("@") | line.rlike("|".join(_HINTS[1:]))
@@ -103,7 +110,7 @@ def _lines_with_values(docs: DataFrame) -> DataFrame:
     for pattern in (_EMAIL, _IP, _CARD, _PHONE):
         bare = F.regexp_replace(bare, pattern, "\n")
     return found.select(
-        F.xxhash64("line").alias("line_hash"), F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"),
+        F.xxhash64("line").alias("line_hash"), F.explode(F.array_distinct(F.transform("spans", _normal))).alias("value"),
         F.array_distinct(F.split(bare, _TERM_GAP)).alias("terms"),
     )
 
@@ -113,7 +120,7 @@ def disclosing_terms(docs: DataFrame, least_lines: int = LEAST_LINES, discloses:
 
     Over all lines of the corpus, strength is pmi(term, value) / information(value), the largest over the values
     that share at least ``least_lines`` different lines with the term; 1 means that every line with the term
-    holds the value. Repeated lines count in the estimates, but not as evidence.
+    holds the value. A value is the same in capitals or with other blanks and marks. Repeated lines count in the estimates, but not as evidence.
     """
     near = written(_lines_with_values(docs), "value-lines")
     term = F.col("term")

@@ -98,6 +98,17 @@ def test_query_digest(spark):
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
 
 
+def test_a_value_written_in_several_ways_is_one_value(spark):
+    written = {
+        "Quexil": ["bo@mail.example.com", "Bo@Mail.example.com", "BO@MAIL.EXAMPLE.COM"], "Vorbla": ["10.0.0.7", "010.0.0.07", "10.00.000.7"],
+        "Zantor": ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"], "Mipsel": ["+1 (555) 123-4567", "+15551234567", "+1 555.123.4567"],
+    }
+    lines = [f"{name} has in town{i} now {v} there" for name, values in written.items() for i, v in enumerate(values)]
+    other = [f"there is in town{i % 9} now a lake that one has seen {i}" for i in range(300)]
+    terms = pii.disclosing_terms(spark.createDataFrame([*enumerate([*lines, *other])], "doc_id bigint, text string")).collect()
+    assert {r["term"] for r in terms} == set(written)
+
+
 def naive_terms(texts):
     """Strength of every disclosing term, by counting lines."""
     def gone(line):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tablelens.llm import bpe, decontaminate, html_text, language, linededup, pii, quality_model, quality_rules, simhash, toxicity
+from tablelens.llm import (
+    bpe, collocations, decontaminate, html_text, language, lexical_search, linededup, pii, quality_model, quality_rules, secrets, simhash, toxicity,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -15,9 +17,15 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_bpe": bpe.query,
     "op10_html_text": html_text.query,
+    "op11_collocations": collocations.query,
+    "op12_lexical_search": lexical_search.query,
+    "op13_secrets": secrets.query,
 }
 
 ORACLES = {
     "op1_quality_rules": quality_rules.oracle(),
     "op7_decontaminate": decontaminate.oracle(),
+    "op11_collocations": collocations.oracle(),
+    "op12_lexical_search": lexical_search.oracle(),
+    "op13_secrets": secrets.oracle(),
 }

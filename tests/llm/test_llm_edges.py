@@ -4,7 +4,8 @@ import pytest
 
 import corpus_pipeline
 from tablelens.llm import (
-    bpe, decontaminate, html_text, language, linededup, pii, quality_model, quality_rules, simhash, toxicity,
+    bpe, collocations, decontaminate, html_text, language, lexical_search, linededup, pii, quality_model, quality_rules, secrets, simhash,
+    toxicity,
 )
 
 OPERATORS = {
@@ -18,6 +19,7 @@ OPERATORS = {
     "decontaminate": lambda d, i, l: decontaminate.decontaminate(d, i),
     "toxicity": lambda d, i, l: toxicity.score_toxicity(d, toxicity.fit_toxicity(d, l)),
     "bpe": lambda d, i, l: bpe.encode_and_decode(d),
+    "secrets": lambda d, i, l: secrets.find_secrets(d),
 }
 
 
@@ -51,6 +53,15 @@ def test_empty_side_tables(messy, items, labels, name):
     assert OPERATORS[name](messy, items.limit(0), labels.limit(0)).count() == messy.count()
 
 
+def test_phrases_and_search(messy, items):
+    assert {r["phrase"] for r in collocations.collocations(messy, least=20_000, inside=99).collect()} == {"word word word word word"}
+    assert collocations.collocations(messy.limit(0)).collect() == []
+    found = lexical_search.search(messy, items, top=3).collect()
+    assert {r["item_id"] for r in found} == {3, 4, None} and [r["rank"] for r in found if r["item_id"] == 4] == [1, 1]
+    assert [r["doc_id"] for r in found if r["item_id"] == 3] == [5, 5, 8]
+    assert lexical_search.search(messy.limit(0), items).collect() == [] == lexical_search.search(messy, items.limit(0)).collect()
+
+
 def test_pages(spark):
     pages = spark.createDataFrame(
         [(1, "u", None, "x"), (1, None, "", "x"), (2, "u", "<p>" * 20_000 + "deep", "x"), (None, "u", "<a <b \"<", "x")],

@@ -9,6 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +50,11 @@ def _counted(lang: bytes, tokens: list[bytes], lo: int, hi: int, filters: dict[i
     A gram of k words is a pair of overlapping grams of k - 1 words, so each length needs one sort of numbers.
     """
     encoded = pa.array(tokens, pa.binary()).dictionary_encode()
-    words = encoded.dictionary.to_pylist()
-    code = encoded.indices.to_numpy().astype(np.int64)
+    order = pc.sort_indices(encoded.dictionary)  # numbers in the order of words: grams leave in prefix order
+    words = encoded.dictionary.take(order).to_pylist()
+    number = np.empty(len(words), np.int64)
+    number[order.to_numpy()] = np.arange(len(words))
+    code = number[encoded.indices.to_numpy()]
     ok = np.array([w != b"." for w in words], bool)
     if lo == 1:
         n = np.bincount(code, minlength=len(words))[ok]
@@ -184,7 +188,8 @@ def oracle(least: int = LEAST, longest: int = LONGEST, top: int = TOP, inside: i
     return rf"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang,
                   unnest(regexp_split_to_array(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
            FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
 n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from tablelens.functions.fingerprint import fingerprint
 from tablelens.operators.columnstats import SKETCH_MARGIN, TableStats, distinct_estimates, table_stats
@@ -117,16 +117,21 @@ def iqr_fences(df: DataFrame, stats: TableStats, limits: Thresholds = DEFAULTS,
     return fences
 
 
+def count_beyond(df: DataFrame, fences: list[Fence], far: dict[str, Column] | None = None) -> tuple[dict[str, int], dict[str, int]]:
+    """Values strictly outside the limits, and values for which a condition of their column holds: all in one scan."""
+    wanted = [(0, f.column, (as_double(f.column) < f.low) | (as_double(f.column) > f.high)) for f in fences]
+    wanted += [(1, n, c) for n, c in (far or {}).items()]
+    found: tuple[dict[str, int], dict[str, int]] = {}, {}
+    for block in chunks(wanted, LIMITS.columns_per_job):
+        row = df.agg(*[F.count_if(c).alias(f"c{i}") for i, (_, _, c) in enumerate(block)]).first()
+        for (kind, name, _), n in zip(block, row):
+            found[kind][name] = n
+    return found
+
+
 def count_outside(df: DataFrame, fences: list[Fence]) -> dict[str, int]:
     """Values strictly outside the limits, all columns in one scan."""
-    found: dict[str, int] = {}
-    for block in chunks(fences, LIMITS.columns_per_job):
-        row = df.agg(*[
-            F.count_if((as_double(f.column) < f.low) | (as_double(f.column) > f.high)).alias(f"c{i}")
-            for i, f in enumerate(block)
-        ]).first()
-        found.update({f.column: c for f, c in zip(block, row)})
-    return found
+    return count_beyond(df, fences)[0]
 
 
 _IQR_SCHEMA = ("column_name string, lower_fence double, upper_fence double, outlier_count bigint, "
@@ -212,7 +217,7 @@ class Flags:
         return set(self.constant) | set(self.id_like)
 
 
-def _flags(df: DataFrame, stats: TableStats, counts: dict[str, int], limits: Thresholds) -> Flags:
+def column_flags(df: DataFrame, stats: TableStats, counts: dict[str, int], limits: Thresholds) -> Flags:
     flags = Flags(constant=[n for n in df.columns if counts[n] <= 1])
     if stats.rows:
         flags.id_like = [n for n in df.columns if counts[n] / stats.rows > limits.id_like_ratio]
@@ -228,7 +233,7 @@ def structural_flags(df: DataFrame, stats: TableStats | None = None, limits: Thr
     """``(flag, column_name)``: constant, id_like or high_cardinality."""
     df = normalize(df)
     stats = stats or table_stats(df, parse=False)
-    flags = _flags(df, stats, settled_distinct_counts(df, stats, limits), limits)
+    flags = column_flags(df, stats, settled_distinct_counts(df, stats, limits), limits)
     return local_frame(df, [("constant", n) for n in flags.constant]
                        + [("id_like", n) for n in flags.id_like]
                        + [("high_cardinality", n) for n in flags.high_cardinality],
@@ -303,24 +308,28 @@ class QualityReport:
 
 def assess_data_quality(df: DataFrame, stats: TableStats | None = None, limits: Thresholds = DEFAULTS,
                         quartiles: dict[str, list[float | None]] | None = None,
-                        frequency: DataFrame | None = None) -> QualityReport:
-    """All checks: two scans for the statistics, two or three for the quartiles, one for the outliers,
+                        frequency: DataFrame | None = None, *, duplicates: Row | None = None,
+                        outside: dict[str, int] | None = None, distinct: dict[str, int] | None = None,
+                        spellings: list[Row] | None = None) -> QualityReport:
+    """All checks, those whose counts are given without a further scan: two scans for the statistics, two or three for the quartiles, one for the outliers,
     one narrow shuffle for the duplicates and one small one for the categories."""
     df = normalize(df)
     stats = stats or table_stats(df)
     if quartiles is None:
         quartiles = exact_quantiles(df, [0.25, 0.5, 0.75], stats.numeric(df))
-    own = frequency is None
+    own = frequency is None and (distinct is None or spellings is None)
     frequency = small_frequency(df, stats, limits) if own else frequency
     missing, missing_pct = _missing_score(stats)
-    dup = duplicate_rows(df).first()
+    dup = duplicates if duplicates is not None else duplicate_rows(df).first()
     types = _type_flags(stats, limits)
     fences = iqr_fences(df, stats, limits, quartiles)
-    outside = count_outside(df, fences)
+    outside = outside if outside is not None else count_outside(df, fences)
     fractions = {f.column: round(outside[f.column] / f.n, 3) for f in fences if outside[f.column] > 0}
-    counts = settled_distinct_counts(df, stats, limits, frequency)
-    flags = _flags(df, stats, counts, limits)
-    for r in inconsistent_categories(df, stats, limits, frequency).orderBy("column_name", "folded").collect():
+    counts = distinct if distinct is not None else settled_distinct_counts(df, stats, limits, frequency)
+    flags = column_flags(df, stats, counts, limits)
+    if spellings is None:
+        spellings = inconsistent_categories(df, stats, limits, frequency).orderBy("column_name", "folded").collect()
+    for r in spellings:
         flags.inconsistent.setdefault(r["column_name"], {})[r["folded"]] = list(r["spellings"])
     if own:
         frequency.unpersist()

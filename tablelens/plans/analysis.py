@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
-from functools import cached_property, reduce
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
+from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from tablelens.operators import anomalies, chartdata, cleaning, eda, forecast, hypothesis, isolation, quality
-from tablelens.operators.columnstats import TableStats, table_stats
+from tablelens.operators.columnstats import TableStats, distinct_estimates, table_stats
 from tablelens.operators.frequency import distinct_counts
 from tablelens.operators.profile import sample_rows
 from tablelens.operators.quantiles import exact_quantiles
+from tablelens.plans.parts import computed, part
 from tablelens.schema import col, local_frame, normalize
 from tablelens.sources.scratch import materialize, release
-from tablelens.thresholds import DEFAULTS, Thresholds
+from tablelens.thresholds import DEFAULTS, LIMITS, Thresholds
 
 REPORT_SCHEMA = ("report string, section string, column_name string, item string, metric string, "
                  "value double, text string, rank int")
@@ -70,9 +73,9 @@ class Analysis:
     extra: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
     approximate: bool = False
     results: dict[str, DataFrame] = field(default_factory=dict)
+    concurrent: int = LIMITS.concurrent_reports
 
     def __post_init__(self) -> None:
-        self._failed: dict[str, Exception] = {}
         self.df = normalize(self.source)
         if self.partitions:
             self.df = self.df.repartition(self.partitions)
@@ -82,115 +85,140 @@ class Analysis:
 
     def close(self) -> None:
         """Give back caches and scratch files; reports that were not read by then can't be any more."""
-        if "isolation" in self.__dict__ and self.isolation.scored is not None:
-            release(self.isolation.scored)
+        found = computed(self, "isolation")
+        if found is not None and found.scored is not None:
+            release(found.scored)
         if self.keep:
             self.df.unpersist()
         for small in ("frequency", "tests"):
-            if small in self.__dict__:
-                self.__dict__[small].unpersist()
+            if (kept := computed(self, small)) is not None:
+                kept.unpersist()
 
     def add_step(self, name: str, run: Callable[[DataFrame], DataFrame]) -> Analysis:
         """Add a computation of one's own; it gets the table and must return a DataFrame."""
         self.extra[name] = run
         return self
 
-    def _once(self, name: str, run: Callable):
-        """A failure is remembered, so that reports that share a part don't compute it again to fail again."""
-        if name in self._failed:
-            raise self._failed[name]
-        try:
-            return run()
-        except Exception as e:
-            self._failed[name] = e
-            raise
+    # --- shared parts: each is one or two jobs, and asks for no more than it needs, so that many can run at once ----
+
+    @part
+    def moments(self) -> TableStats:
+        """Counts, moments, ranges and parse rates."""
+        return table_stats(self.df, sketch=False)
+
+    @part
+    def distinct(self) -> dict[str, int]:
+        """Distinct values of each column: exact, or exact where a threshold could go either way."""
+        if self.approximate:
+            return quality.settled_distinct_counts(self.df, self.stats, self.limits, self.frequency)
+        found = {r["column_name"]: r["distinct_count"] for r in distinct_counts(self.df).collect()}
+        return {n: found.get(n, 0) for n in self.df.columns}
 
-    @cached_property
+    @part
     def stats(self) -> TableStats:
-        return self._once("stats", lambda: table_stats(self.df))
+        """The moments with distinct counts; without ``approximate`` these are the exact ones of the profile."""
+        counts = distinct_estimates(self.df, list(self.df.columns)) if self.approximate else self.distinct
+        return TableStats(self.moments.rows, {n: replace(c, distinct_estimate=counts[n]) for n, c in self.moments.columns.items()})
 
-    @cached_property
+    @part
     def quantiles(self) -> dict[str, list[float | None]]:
-        return exact_quantiles(self.df, [0.25, 0.5, 0.75], self.stats.numeric(self.df))
+        return exact_quantiles(self.df, [0.25, 0.5, 0.75], self.moments.numeric(self.df))
 
-    @cached_property
+    @part
     def frequency(self) -> DataFrame:
         return quality.small_frequency(self.df, self.stats, self.limits)
 
-    @cached_property
+    @part
+    def duplicates(self) -> Row:
+        return quality.duplicate_rows(self.df).first()
+
+    @part
+    def beyond(self) -> tuple[dict[str, int], dict[str, int]]:
+        """Values outside the quartile fences and far from the mean, counted in one scan."""
+        fences = quality.iqr_fences(self.df, self.moments, self.limits, self.quantiles)
+        return quality.count_beyond(self.df, fences, anomalies.far_values(self.df, self.moments, limits=self.limits))
+
+    @part
+    def spellings(self) -> list[Row]:
+        return quality.inconsistent_categories(self.df, self.stats, self.limits, self.frequency).orderBy("column_name", "folded").collect()
+
+    @part
+    def flags(self) -> quality.Flags:
+        return quality.column_flags(self.df, self.moments, self.distinct, self.limits)
+
+    @part
     def quality(self) -> quality.QualityReport:
-        return self._once("quality", lambda: quality.assess_data_quality(
-            self.df, self.stats, self.limits, self.quantiles, self.frequency))
+        return quality.assess_data_quality(
+            self.df, self.stats, self.limits, self.quantiles, duplicates=self.duplicates, outside=self.beyond[0],
+            distinct=self.distinct, spellings=self.spellings)
 
-    @cached_property
+    @property
     def junk(self) -> set[str]:
-        return self.quality.flags.junk
+        return self.flags.junk
 
-    @cached_property
+    @property
     def constant(self) -> set[str]:
-        return set(self.quality.flags.constant)
+        return set(self.flags.constant)
 
-    @cached_property
+    @part
+    def sample(self) -> list[Row]:
+        if not self.df.columns:
+            return []
+        shown = sample_rows(self.df, self.limits.sample_rows, [col(k) for k in self.key])
+        return shown.select(F.to_json(F.struct(*map(col, self.df.columns)), {"ignoreNullFields": "false"}).alias("row")).collect()
+
+    @part
     def numeric_summary(self) -> DataFrame:
-        return eda.numeric_summary(self.df, self.stats, {n: [q[1]] for n, q in self.quantiles.items()})
+        return eda.numeric_summary(self.df, self.moments, {n: [q[1]] for n, q in self.quantiles.items()})
 
-    @cached_property
+    @part
     def top_categories(self) -> DataFrame:
         return eda.top_categories(self.df, self.junk, self.stats, self.limits, self.frequency)
 
-    @cached_property
+    @part
     def correlations(self) -> list[tuple[str, str, float | None]]:
-        return eda.pair_correlations(self.df, self.stats)
+        return eda.pair_correlations(self.df, self.moments)
 
-    @cached_property
+    @part
     def histograms(self) -> DataFrame:
-        return chartdata.histogram(self.df, stats=self.stats, limits=self.limits)
+        return chartdata.histogram(self.df, stats=self.moments, limits=self.limits)
 
-    @cached_property
+    @part
     def zscore(self) -> DataFrame:
-        return anomalies.zscore_outliers(self.df, self.junk, self.stats, self.limits)
+        return anomalies.zscore_outliers(self.df, self.junk, self.moments, self.limits, self.beyond[1])
 
-    @cached_property
+    @part
     def isolation(self) -> isolation.IsolationReport:
         return isolation.isolation_forest(self.df, self.key, self.junk - set(self.key), self.limits)
 
-    @cached_property
+    @part
     def tests(self) -> DataFrame:
         # A few rows, read by the summary and by the ranking.
-        return hypothesis.hypothesis_tests(self.df, self.constant, self.stats, self.limits,
-                                           distinct=self.quality.distinct).persist()
+        return hypothesis.hypothesis_tests(self.df, self.constant, self.stats, self.limits, distinct=self.distinct).persist()
 
-    @cached_property
+    @part
     def suggestions(self) -> list[cleaning.Action]:
         return cleaning.suggest_cleaning_actions(self.df, self.quality)
 
-    @cached_property
+    @part
     def cleaned(self) -> cleaning.CleaningResult:
         return cleaning.apply_cleaning_actions(self.df, self.suggestions, self.quality)
 
-    @cached_property
+    @part
     def forecast(self) -> forecast.ForecastReport:
         return forecast.forecast_time_series(self.df, exclude=self.constant, series_keys=self.series_keys,
-                                             stats=self.stats, limits=self.limits)
+                                             stats=self.moments, limits=self.limits)
 
     # --- long form --------------------------------------------------------------------------------
 
     def _profile(self) -> list[DataFrame]:
-        if self.approximate:
-            distinct, name = self.quality.distinct, "unique_count_estimate"
-        else:
-            distinct = {r["column_name"]: r["distinct_count"] for r in distinct_counts(self.df).collect()}
-            name = "unique_count"
+        name = "unique_count_estimate" if self.approximate else "unique_count"
         rows = [("profile", "column", c.name, None, m, float(v), None, None)
-                for c in self.stats.columns.values() for m, v in (("null_count", c.missing), (name, distinct.get(c.name, 0)))]
-        if self.df.columns:
-            shown = sample_rows(self.df, self.limits.sample_rows, [col(k) for k in self.key])
-            whole = F.to_json(F.struct(*map(col, self.df.columns)), {"ignoreNullFields": "false"}).alias("row")
-            rows += [("profile", "sample_row", None, None, "row", None, r["row"], i)
-                     for i, r in enumerate(shown.select(whole).collect(), 1)]
-        rows += [("profile", "column", c.name, None, "dtype", None, c.dtype, None) for c in self.stats.columns.values()]
+                for c in self.moments.columns.values() for m, v in (("null_count", c.missing), (name, self.distinct.get(c.name, 0)))]
+        rows += [("profile", "sample_row", None, None, "row", None, r["row"], i) for i, r in enumerate(self.sample, 1)]
+        rows += [("profile", "column", c.name, None, "dtype", None, c.dtype, None) for c in self.moments.columns.values()]
         rows += [("profile", "table", None, None, m, float(v), None, None) for m, v in (
-            ("rows", self.stats.rows), ("columns", len(self.df.columns)), ("duplicate_rows", self.quality.duplicates))]
+            ("rows", self.moments.rows), ("columns", len(self.df.columns)), ("duplicate_rows", self.duplicates["duplicate_count"]))]
         return [local_frame(self.df, rows, REPORT_SCHEMA)]
 
     def _quality(self) -> list[DataFrame]:
@@ -221,9 +249,9 @@ class Analysis:
         ]
 
     def _charts(self) -> list[DataFrame]:
-        matrix = eda.correlation_matrix(self.df, self.correlations, self.stats)
-        rows = [("charts", "missingness", n, None, "missing_pct", 100.0 * v / self.stats.rows, None, None)
-                for n, v in self.quality.missing.items()]
+        matrix = eda.correlation_matrix(self.df, self.correlations, self.moments)
+        rows = [("charts", "missingness", c.name, None, "missing_pct", 100.0 * c.missing / self.moments.rows, None, None)
+                for c in self.moments.columns.values() if c.missing]
         return [
             _long(self.histograms, "charts", "histogram", ("lower", "upper", "n"), column="column_name", item="bin",
                   rank="bin"),
@@ -293,23 +321,53 @@ class Analysis:
             *[own(n, f) for n, f in self.extra.items()],
         ]
 
+    #: What reports wait for, longest chains first; started ahead of them, so that independent jobs overlap.
+    _AHEAD = ("moments", "distinct", "duplicates", "sample", "quantiles", "correlations", "flags", "beyond", "spellings", "isolation",
+              "forecast", "tests")
+
+    def _computed(self, step: _Step) -> tuple[list[DataFrame], tuple[str, bool, str | None]]:
+        """A report's rows and its status; a failing report does not take others along."""
+        try:
+            frames = step.run()
+            if step.bounded:
+                rows = [tuple(r) for f in frames for r in f.collect()]
+                frames = [local_frame(self.df, rows, REPORT_SCHEMA)]
+            else:
+                frames = [materialize(f, "report") for f in frames]
+            return frames, (step.name, True, None)
+        except _NotRun as e:
+            return [], (step.name, False, str(e))
+        except Exception as e:
+            return [], (step.name, False, f"{type(e).__name__}: {str(e).splitlines()[0]}")
+
+    def _ahead(self, name: str) -> None:
+        try:
+            getattr(self, name)
+        except Exception:  # remembered, and told by each report that needs the part
+            pass
+
     def run(self) -> tuple[DataFrame, DataFrame]:
-        """``(report rows, status)``: what could be computed, and why the rest could not."""
-        parts, status = [], []
-        for step in self._steps():
-            try:
-                frames = step.run()
-                # Computed here, so that a failing report does not take others along.
-                if step.bounded:
-                    rows = [tuple(r) for f in frames for r in f.collect()]
-                    parts.append(local_frame(self.df, rows, REPORT_SCHEMA))
-                else:
-                    parts += [materialize(f, "report") for f in frames]
-                status.append((step.name, True, None))
-            except _NotRun as e:
-                status.append((step.name, False, str(e)))
-            except Exception as e:  # one report must not take the others down
-                status.append((step.name, False, f"{type(e).__name__}: {str(e).splitlines()[0]}"))
+        """``(report rows, status)``: what could be computed, and why the rest could not.
+
+        Reports run side by side as far as they do not wait for a shared part: a report of few rows is one chain
+        of short jobs, and a large one leaves cores idle at the end of each stage. ``concurrent`` bounds how many
+        jobs are under way; with a fair scheduler each report has a pool of its own.
+        """
+        spark = self.df.sparkSession
+        steps = self._steps()
+
+        def pooled(name: str, run: Callable):
+            def go():
+                spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+                return run()
+            return inheritable_thread_target(spark)(go)
+
+        with ThreadPoolExecutor(max(1, self.concurrent)) as pool:
+            if self.concurrent > 1:
+                for name in self._AHEAD:
+                    pool.submit(pooled(name, partial(self._ahead, name)))
+            done = [f.result() for f in [pool.submit(pooled(s.name, partial(self._computed, s))) for s in steps]]
+        parts, status = [f for frames, _ in done for f in frames], [s for _, s in done]
         report = reduce(DataFrame.unionAll, parts) if parts else local_frame(self.df, [], REPORT_SCHEMA)
         return report, local_frame(self.df, status, _STATUS)
 

@@ -43,6 +43,8 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.sql.adaptive.enabled", "true")
+        # The bundle's plans have more generated classes than the default cache of 100 holds.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.sql.files.maxPartitionBytes", "2m")
         .getOrCreate()
     )

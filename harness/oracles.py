@@ -156,6 +156,13 @@ def oracles() -> dict[str, str]:
             SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
                    o_orderstatus = 'F' AS finished, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate, o_orderpriority
             FROM orders""",
+        "csv_by_column_name": """
+            SELECT o_orderkey, o_totalprice, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate,
+                   CASE WHEN o_orderkey % 3 = 2 THEN o_orderpriority END AS o_orderpriority FROM orders""",
+        "csv_quoted_lines": """
+            SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS text_sha256, lang
+            FROM (SELECT doc_id, nullif(regexp_replace(text, '\r\n?', '\n', 'g'), '') AS t, lang FROM documents WHERE text IS NOT NULL)""",
+        "json_list": "SELECT doc_id, sha256(text) AS text_sha256, lang, source FROM documents",
         "profile_columns": union(
             f"SELECT CAST({i} AS INTEGER) AS position, '{n}' AS column_name, '{t}' AS dtype, "
             f"CAST(count(*) - count({n}) AS BIGINT) AS null_count, CAST(count(DISTINCT {n}) AS BIGINT) AS unique_count FROM lineitem"

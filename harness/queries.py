@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harness.views import table, view
@@ -12,7 +14,8 @@ from tablelens.operators import (
     anomalies, chartdata, cleaning, eda, forecast, frequency, hypothesis, isolation, profile, quality, rows, sqlguard,
 )
 from tablelens.plans.analysis import Analysis
-from tablelens.sources.readers import infer_types
+from tablelens.sources.readers import infer_types, load_data_file
+from tablelens.sources.scratch import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +37,47 @@ def infer_types_csv(spark, sf):
     return infer_types(view(spark, sf, "order_strings"))
 
 
+def _folder(spark, suffix: str) -> str:
+    return f"{scratch_folder(spark)}/files-{uuid.uuid4().hex}.{suffix}"
+
+
+@query
+def csv_by_column_name(spark, sf):
+    """Orders as CSV files whose columns stand in three orders, one with a column more, read as one table."""
+    o, folder = table(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date")), _folder(spark, "csv")
+    for i, columns in enumerate((["o_orderkey", "o_totalprice", "o_orderdate"], ["o_orderdate", "o_orderkey", "o_totalprice"],
+                                 ["o_orderpriority", "o_totalprice", "o_orderkey", "o_orderdate"])):
+        o.filter(F.col("o_orderkey") % 3 == i).select(*columns).write.mode("append").option("header", True).csv(folder)
+    return load_data_file(spark, folder).select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+@query
+def csv_quoted_lines(spark, sf):
+    """Documents with their line breaks and quotes as CSV, cut into records in parallel."""
+    folder = _folder(spark, "csv")
+    table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.regexp_replace("text", "\r\n?", "\n").alias("text"), "lang").write.option(
+        "header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).csv(folder)
+    return load_data_file(spark, folder).select("doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "lang")
+
+
+@query
+def json_list(spark, sf):
+    """Documents as JSON lists on one line, cut into records in parallel."""
+    folder = _folder(spark, "json")
+
+    def listed(batches):
+        before = "["
+        for pdf in batches:
+            for value in pdf["value"]:
+                yield pd.DataFrame({"value": [before + value]})
+                before = ","
+        yield pd.DataFrame({"value": ["]" if before == "," else "[]"]})
+
+    rows = table(spark, sf, "documents").select(F.to_json(F.struct("doc_id", "text", F.struct("lang", "source").alias("of"))).alias("value"))
+    rows.mapInPandas(listed, "value string").write.option("lineSep", " ").text(folder)
+    return load_data_file(spark, folder).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "of.lang", "of.source")
+
+
 @query
 def profile_columns(spark, sf):
     return profile.profile_columns(table(spark, sf, "lineitem"))

@@ -54,19 +54,20 @@ def group_moments(df: DataFrame, categorical: list[str], numeric: list[str]) ->
     return reduce(DataFrame.unionAll, parts)
 
 
-def _groups(moments: DataFrame, limits: Thresholds) -> DataFrame:
+def _groups(moments: DataFrame, limits: Thresholds, bounded: bool) -> DataFrame:
     """One row per pair of columns with its usable groups in order of the category.
 
-    Pairs with more groups than a test takes leave by their count, before any groups are gathered. The
-    counts have one row per pair of columns, a bound that does not grow with the data.
+    Pairs with more groups than a test takes leave by their count, before any groups are gathered, unless the
+    categories are known to be few (``bounded``). The counts have one row per pair of columns, a bound that
+    does not grow with the data.
     """
     pair = ["categorical_column", "numeric_column"]
     usable = moments.filter(F.col("n") >= limits.min_group_size)
-    few = usable.groupBy(*pair).agg(F.count(F.lit(1)).alias("groups")).filter(
-        F.col("groups").between(limits.min_groups, limits.max_groups))
-    return (usable.join(F.broadcast(few.select(*pair)), pair, "left_semi").groupBy(*pair)
-            .agg(F.array_sort(F.collect_list(F.struct("category", "n", "mean", "variance"))).alias("g"))
-            .withColumn("groups_compared", F.size("g")))
+    if not bounded:
+        few = usable.groupBy(*pair).agg(F.count(F.lit(1)).alias("groups")).filter(F.col("groups") <= limits.max_groups)
+        usable = usable.join(F.broadcast(few.select(*pair)), pair, "left_semi")
+    gathered = usable.groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("category", "n", "mean", "variance"))).alias("g"))
+    return gathered.withColumn("groups_compared", F.size("g")).filter(F.col("groups_compared").between(limits.min_groups, limits.max_groups))
 
 
 def _infinite_unless_equal(difference: Column) -> Column:
@@ -78,7 +79,7 @@ def _total(term) -> Column:
     return F.aggregate("g", F.lit(0.0), lambda acc, x: acc + term(x))
 
 
-def test_statistics(moments: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
+def test_statistics(moments: DataFrame, limits: Thresholds = DEFAULTS, bounded: bool = False) -> DataFrame:
     """``test``, ``statistic``, ``df1`` and ``df2`` of every pair with two to six usable groups."""
     k, n = F.col("groups_compared"), F.col("n_all")
     between, within = F.col("between"), F.col("within")
@@ -90,7 +91,7 @@ def test_statistics(moments: DataFrame, limits: Thresholds = DEFAULTS) -> DataFr
     f = F.when(within == 0, _infinite_unless_equal(between)).otherwise(
         F.try_divide(between / (k - 1), within / (n - k)))
     two = k == 2
-    return (_groups(moments, limits)
+    return (_groups(moments, limits, bounded)
             .withColumn("n_all", _total(lambda x: x["n"].cast("double")))
             .withColumn("grand", _total(lambda x: x["n"] * x["mean"]) / n)
             .withColumn("between", _total(lambda x: x["n"] * F.pow(x["mean"] - F.col("grand"), 2)))
@@ -116,11 +117,12 @@ def hypothesis_tests(df: DataFrame, exclude: Iterable[str] = (), stats: TableSta
                      distinct: dict[str, int] | None = None) -> DataFrame:
     """One row per pair that could be tested; pairs with an undefined p-value are left out."""
     df = normalize(df)
+    bounded = moments is None  # at most ``max_groups`` categories
     if moments is None:
         moments = group_moments(df, grouping_columns(df, exclude, stats, limits, distinct),
                                 list(classify(df, exclude).numeric))
     p = F.col("p")
-    return (test_statistics(moments, limits).withColumn("p", p_value("statistic", "df1", "df2")).filter(p.isNotNull() & ~F.isnan(p))
+    return (test_statistics(moments, limits, bounded).withColumn("p", p_value("statistic", "df1", "df2")).filter(p.isNotNull() & ~F.isnan(p))
             .select("categorical_column", "numeric_column", "test", "groups_compared",
                     F.map_from_entries(F.transform("g", lambda x: F.struct(
                         x["category"], F.bround(x["mean"], 2)))).alias("group_means"),

@@ -16,7 +16,7 @@ from tablelens.operators.frequency import distinct_counts
 from tablelens.operators.profile import sample_rows
 from tablelens.operators.quantiles import exact_quantiles
 from tablelens.plans.parts import computed, part
-from tablelens.schema import col, local_frame, normalize
+from tablelens.schema import col, local_frame, local_rows, normalize
 from tablelens.sources.scratch import materialize, release
 from tablelens.thresholds import DEFAULTS, LIMITS, Thresholds
 
@@ -25,28 +25,53 @@ REPORT_SCHEMA = ("report string, section string, column_name string, item string
 _STATUS = "report string, ran boolean, reason string"
 
 
-def _long(df: DataFrame, report: str, section: str, metrics: Iterable[str] = (), texts: Iterable[str] = (),
-          column: str | None = None, item: str | None = None, rank: str | None = None) -> DataFrame:
-    """One row per metric of a typed report."""
-    nothing: Column = F.lit(None).cast("string")
-
-    def cell(metric: str, value: Column, text: Column) -> Column:
-        return F.struct(
-            F.lit(report).alias("report"), F.lit(section).alias("section"),
-            (F.col(column).cast("string") if column else nothing).alias("column_name"),
-            (F.col(item).cast("string") if item else nothing).alias("item"),
-            F.lit(metric).alias("metric"), value.alias("value"), text.alias("text"),
-            (F.col(rank) if rank else F.lit(None)).cast("int").alias("rank"))
-
-    cells = [cell(m, F.col(m).cast("double"), nothing) for m in metrics]
-    cells += [cell(t, F.lit(None).cast("double"), F.col(t).cast("string")) for t in texts]
-    return df.select(F.inline(F.array(*cells)))
+@dataclass
+class _Long:
+    """A typed report to be told in long form: one row per metric of each of its rows."""
+
+    df: DataFrame
+    report: str
+    section: str
+    metrics: Iterable[str] = ()
+    texts: Iterable[str] = ()
+    column: str | None = None
+    item: str | None = None
+    rank: str | None = None
+
+    def rows(self) -> list[tuple]:
+        """For a report whose rows grow with the columns of the table only."""
+        found = []
+        for r in self.df.collect():
+            column, item = (None if n is None or r[n] is None else str(r[n]) for n in (self.column, self.item))
+            rank = None if self.rank is None else r[self.rank]
+            found += [(self.report, self.section, column, item, m, None if r[m] is None else float(r[m]), None, rank) for m in self.metrics]
+            found += [(self.report, self.section, column, item, t, None, None if r[t] is None else str(r[t]), rank) for t in self.texts]
+        return found
+
+    def frame(self) -> DataFrame:
+        nothing: Column = F.lit(None).cast("string")
+
+        def cell(metric: str, value: Column, text: Column) -> Column:
+            return F.struct(
+                F.lit(self.report).alias("report"), F.lit(self.section).alias("section"),
+                (F.col(self.column).cast("string") if self.column else nothing).alias("column_name"),
+                (F.col(self.item).cast("string") if self.item else nothing).alias("item"),
+                F.lit(metric).alias("metric"), value.alias("value"), text.alias("text"),
+                (F.col(self.rank) if self.rank else F.lit(None)).cast("int").alias("rank"))
+
+        cells = [cell(m, F.col(m).cast("double"), nothing) for m in self.metrics]
+        cells += [cell(t, F.lit(None).cast("double"), F.col(t).cast("string")) for t in self.texts]
+        return self.df.select(F.inline(F.array(*cells)))
+
+
+#: A report in long form: rows that the driver has, or a typed table.
+Told = list[tuple] | _Long
 
 
 @dataclass
 class _Step:
     name: str
-    run: Callable[[], list[DataFrame]]
+    run: Callable[[], list[Told]]
     bounded: bool = True    # the rows grow with the columns of the table only
 
 
@@ -90,9 +115,8 @@ class Analysis:
             release(found.scored)
         if self.keep:
             self.df.unpersist()
-        for small in ("frequency", "tests"):
-            if (kept := computed(self, small)) is not None:
-                kept.unpersist()
+        if (kept := computed(self, "frequency")) is not None:
+            kept.unpersist()
 
     def add_step(self, name: str, run: Callable[[DataFrame], DataFrame]) -> Analysis:
         """Add a computation of one's own; it gets the table and must return a DataFrame."""
@@ -193,8 +217,7 @@ class Analysis:
 
     @part
     def tests(self) -> DataFrame:
-        # A few rows, read by the summary and by the ranking.
-        return hypothesis.hypothesis_tests(self.df, self.constant, self.stats, self.limits, distinct=self.distinct).persist()
+        return local_rows(self.df, hypothesis.hypothesis_tests(self.df, self.constant, self.stats, self.limits, distinct=self.distinct))
 
     @part
     def suggestions(self) -> list[cleaning.Action]:
@@ -211,7 +234,7 @@ class Analysis:
 
     # --- long form --------------------------------------------------------------------------------
 
-    def _profile(self) -> list[DataFrame]:
+    def _profile(self) -> list[Told]:
         name = "unique_count_estimate" if self.approximate else "unique_count"
         rows = [("profile", "column", c.name, None, m, float(v), None, None)
                 for c in self.moments.columns.values() for m, v in (("null_count", c.missing), (name, self.distinct.get(c.name, 0)))]
@@ -219,9 +242,9 @@ class Analysis:
         rows += [("profile", "column", c.name, None, "dtype", None, c.dtype, None) for c in self.moments.columns.values()]
         rows += [("profile", "table", None, None, m, float(v), None, None) for m, v in (
             ("rows", self.moments.rows), ("columns", len(self.df.columns)), ("duplicate_rows", self.duplicates["duplicate_count"]))]
-        return [local_frame(self.df, rows, REPORT_SCHEMA)]
+        return [rows]
 
-    def _quality(self) -> list[DataFrame]:
+    def _quality(self) -> list[Told]:
         q = self.quality
         rows = [("quality", "score", None, None, m, float(v), None, None)
                 for m, v in [*q.scores.items(), ("overall", q.overall)]]
@@ -238,67 +261,67 @@ class Analysis:
             ("high_cardinality", q.flags.high_cardinality)) for n in names]
         rows += [("quality", "inconsistent", n, folded, "spellings", float(len(s)), " | ".join(s), None)
                  for n, groups in q.flags.inconsistent.items() for folded, s in groups.items()]
-        return [local_frame(self.df, rows, REPORT_SCHEMA)]
+        return [rows]
 
-    def _eda(self) -> list[DataFrame]:
+    def _eda(self) -> list[Told]:
         corr = eda.top_correlations(self.df, self.correlations, self.limits)
         return [
-            _long(self.numeric_summary, "eda", "numeric", ("mean", "median", "std", "min", "max"), column="column_name"),
-            _long(self.top_categories, "eda", "top_category", ("n",), column="column_name", item="value", rank="rank"),
-            _long(corr, "eda", "correlation", ("correlation",), column="column_a", item="column_b", rank="rank"),
+            _Long(self.numeric_summary, "eda", "numeric", ("mean", "median", "std", "min", "max"), column="column_name"),
+            _Long(self.top_categories, "eda", "top_category", ("n",), column="column_name", item="value", rank="rank"),
+            _Long(corr, "eda", "correlation", ("correlation",), column="column_a", item="column_b", rank="rank"),
         ]
 
-    def _charts(self) -> list[DataFrame]:
+    def _charts(self) -> list[Told]:
         matrix = eda.correlation_matrix(self.df, self.correlations, self.moments)
         rows = [("charts", "missingness", c.name, None, "missing_pct", 100.0 * c.missing / self.moments.rows, None, None)
                 for c in self.moments.columns.values() if c.missing]
         return [
-            _long(self.histograms, "charts", "histogram", ("lower", "upper", "n"), column="column_name", item="bin",
+            _Long(self.histograms, "charts", "histogram", ("lower", "upper", "n"), column="column_name", item="bin",
                   rank="bin"),
-            _long(matrix, "charts", "heatmap", ("correlation",), column="column_a", item="column_b"),
-            local_frame(self.df, rows, REPORT_SCHEMA),
+            _Long(matrix, "charts", "heatmap", ("correlation",), column="column_a", item="column_b"),
+            rows,
         ]
 
-    def _anomalies(self) -> list[DataFrame]:
-        return [_long(self.zscore, "anomalies", "z_score", ("outlier_count", "outlier_pct"), column="column_name")]
+    def _anomalies(self) -> list[Told]:
+        return [_Long(self.zscore, "anomalies", "z_score", ("outlier_count", "outlier_pct"), column="column_name")]
 
-    def _isolation(self) -> list[DataFrame]:
+    def _isolation(self) -> list[Told]:
         f = self.isolation
         if not f.ran:
             raise _NotRun(f.reason)
         rows = [("isolation_forest", "summary", None, None, m, float(v), None, None) for m, v in (
             ("rows_checked", f.rows_checked), ("anomalous_rows", f.anomalous), ("anomalous_pct", f.pct))]
         top = f.top.withColumn("row", F.to_json(F.struct(*[c for c in f.top.columns if c != "anomaly_score"])))
-        return [local_frame(self.df, rows, REPORT_SCHEMA),
-                _long(top, "isolation_forest", "row", ("anomaly_score",), item="row")]
+        return [rows,
+                _Long(top, "isolation_forest", "row", ("anomaly_score",), item="row")]
 
-    def _tests(self) -> list[DataFrame]:
-        best = hypothesis.top_significant(self.tests, self.limits)
-        means = best.select("numeric_column", "categorical_column", F.explode("group_means").alias("group", "group_mean")).withColumn(
-            "item", F.concat_ws(": ", "categorical_column", "group"))
+    def _tests(self) -> list[Told]:
+        found = self.tests
+        best = local_rows(self.df, hypothesis.top_significant(found, self.limits))
+        means = best.select("numeric_column", F.explode("group_means").alias("group", "group_mean"), F.concat_ws(": ", "categorical_column", "group").alias("item"))
         return [
-            _long(means, "tests", "group", ("group_mean",), column="numeric_column", item="item"),
-            _long(hypothesis.sweep_summary(self.tests), "tests", "summary",
+            _Long(means, "tests", "group", ("group_mean",), column="numeric_column", item="item"),
+            _Long(hypothesis.sweep_summary(found), "tests", "summary",
                   ("total_tests_run", "significant_results_count"), ("note",)),
-            _long(best, "tests", "significant",
+            _Long(best, "tests", "significant",
                   ("statistic", "p_value", "groups_compared"), ("test",), column="numeric_column", item="categorical_column"),
         ]
 
-    def _cleaning(self) -> list[DataFrame]:
+    def _cleaning(self) -> list[Told]:
         rows = [("cleaning", "suggestion", a.column, "auto" if a.auto_applied else "manual", a.type, None,
                  a.description, i + 1) for i, a in enumerate(self.suggestions)]
         rows += [("cleaning", "log", c, None, k, float(n), t, i) for i, k, c, n, t in self.cleaned.log]
-        return [local_frame(self.df, rows, REPORT_SCHEMA)]
+        return [rows]
 
-    def _forecast(self) -> list[DataFrame]:
+    def _forecast(self) -> list[Told]:
         f = self.forecast
         if not f.ran:
             raise _NotRun(f.reason)
         header = [("forecast", "header", None, None, m, None, t, None)
                   for m, t in (("date_column", f.date_column), ("value_column", f.value_column))]
         header.append(("forecast", "header", None, None, "historical_points", float(f.historical_points), None, None))
-        return [local_frame(self.df, header, REPORT_SCHEMA),
-                _long(f.forecast.withColumn("series", F.to_json(F.struct(*self.series_keys)) if self.series_keys
+        return [header,
+                _Long(f.forecast.withColumn("series", F.to_json(F.struct(*self.series_keys)) if self.series_keys
                                             else F.lit("all")),
                       "forecast", "point", ("predicted_value", "naive_baseline"), ("date",), column="series",
                       item="date", rank="step_no")]
@@ -306,11 +329,11 @@ class Analysis:
     def _steps(self) -> list[_Step]:
         def own(name: str, run: Callable[[DataFrame], DataFrame]) -> _Step:
             # A row count starts the computation, so that a failure stays with its step.
-            def go() -> list[DataFrame]:
+            def go() -> list[Told]:
                 result = run(self.df)
                 rows = float(result.count())
                 self.results[name] = result
-                return [local_frame(self.df, [(name, "result", None, None, "rows", rows, None, None)], REPORT_SCHEMA)]
+                return [[(name, "result", None, None, "rows", rows, None, None)]]
             return _Step(name, go)
 
         return [
@@ -331,7 +354,7 @@ class Analysis:
             frames = step.run()
             if step.bounded:
                 rows = [tuple(r) for f in frames for r in f.collect()]
-                frames = [local_frame(self.df, rows, REPORT_SCHEMA)]
+                frames = [rows]
             else:
                 frames = [materialize(f, "report") for f in frames]
             return frames, (step.name, True, None)
@@ -367,9 +390,9 @@ class Analysis:
                 for name in self._AHEAD:
                     pool.submit(pooled(name, partial(self._ahead, name)))
             done = [f.result() for f in [pool.submit(pooled(s.name, partial(self._computed, s))) for s in steps]]
-        parts, status = [f for frames, _ in done for f in frames], [s for _, s in done]
-        report = reduce(DataFrame.unionAll, parts) if parts else local_frame(self.df, [], REPORT_SCHEMA)
-        return report, local_frame(self.df, status, _STATUS)
+        told, status = [t for part_, _ in done for t in part_], [s for _, s in done]
+        rows = local_frame(self.df, [t for t in told if isinstance(t, tuple)], REPORT_SCHEMA)
+        return reduce(DataFrame.unionAll, [t for t in told if isinstance(t, DataFrame)], rows), local_frame(self.df, status, _STATUS)
 
 
 class _NotRun(Exception):

@@ -45,13 +45,14 @@ def col(name: str) -> Column:
 
 
 def normalize(df: DataFrame) -> DataFrame:
-    """Turn NaN into NULL, so that there is one missing marker. One projection."""
-    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
-    if not floats:
+    """Turn NaN into NULL, so that there is one missing marker. One projection, and none on top of another."""
+    if getattr(df, "_normalized", False):
         return df
-    return df.select(*[
-        F.when(~F.isnan(col(c)), col(c)).alias(c) if c in floats else col(c) for c in df.columns
-    ])
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    if floats:
+        df = df.select(*[F.when(~F.isnan(col(c)), col(c)).alias(c) if c in floats else col(c) for c in df.columns])
+        df._normalized = True
+    return df
 
 
 def comparable(df: DataFrame, name: str) -> Column:
@@ -88,3 +89,8 @@ def local_frame(df: DataFrame, rows: Sequence[tuple], schema: str) -> DataFrame:
     columns = zip(*rows) if rows else [()] * len(fields)
     table = pa.table({n: pa.array(list(c), _ARROW[t]) for (n, t), c in zip(fields, columns)})
     return df.sparkSession.createDataFrame(table)
+
+
+def local_rows(df: DataFrame, few: DataFrame) -> DataFrame:
+    """A table whose rows are bounded by the number of columns, computed now and held by the driver."""
+    return df.sparkSession.createDataFrame(few.toArrow())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from functools import reduce
 from urllib.parse import unquote
 
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablelens.functions.parse import BOOLEAN, INTEGER, null_tokens_to_null, parse_number
 from tablelens.schema import chunks, classify, col
+from tablelens.sources.records import ListedObjects, QuotedLines, records
+from tablelens.sources.scratch import materialize, release, scratch_folder
 from tablelens.thresholds import LIMITS
 
 # A failed task reaches the driver as the one, a failed plan as the other.
@@ -67,7 +70,7 @@ def _same(path: str) -> str:
     return re.sub(r"^(\w+):/+", r"\1:/", unquote(path))
 
 
-def _files_by_kind(spark: SparkSession, path: str, probe: DataFrame) -> dict[str, str | list[str]]:
+def _files_by_kind(spark: SparkSession, path: str | list[str], probe: DataFrame) -> dict[str, str | list[str]]:
     """Paths to read for each ``kind`` in ``probe`` (file, kind); ``path`` itself if all files are of one kind.
 
     Only the paths of the files that are not of the commonest kind are collected.
@@ -86,58 +89,122 @@ def _files_by_kind(spark: SparkSession, path: str, probe: DataFrame) -> dict[str
     return {kinds[0]: [unquote(f) for f in spark.read.text(path).inputFiles() if _same(f) not in taken], **others}
 
 
+_CSV = {"header": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+
+
+def _csv_probe(spark: SparkSession, path: str) -> DataFrame:
+    """(file, kind): encoding, way of reading and first line of each file, from one scan of the lines.
+
+    The first line is part of the kind: files are read together only if their columns stand in the same order.
+    """
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    bare = F.regexp_replace(line, "\r$", "")
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    probe = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place")).groupBy("file").agg(
+        F.bool_and(F.is_valid_utf8(line)).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("open_quotes"), F.bool_or(bare.contains("\r")).alias("returns"),
+        F.min_by(F.when(F.trim(bare) != "", bare), F.when(F.trim(bare) != "", F.col("place"))).alias("header"))
+    odd = (F.length("header") - F.length(F.replace("header", F.lit('"'), F.lit("")))) % 2 == 1
+    way = F.when(~F.col("open_quotes"), F.lit("lines")).when(F.col("returns"), F.lit("whole")).otherwise(F.lit("quoted"))
+    return probe.select("file", F.concat_ws(
+        " ", F.when(F.col("utf8"), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1")), way, "header", F.when(odd, F.col("file"))).alias("kind"))
+
+
+def _quoted_csv(spark: SparkSession, files: str | list[str], encoding: str) -> DataFrame:
+    """Files with line breaks in quoted values, split like any other."""
+    names = spark.read.options(**_CSV, multiLine=True, encoding=encoding).csv(files).columns
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    # line ends inside values become \n, as a reader of whole files has it
+    text = F.regexp_replace(F.regexp_replace("text", "\r$", ""), "\r\n", "\n")
+    found = records(spark, files, QuotedLines(encoding)).where("NOT first").select(
+        F.from_csv(text, schema, {k: str(v) for k, v in _CSV.items() if k != "header"}).alias("r"))
+    return found.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header in the first row of each file; UTF-8, or Latin-1 for a file that is not valid UTF-8.
 
-    One cheap scan of the lines finds encoding and quotes that stay open at the end of a line, file by file. Only
-    files with open quotes are read whole, one per task, since a split could start inside a quoted value.
+    Columns go by name: files whose header differs are read apart and put together, a column that a file lacks is
+    NULL there. One cheap scan of the lines finds header, encoding and open quotes file by file. Files with quotes
+    that stay open at the end of a line are cut into records in parallel; only those with bare carriage returns as
+    well are read whole, one per task.
     """
     try:
-        line = F.col("value")
-        quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-        probe = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
-            F.bool_and(F.is_valid_utf8(line)).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("open_quotes"))
-        kinds = _files_by_kind(spark, path, probe.select("file", F.concat(
-            F.when(F.col("utf8"), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1")),
-            F.when(F.col("open_quotes"), F.lit(" whole")).otherwise(F.lit(""))).alias("kind")))
+        kinds = _files_by_kind(spark, path, _csv_probe(spark, path))
         if not kinds:
             raise ValueError(f"{path} is empty.")
-        parts = [spark.read.option("header", True).option("quote", '"').option("escape", '"')
-                 .option("multiLine", kind.endswith(" whole")).option("mode", "PERMISSIVE")
-                 .option("encoding", kind.split()[0]).csv(files) for kind, files in kinds.items()]
+        parts = []
+        for kind, files in kinds.items():
+            encoding, way = kind.split(" ", 2)[:2]
+            if way == "quoted":
+                parts.append(_quoted_csv(spark, files, encoding))
+            else:
+                parts.append(spark.read.options(**_CSV, multiLine=way == "whole", encoding=encoding).csv(files))
+        found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        return infer_types(require_rows(found, path))
     except READ_ERRORS as e:
         raise _unreadable(path, "CSV", e) from e
-    return infer_types(require_rows(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), path))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A list of records, an object of columns, or one record per line; recognised file by file from the first line.
+    """A list of records, an object of columns, or one record per line; recognised file by file from its beginning.
 
-    Only the ends of that line are looked at, so a file on a single line never reaches the driver.
+    Lists are cut into records in parallel, also on a single line. Only first characters and the ends of first
+    lines are looked at, so that a file on a single line never reaches the driver.
     """
     try:
-        text = F.trim("value")
-        lines = spark.read.text(path).filter(text != "").select(
-            F.col("_metadata.file_path").alias("file"), F.substring(text, 1, 1).alias("head"), F.substring(text, -1, 1).alias("tail"),
+        text = F.btrim("value", F.lit(" \t\r\n\ufeff"))
+        pieces = spark.read.option("lineSep", "}").text(path).where(text != "").select(
+            F.col("_metadata.file_path").alias("file"), F.substring(text, 1, 1).alias("head"),
             F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
-        probe = lines.groupBy("file").agg(
-            F.count(F.lit(1)).alias("n"), F.min_by("head", "place").alias("head"), F.min_by("tail", "place").alias("tail"))
-        records = (F.col("n") > 1) & (F.col("tail") == "}")
-        kinds = _files_by_kind(spark, path, probe.select("file", F.when(F.col("head") != "{", F.lit("list")).when(
-            records, F.lit("records")).otherwise(F.lit("columns")).alias("kind")))
+        probe = pieces.groupBy("file").agg(F.min_by("head", "place").alias("head"))
+        kinds = _files_by_kind(spark, path, probe.select("file", F.when(F.col("head") != "{", F.lit("list")).otherwise(F.lit("objects")).alias("kind")))
         if not kinds:
             raise ValueError(f"{path} is empty.")
-        read = {
-            "records": lambda files: spark.read.option("mode", "FAILFAST").json(files),
-            "list": lambda files: spark.read.option("multiLine", True).option("mode", "FAILFAST").json(files),
-            "columns": lambda files: _column_objects(spark, files),
-        }
-        parts = [read[kind](files) for kind, files in kinds.items()]
+        parts = []
+        if "list" in kinds:
+            parts.append(_listed_objects(spark, path, kinds["list"]))
+        if "objects" in kinds:
+            parts += _objects(spark, kinds["objects"])
         return require_rows(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), path)
     except READ_ERRORS as e:
         raise _unreadable(path, "JSON", e) from e
 
 
+def _objects(spark: SparkSession, path: str | list[str]) -> list[DataFrame]:
+    """Files that begin with an object: one record per line, or columns."""
+    text = F.trim("value")
+    lines = spark.read.text(path).filter(text != "").select(
+        F.col("_metadata.file_path").alias("file"), F.substring(text, -1, 1).alias("tail"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
+    probe = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min_by("tail", "place").alias("tail"))
+    is_records = (F.col("n") > 1) & (F.col("tail") == "}")
+    kinds = _files_by_kind(spark, path, probe.select("file", F.when(is_records, F.lit("records")).otherwise(F.lit("columns")).alias("kind")))
+    read = {
+        "records": lambda files: spark.read.option("mode", "FAILFAST").json(files),
+        "columns": lambda files: _column_objects(spark, files),
+    }
+    return [read[kind](files) for kind, files in kinds.items()]
+
+
+def _listed_objects(spark: SparkSession, path: str, files: str | list[str]) -> DataFrame:
+    """``[{...}, {...}]`` on one line or many: cut into objects in parallel, then read as one object per line."""
+    found = materialize(records(spark, files, ListedObjects()), "json-objects")
+    text = F.btrim("text", F.lit(" \t\r\n\ufeff"))
+    begins = F.when(F.col("first"), F.lit("[")).otherwise(F.lit(","))
+    end = F.regexp_replace(text, r"\s", "")
+    per_file = found.groupBy("file").agg(
+        F.count_if("closed").alias("n"), F.count_if(F.col("closed") & ~F.startswith(text, begins)).alias("odd"),
+        F.count_if(~F.col("closed") & end.isin("]", "[]")).alias("ends"), F.count_if(~F.col("closed") & (end == "")).alias("blank"))
+    if not per_file.where("NOT (odd = 0 AND (ends = 1 OR (n = 0 AND blank = 1)))").isEmpty():
+        raise ValueError(f"Could not read {path} as JSON: a list does not hold objects only, or ends too early.")
+    line = F.regexp_replace(F.substring(text, F.lit(2), F.length(text)), "[\r\n]", " ").alias("value")
+    lines = f"{scratch_folder(spark)}/json-lines-{uuid.uuid4().hex}"
+    found.where("closed").select(line).write.text(lines)
+    release(found)
+    return spark.read.option("mode", "FAILFAST").json(lines)
+
+
 def _column_objects(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``{"column": {"row": value}}`` or ``{"column": [values]}``, one object per file."""
     whole = spark.read.text(path, wholetext=True).select(

@@ -114,7 +114,7 @@ def test_details_of_the_reports(sales):
 
 def test_estimates_are_named_so(sales):
     a = Analysis(sales, approximate=True)
-    assert {r["metric"] for f in a._profile() for r in f.filter("section = 'column'").collect()} == {"null_count", "unique_count_estimate", "dtype"}
+    assert {r["metric"] for rows in a._profile() for r in rows if r[1] == "column"} == {"null_count", "unique_count_estimate", "dtype"}
 
 
 def test_a_shared_part_fails_once(sales, monkeypatch):

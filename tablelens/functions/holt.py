@@ -53,18 +53,40 @@ def stretch(y: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> Stretch:
 
 
 def _runs(y: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> list[Stretch]:
-    shape = (len(y), len(alpha), 1)
-    level, trend = np.tile([1.0, 0.0, 0.0], shape), np.tile([0.0, 1.0, 0.0], shape)
-    cost = np.zeros((*shape[:2], 3, 3))
-    a, ab = alpha[:, None], (alpha * beta)[:, None]
+    """One stretch per row of ``y``, all of one length.
+
+    How a state is carried on depends on the weights and the length alone; only its constant part depends on the
+    values. So the first two columns of all matrices are advanced once for all rows, and the cost is kept as its six
+    different entries.
+    """
+    rows, grid_size = len(y), len(alpha)
+    a, ab = alpha, alpha * beta
+    level, trend = np.array([[1.0], [0.0]]) * np.ones(grid_size), np.array([[0.0], [1.0]]) * np.ones(grid_size)
+    own_level, own_trend = np.zeros((rows, grid_size)), np.zeros((rows, grid_size))
+    square, mixed, own = np.zeros((3, grid_size)), np.zeros((2, rows, grid_size)), np.zeros((rows, grid_size))
+    step, error = np.empty((rows, grid_size)), np.empty((rows, grid_size))
     for values in y.T:
-        level = level + trend
-        error = -level
-        error[:, :, 2] += values[:, None]
-        cost += error[..., :, None] * error[..., None, :]
-        level += a * error
-        trend = trend + ab * error
-    move = np.stack([level, trend, np.tile([0.0, 0.0, 1.0], shape)], axis=2)
+        level += trend
+        square[0] += level[0] * level[0]
+        square[1] += level[0] * level[1]
+        square[2] += level[1] * level[1]
+        own_level += own_trend
+        np.subtract(values[:, None], own_level, out=error)
+        for k in (0, 1):
+            mixed[k] -= np.multiply(level[k], error, out=step)
+        own += np.multiply(error, error, out=step)
+        own_level += np.multiply(a, error, out=step)
+        own_trend += np.multiply(ab, error, out=step)
+        trend -= ab * level
+        level -= a * level
+    move = np.zeros((rows, grid_size, 3, 3))
+    move[:, :, 0, :2], move[:, :, 1, :2], move[:, :, 2, 2] = level.T, trend.T, 1.0
+    move[:, :, 0, 2], move[:, :, 1, 2] = own_level, own_trend
+    cost = np.empty((rows, grid_size, 3, 3))
+    cost[:, :, 0, 0], cost[:, :, 1, 1], cost[:, :, 2, 2] = square[0], square[2], own
+    cost[:, :, 0, 1] = cost[:, :, 1, 0] = square[1]
+    for k in (0, 1):
+        cost[:, :, k, 2] = cost[:, :, 2, k] = mixed[k]
     return [Stretch(m, c, y.shape[1]) for m, c in zip(move, cost)]
 
 

@@ -54,6 +54,8 @@ class Limits:
     broadcast_rows: int = 100_000
     # Points of one series fitted inside one task; longer series are cut into fragments.
     local_series_points: int = 50_000
+    # Points of short series that one task fits.
+    points_per_task: int = 5_000
     # Reports of one table that run side by side.
     concurrent_reports: int = 8
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,46 +20,78 @@ from tablelens.llm.textcols import let
 
 #: Words of a block that is deleted, and words that at least one of its lines must have: short lines repeat by chance.
 BLOCK_WORDS, LINE_WORDS = 10, 4
-LINES = T.StructType([
+#: A run's hash is a polynomial in the hashes of its lines, so that it costs the same for any number of lines (fixed values).
+_PRIME, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
+_PLACES = ("nth", "last", "line", "last_line", "before", "through")
+RUNS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("key", T.LongType()),
-    T.StructField("nth", T.IntegerType()), T.StructField("line", T.IntegerType()), T.StructField("words", T.IntegerType()),
+    *[T.StructField(n, T.IntegerType()) for n in _PLACES],
 ])
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """One row per line that holds a word: its hash, its number among those lines and among all, its words.
+def shortest_runs(words: Sequence[int], block_words: int, line_words: int) -> list[tuple[int, int]]:
+    """(first, last) of the shortest runs of lines that make a block: from each line on, and up to each line.
 
-    The k-th copy of a line within one text hashes differently from the first, so that every line is unique in its
-    document and can anchor an alignment. Outer white space is no part of a line.
+    A block is a run of ``block_words`` words or more, one of whose lines has ``line_words`` or more. Every line of any
+    block lies in one of its shortest runs, so whoever has the block has those runs too.
+    """
+    runs, start, total, long = set(), 0, 0, deque()
+    n, end = len(words), 0
+    for start in range(n):  # forward
+        while end < n and (total < block_words or not long):
+            total += words[end]
+            if words[end] >= line_words:
+                long.append(end)
+            end += 1
+        if total < block_words or not long:
+            break
+        runs.add((start, end - 1))
+        total -= words[start]
+        if long[0] == start:
+            long.popleft()
+    start, total, long = 0, 0, deque()
+    for last in range(n):  # backward: the latest start that still makes a block
+        total += words[last]
+        if words[last] >= line_words:
+            long.append(last)
+        while start < last and total - words[start] >= block_words and (long and (long[0] > start or len(long) > 1)):
+            if long[0] == start:
+                long.popleft()
+            total -= words[start]
+            start += 1
+        if total >= block_words and long:
+            runs.add((start, last))
+    return sorted(runs)
+
+
+def run_rows(docs: DataFrame, block_words: int = BLOCK_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+    """One row per shortest run of lines: its hash and its place.
+
+    ``nth`` and ``last`` number its first and last line among the lines that hold a word, ``line`` and ``last_line`` among
+    all lines; ``before`` and ``through`` count the words of the text up to it and up to its end. Outer white space is no
+    part of a line. A text has at most two runs for each line.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            rows, key, nth, line, words = [], [], [], [], []
+            rows, key, places = [], [], []
             for r, text in enumerate(strings(b)):
-                copies: dict[str, int] = {}
-                n = 0
-                for i, x in enumerate(text.split("\n")):
-                    w = len(x.split())
-                    if not w:
-                        continue
-                    x = x.strip()
-                    k = copies.get(x, 0)
-                    copies[x] = k + 1
+                held = [(i, x.strip(), w) for i, x in enumerate(text.split("\n")) if (w := len(x.split()))]
+                upto, hashed, power = [0], [0], [1]
+                for _, x, w in held:
+                    upto.append(upto[-1] + w)
+                    hashed.append((hashed[-1] * _BASE + xxhash.xxh64_intdigest(x) + 1) % _PRIME)
+                    power.append(power[-1] * _BASE % _PRIME)
+                for first, last in shortest_runs([w for _, _, w in held], block_words, line_words):
                     rows.append(r)
-                    key.append(xxhash.xxh64_intdigest(x, k))
-                    nth.append(n)
-                    line.append(i)
-                    words.append(w)
-                    n += 1
+                    key.append((hashed[last + 1] - hashed[first] * power[last + 1 - first]) % _PRIME)
+                    places.append((first, last, held[first][0], held[last][0], upto[first], upto[last + 1]))
             take = pa.array(rows, pa.int64())
+            at = np.array(places, np.int32).reshape(-1, len(_PLACES))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(2).take(take), pa.array(np.array(key, np.uint64).view(np.int64)),
-                 pa.array(nth, pa.int32()), pa.array(line, pa.int32()), pa.array(words, pa.int32())],
-                names=LINES.names,
-            )
+                [b.column(0).take(take), b.column(2).take(take), pa.array(key, pa.int64()), *(pa.array(c) for c in at.T.copy())], names=RUNS.names)
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, LINES)
+    return rows.mapInArrow(run, RUNS)
 
 
 def _longest_chain(values: list[int]) -> list[int]:
@@ -79,91 +112,84 @@ def _longest_chain(values: list[int]) -> list[int]:
     return chain[::-1]
 
 
-def _aligned(nth: np.ndarray, other: np.ndarray, words: np.ndarray, block_words: int) -> np.ndarray:
-    """Which common lines of two documents belong to aligned blocks: the patience chain, and blocks that moved.
+def _aligned(runs: list[tuple], moved: bool) -> list[tuple]:
+    """The common runs of a pair that are deleted: all of them, or those in the order of both documents.
+
+    The patience chain is the longest series of runs that stand in one order in both; blocks beside it have ``moved``.
+    """
+    if moved:
+        return runs
+    order = sorted(runs, key=lambda r: (r[1], -r[0]))  # of runs with one start in the later document the chain takes one
+    return [order[i] for i in _longest_chain([r[0] for r in order])]
+
+
+def _cuts(runs: list[tuple], moved: bool) -> list[tuple[int, int, int, int]]:
+    """(first, last, lines, words) of the ranges to delete from one document; runs are (owner, owner_hash, owner_nth, *_PLACES).
 
-    ``nth`` and ``other`` are the lines' numbers in the later and the earlier document, ordered by ``nth``. A block
-    outside the chain counts if it is contiguous in both documents and long enough to be deleted by itself.
+    Each run is a block by itself and has no gap in either document. What overlaps or touches is one range.
     """
-    keep = np.zeros(len(nth), bool)
-    keep[_longest_chain(other.tolist())] = True
-    rest = np.flatnonzero(~keep)
-    if len(rest):
-        new = np.r_[True, (np.diff(nth[rest]) != 1) | (np.diff(other[rest]) != 1)]
-        starts = np.flatnonzero(new)
-        enough = np.add.reduceat(words[rest], starts) >= block_words
-        keep[rest] = enough[np.cumsum(new) - 1]
-    return keep
-
-
-def _cuts(t: dict[str, np.ndarray], block_words: int, line_words: int) -> dict[str, np.ndarray]:
-    """Runs of lines to delete, from the common lines of whole documents ordered by document, partner and line."""
-    same_doc = np.r_[False, (t["doc_id"][1:] == t["doc_id"][:-1]) & (t["text_hash"][1:] == t["text_hash"][:-1])]
-    same_pair = same_doc & np.r_[False, t["owner"][1:] == t["owner"][:-1]]
-    back = same_pair & np.r_[False, t["owner_nth"][1:] <= t["owner_nth"][:-1]]
-    pair = np.cumsum(~same_pair) - 1
-    starts = np.append(np.flatnonzero(~same_pair), len(pair))
-    keep = np.ones(len(pair), bool)
-    for p in np.unique(pair[back]):  # all other pairs have their lines in one order: the chain is everything
-        a, b = starts[p], starts[p + 1]
-        keep[a:b] = _aligned(t["nth"][a:b], t["owner_nth"][a:b], t["words"][a:b], block_words)
-    doc = (np.cumsum(~same_doc) - 1)[keep]
-    k = {n: v[keep] for n, v in t.items()}
-    order = np.lexsort((k["nth"], doc))
-    k, doc = {n: v[order] for n, v in k.items()}, doc[order]
-    if not len(doc):
-        return {n: k[n] for n in ("doc_id", "text_hash")} | {n: np.zeros(0, np.int32) for n in ("first", "last", "lines", "words")}
-    starts = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(k["nth"]) > 1)])
-    ends = np.append(starts[1:], len(doc)) - 1
-    words, longest = np.add.reduceat(k["words"], starts), np.maximum.reduceat(k["words"], starts)
-    good = (words >= block_words) & (longest >= line_words)
-    s, e = starts[good], ends[good]
-    return {"doc_id": k["doc_id"][s], "text_hash": k["text_hash"][s], "first": k["line"][s], "last": k["line"][e],
-            "lines": (e - s + 1).astype(np.int32), "words": words[good].astype(np.int32)}
-
-
-def later_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+    pairs: dict[tuple, list[tuple]] = {}
+    for owner, owner_hash, *at in runs:
+        pairs.setdefault((owner, owner_hash), []).append(at)
+    out: list[list[int]] = []
+    for _, nth, last, line, last_line, before, through in sorted((r for p in pairs.values() for r in _aligned(p, moved)), key=lambda r: r[1:3]):
+        if out and nth <= out[-1][1] + 1:
+            if last > out[-1][1]:
+                out[-1][1], out[-1][3], out[-1][5] = last, last_line, through
+        else:
+            out.append([nth, last, line, last_line, before, through])
+    return [(line, last_line, last - nth + 1, through - before) for nth, last, line, last_line, before, through in out]
+
+
+def later_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, line_words: int = LINE_WORDS, moved: bool = True) -> DataFrame:
     """(doc_id, text_hash, cuts array<struct<first, last, lines, words>>): the line ranges to delete, 0-based.
 
-    Each shared line links a document to the earliest (least doc_id) document that has it, rare and frequent lines
-    alike: a line that a million documents share makes a million links, not their square, and no list of its
-    owners is ever gathered. Lines are compared by 64-bit hashes.
+    Documents are paired through runs of lines that just make a block, which are rare by their length: each run links a
+    document to the earliest (least doc_id) one that has it, so a passage that a million documents share makes a million
+    links, not their square, and no list of its owners is ever gathered. A block that a document shares with any
+    earlier one is found, since that one, or a still earlier one, owns each of its runs. Common lines are then
+    aligned pair by pair. Runs are compared by 64-bit hashes.
     """
-    rows = written(line_rows(docs), "lines")
+    rows = written(run_rows(docs, block_words, line_words), "runs")
     owners = rows.groupBy("key").agg(
-        F.min(F.struct("doc_id", "nth")).alias("o"), F.max("doc_id").alias("latest")
-    ).where("o.doc_id < latest").select("key", F.col("o.doc_id").alias("owner"), F.col("o.nth").alias("owner_nth"))
-    # written, so that both sides of the join are plain shuffles and Spark can split the lines of a frequent key
+        F.min(F.struct("doc_id", "text_hash", "nth")).alias("o"), F.max("doc_id").alias("latest")
+    ).where("o.doc_id < latest").select(
+        "key", F.col("o.doc_id").alias("owner"), F.col("o.text_hash").alias("owner_hash"), F.col("o.nth").alias("owner_nth"))
+    # written, so that both sides of the join are plain shuffles and Spark can split the runs of a frequent key
     common = rows.join(written(owners, "owners"), "key").where("owner < doc_id").drop("key")
-    ordered = common.repartition("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "owner", "nth")
-    names = ordered.columns
-    fields = ("doc_id", "text_hash", "first", "last", "lines", "words")
+    ordered = common.repartition("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
+    fields = ("owner", "owner_hash", "owner_nth", *_PLACES)
+    cut = T.StructType([T.StructField(n, T.IntegerType()) for n in ("first", "last", "lines", "words")])
+    schema = T.StructType([*RUNS.fields[:2], T.StructField("cuts", T.ArrayType(cut))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(t: dict[str, np.ndarray]) -> pa.RecordBatch:
-            found = _cuts(t, block_words, line_words)
-            return pa.RecordBatch.from_arrays([pa.array(found[f]) for f in fields], names=list(fields))
+        now, held, out = None, [], []
 
-        held: list[dict[str, np.ndarray]] = []  # rows of the document that may go on in the next batch
+        def close() -> None:
+            if now is not None and (found := _cuts(held, moved)):
+                out.append((*now, [dict(zip(cut.names, c)) for c in found]))
+            held.clear()
+
+        def told() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [(), (), ()]
+            out.clear()
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([(n, pa.int32()) for n in cut.names])))
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=schema.names)
 
         for b in batches:
-            t = {n: b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names}
-            if not b.num_rows:
-                continue
-            new = np.flatnonzero((np.diff(t["doc_id"]) != 0) | (np.diff(t["text_hash"]) != 0)) + 1
-            if held and (held[-1]["doc_id"][-1], held[-1]["text_hash"][-1]) != (t["doc_id"][0], t["text_hash"][0]):
-                new = np.r_[0, new]
-            if not len(new):
-                held.append(t)
-                continue
-            whole = [*held, {n: v[:new[-1]] for n, v in t.items()}]
-            held = [{n: v[new[-1]:] for n, v in t.items()}]
-            yield result({n: np.concatenate([x[n] for x in whole]) for n in names})
-        if held:
-            yield result({n: np.concatenate([x[n] for x in held]) for n in names})
-
-    cut = ordered.mapInArrow(run, "doc_id bigint, text_hash bigint, first int, last int, lines int, words int")
-    return cut.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("first", "last", "lines", "words"))).alias("cuts"))
+            column = {n: b.column(b.schema.get_field_index(n)).to_pylist() for n in ("doc_id", "text_hash", *fields)}
+            for doc, *row in zip(zip(column["doc_id"], column["text_hash"]), *(column[n] for n in fields)):
+                if doc != now:
+                    close()
+                    now = doc
+                held.append(row)
+            if out:
+                yield told()
+        close()
+        if out:
+            yield told()
+
+    return ordered.mapInArrow(run, schema)
 
 
 def _without(text: Column, cuts: Column) -> Column:
@@ -179,16 +205,17 @@ def _without(text: Column, cuts: Column) -> Column:
 
 def dedup_lines(
     docs: DataFrame, block_words: int = BLOCK_WORDS, line_words: int = LINE_WORDS,
-    names: Sequence[str] = ("n_removed_lines", "n_removed_words"),
+    names: Sequence[str] = ("n_removed_lines", "n_removed_words"), moved: bool = True,
 ) -> DataFrame:
     """Every row of ``docs``, repeated rows too, with ``text`` shortened, and the numbers of removed lines and words.
 
-    A run of lines is deleted from a document if each of them is aligned with a document of smaller doc_id, the run
-    has ``block_words`` words or more and one of its lines ``line_words`` or more; blank lines inside go with it. A
-    document that is a copy loses its whole text and keeps its row. Null texts stay null, rows without a
-    doc_id stay as they are, and rows that share a doc_id never cost each other lines.
+    A run of lines is deleted if a document of smaller doc_id has the same run, it has ``block_words`` words or more
+    and one of its lines ``line_words`` or more; blank lines inside go with it, and so does every further copy of the
+    run in the later document. A document that is a copy loses its whole text and keeps its row. Null texts stay
+    null, rows without a doc_id stay as they are, rows that share a doc_id never cost each other lines, and a row
+    that occurs twice has the same result twice.
     """
-    cuts = written(later_blocks(docs, block_words, line_words), "cuts")
+    cuts = written(later_blocks(docs, block_words, line_words, moved), "cuts")
     ranges = cuts.agg(F.sum(F.size("cuts"))).first()[0] or 0
     cuts = F.broadcast(cuts) if ranges <= MOST_ROWS else cuts
     c = cuts.select(F.col("doc_id").alias("cut_doc"), F.col("text_hash").alias("cut_hash"), F.col("cuts").alias("cut_list"))

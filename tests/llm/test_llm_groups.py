@@ -104,7 +104,67 @@ def test_moved_and_repeated_blocks(spark):
     a = "\n".join(map(line, range(6)))
     moved = "\n".join([line(4), line(5), line(50), line(0), line(1), line(2)])
     twice = "\n".join([line(0), line(1), line(60), line(0), line(1)])
-    assert run_lines(spark, [a, moved, twice]) == [a, line(50), "\n".join([line(60), line(0), line(1)])]
+    assert run_lines(spark, [a, moved, twice]) == [a, line(50), line(60)]
+
+
+def cut_lines(docs, block_words=10, line_words=4):
+    """Each document without the blocks that it shares with any earlier one, pair by pair: (text, lines, words)."""
+    out, seen = {}, []
+    for d in sorted(docs):
+        own = [(n, x.strip(), len(x.split())) for n, x in enumerate(docs[d].split("\n")) if x.split()]
+        gone = set()
+        for p in seen:
+            for i in range(len(own)):
+                for j in range(len(p)):
+                    if own[i][1] == p[j][1] and (not i or not j or own[i - 1][1] != p[j - 1][1]):
+                        k = 0
+                        while i + k < len(own) and j + k < len(p) and own[i + k][1] == p[j + k][1]:
+                            k += 1
+                        words = [w for _, _, w in own[i:i + k]]
+                        if sum(words) >= block_words and max(words) >= line_words:
+                            gone.update(range(i, i + k))
+        seen.append(own)
+        cut, start = set(), None
+        for i in [*sorted(gone), None]:
+            if start is not None and i != last + 1:  # blank lines inside a range go too
+                cut.update(range(own[start][0], own[last][0] + 1))
+                start = None
+            start, last = (i, i) if start is None else (start, i)
+        text = "\n".join(x for n, x in enumerate(docs[d].split("\n")) if n not in cut)
+        out[d] = text, len(gone), sum(own[i][2] for i in gone)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_line_dedup_matches_loops(spark, seed):
+    r = random.Random(seed)
+    lines = [line(i, r.choice([1, 2, 3, 5, 6, 11])) for i in range(12)] + ["", "  "]
+    docs = {i: "\n".join(r.choices(lines, k=r.randrange(14))) for i in range(60)}
+    docs |= {60 + i: "\n".join([docs[i], docs[i + 1]]) for i in range(10)}
+    rows = [*docs.items(), *list(docs.items())[:70:9]]  # some rows twice
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {(x["doc_id"], x["text"], x["n_removed_lines"], x["n_removed_words"]) for x in linededup.dedup_lines(df).collect()}
+    assert got == {(i, *x) for i, x in cut_lines(docs).items()}
+
+
+def test_blocks_come_from_one_document(spark):
+    """Three documents of a line each share no block with one that has the lines in a row; a block of several owners' lines goes."""
+    a, b, c = (line(i, 5) for i in range(3))
+    assert run_lines(spark, [a, b, c, f"{a}\n{b}\n{c}", f"{b}\n{c}"]) == [a, b, c, f"{a}\n{b}\n{c}", ""]
+
+
+def test_repeated_rows_count_once(spark):
+    x = line(1, 12) + "\n" + line(2, 11)
+    df = spark.createDataFrame([(1, x), (2, x), (2, x)], "doc_id bigint, text string")
+    got = [(r["text"], r["n_removed_lines"], r["n_removed_words"]) for r in linededup.dedup_lines(df).where("doc_id = 2").collect()]
+    assert got == [("", 2, 23)] * 2
+
+
+def test_only_aligned_blocks(spark):
+    """Without ``moved`` a block goes only where both documents have it in the order of the longest alignment."""
+    a = "\n".join(map(line, range(6)))
+    moved = "\n".join([line(4), line(5), line(50), line(0), line(1), line(2)])
+    assert run_lines(spark, [a, moved], moved=False)[1] == "\n".join([line(4), line(5), line(50)])
 
 
 def test_a_line_that_all_documents_share(spark):
@@ -149,3 +209,14 @@ def test_contamination_matches_loops(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got} == {i: naive_contamination(t, items) for i, t in enumerate(texts)}
+
+
+def test_shortest_runs_match_loops():
+    rnd = random.Random(7)
+    for _ in range(500):
+        w = rnd.choices([1, 1, 2, 3, 4, 5, 12], k=rnd.randrange(12))
+        blocks = [(s, e) for s in range(len(w)) for e in range(s, len(w)) if sum(w[s:e + 1]) >= 10 and max(w[s:e + 1]) >= 4]
+        want = {min((b for b in blocks if b[0] == s), default=None) for s in range(len(w))} | {
+            max((b for b in blocks if b[1] == e), default=None) for e in range(len(w))}
+        assert set(linededup.shortest_runs(w, 10, 4)) == want - {None}
+    assert len(linededup.shortest_runs([1] * 50_000 + [5], 10, 4)) < 100_000

@@ -8,36 +8,11 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tablelens.llm import language
-from test_llm_groups import classes, naive_contamination, naive_fingerprint
+from test_llm_groups import classes, cut_lines, naive_contamination, naive_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
 
-def cut_lines(docs):
-    """Later runs of lines that earlier documents have (all pairs here keep their order)."""
-    first, out = {}, {}
-    for i in sorted(docs):
-        lines, seen, own = docs[i].split("\n"), {}, []
-        for n, x in enumerate(lines):
-            if x.split():
-                k = seen[x.strip()] = seen.get(x.strip(), -1) + 1
-                own.append((n, x.strip(), k))
-        run, cut = [], set()
-        for n, x, k in [*own, (None, None, None)]:
-            if x is not None and (x, k) in first:
-                run.append((n, len(x.split())))
-                continue
-            if sum(w for _, w in run) >= 10 and max(w for _, w in run) >= 4:
-                cut.update(range(run[0][0], run[-1][0] + 1))
-            run = []
-        for _, x, k in own:
-            first.setdefault((x, k), i)
-        text = "\n".join(x for n, x in enumerate(lines) if n not in cut)
-        if not cut or text.split():
-            out[i] = text
-    return out
-
-
 def test_run(spark):
     raw = spark.read.parquet(f"{SF}/documents.parquet")
     model = language.fit_languages(raw)
@@ -47,7 +22,7 @@ def test_run(spark):
         bits = model.code_lengths([t.lower().encode()])[0]
         if re.search(r"[^\W\d_]", t) and 1 / sum(2.0 ** (bits.min() - b) for b in bits) >= corpus_pipeline.LEAST_SCORE:
             kept[i] = t
-    kept = cut_lines(kept)
+    kept = {i: t for i, (t, lines, _) in cut_lines(kept).items() if not lines or t.split()}
     prints = {i: naive_fingerprint(t) for i, t in kept.items()}
     group = classes(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2])
     kept = {i: t for i, t in kept.items() if group[i] == i}

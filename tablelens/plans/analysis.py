@@ -348,16 +348,16 @@ class Analysis:
     _AHEAD = ("moments", "distinct", "duplicates", "sample", "quantiles", "correlations", "flags", "beyond", "spellings", "isolation",
               "forecast", "tests")
 
-    def _computed(self, step: _Step) -> tuple[list[DataFrame], tuple[str, bool, str | None]]:
-        """A report's rows and its status; a failing report does not take others along."""
+    def _computed(self, step: _Step) -> tuple[list[tuple | DataFrame], tuple[str, bool, str | None]]:
+        """A report's rows, or tables of rows, and its status; a failing report does not take others along."""
         try:
-            frames = step.run()
-            if step.bounded:
-                rows = [tuple(r) for f in frames for r in f.collect()]
-                frames = [rows]
-            else:
-                frames = [materialize(f, "report") for f in frames]
-            return frames, (step.name, True, None)
+            told: list[tuple | DataFrame] = []
+            for t in step.run():
+                if isinstance(t, _Long):
+                    told += t.rows() if step.bounded else [materialize(t.frame(), "report")]
+                else:
+                    told += t
+            return told, (step.name, True, None)
         except _NotRun as e:
             return [], (step.name, False, str(e))
         except Exception as e:

@@ -114,7 +114,8 @@ def test_details_of_the_reports(sales):
 
 def test_estimates_are_named_so(sales):
     a = Analysis(sales, approximate=True)
-    assert {r["metric"] for rows in a._profile() for r in rows if r[1] == "column"} == {"null_count", "unique_count_estimate", "dtype"}
+    report, _ = a.run()
+    assert {r["metric"] for r in report.filter("report = 'profile' AND section = 'column'").collect()} == {"null_count", "unique_count_estimate", "dtype"}
 
 
 def test_a_shared_part_fails_once(sales, monkeypatch):
@@ -122,3 +123,39 @@ def test_a_shared_part_fails_once(sales, monkeypatch):
     monkeypatch.setattr(plan.quality, "assess_data_quality", lambda *a, **k: calls.append(1) or 1 / 0)
     Analysis(sales).run()
     assert len(calls) == 1
+
+
+def test_reports_do_not_depend_on_running_side_by_side(sales):
+    apart, together = (sorted(map(repr, Analysis(sales, key=("order_id",), concurrent=n).run()[0].collect())) for n in (1, 8))
+    assert apart == together
+
+
+def test_a_part_is_computed_once_by_many_threads():
+    from concurrent.futures import ThreadPoolExecutor
+    from time import sleep
+
+    from tablelens.plans.parts import computed, part
+
+    class Owner:
+        calls = 0
+
+        @part
+        def value(self):
+            Owner.calls += 1
+            sleep(0.2)
+            return [1]
+
+        @part
+        def broken(self):
+            Owner.calls += 1
+            raise ValueError("no")
+
+    owner = Owner()
+    assert computed(owner, "value") is None
+    with ThreadPoolExecutor(8) as pool:
+        found = list(pool.map(lambda _: owner.value, range(8)))
+    assert Owner.calls == 1 and all(f is found[0] for f in found) and computed(owner, "value") == [1]
+    for _ in range(2):
+        with pytest.raises(ValueError):
+            owner.broken
+    assert Owner.calls == 2

@@ -221,6 +221,11 @@ def oracles() -> dict[str, str]:
         "numeric_summary": "SELECT column_name, round_even(avg(v), 2) AS mean, round_even(median(v), 2) AS median, "
                            "round_even(stddev_samp(v), 2) AS std, round_even(min(v), 2) AS min, round_even(max(v), 2) AS max "
                            f"FROM ({tall('lineitem', LINE_NUMBERS, 'DOUBLE')}) GROUP BY column_name",
+        "excluded_categories": cte("order_lines") + """
+            SELECT column_name, CAST(rank AS INTEGER) AS rank, value, n FROM (
+                SELECT column_name, v AS value, count(*) AS n, row_number() OVER (PARTITION BY column_name ORDER BY count(*) DESC, v) AS rank
+                FROM (""" + tall("order_lines", ["o_orderstatus", "o_orderpriority"], "VARCHAR") + """)
+                WHERE v IS NOT NULL GROUP BY column_name, v) WHERE rank <= 5""",
         "top_categories": """
             SELECT column_name, CAST(rank AS INTEGER) AS rank, value, n FROM (
                 SELECT column_name, v AS value, count(*) AS n, count(*) OVER (PARTITION BY column_name) AS d,
@@ -335,6 +340,17 @@ def oracles() -> dict[str, str]:
         "standardize_categories": f"""{dirty}, canon AS ({spellings('dirty_orders', 'o_orderpriority')})
             SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, canonical AS o_orderpriority
             FROM dirty_orders LEFT JOIN canon ON o_orderpriority = value""",
+        "date_columns": cte("order_texts") + """
+            SELECT CAST(row_number() OVER (ORDER BY i) AS INTEGER) AS place, column_name FROM (
+                SELECT 1 AS i, 'cust_text' AS column_name, avg(CASE WHEN TRY_CAST(cust_text AS DATE) IS NULL THEN 0 ELSE 1 END) AS rate FROM order_texts
+                UNION ALL SELECT 2, 'price_text', avg(CASE WHEN TRY_CAST(price_text AS DATE) IS NULL THEN 0 ELSE 1 END) FROM order_texts
+                UNION ALL SELECT 3, 'late_text', avg(CASE WHEN TRY_CAST(late_text AS DATE) IS NULL THEN 0 ELSE 1 END) FROM order_texts
+                UNION ALL SELECT 4, 'date_text', avg(CASE WHEN TRY_CAST(date_text AS DATE) IS NULL THEN 0 ELSE 1 END) FROM order_texts
+                UNION ALL SELECT 5, 'o_orderpriority', avg(CASE WHEN TRY_CAST(o_orderpriority AS DATE) IS NULL THEN 0 ELSE 1 END) FROM order_texts)
+            WHERE rate >= 0.8""",
+        "chosen_series": cte("order_texts") + """
+            SELECT CAST(date_text AS TIMESTAMP) AS ts, round_even(avg(TRY_CAST(price_text AS DOUBLE)), 8) AS value
+            FROM order_texts WHERE TRY_CAST(price_text AS DOUBLE) IS NOT NULL GROUP BY 1""",
         "daily_mean_series": "SELECT CAST(o_orderdate AS TIMESTAMP) AS ts, round_even(avg(o_totalprice), 8) AS value "
                              "FROM orders GROUP BY 1",
         "series_step": """

@@ -14,6 +14,7 @@ from tablelens.operators import (
     anomalies, chartdata, cleaning, eda, forecast, frequency, hypothesis, isolation, profile, quality, rows, sqlguard,
 )
 from tablelens.plans.analysis import Analysis
+from tablelens.schema import local_frame
 from tablelens.sources.readers import infer_types, load_data_file
 from tablelens.sources.scratch import scratch_folder
 
@@ -186,6 +187,11 @@ def numeric_summary(spark, sf):
     return eda.numeric_summary(table(spark, sf, "lineitem"))
 
 
+@query
+def excluded_categories(spark, sf):
+    return eda.top_categories(view(spark, sf, "order_lines"), exclude={"c_mktsegment"})
+
+
 @query
 def top_categories(spark, sf):
     return eda.top_categories(table(spark, sf, "part"))
@@ -341,6 +347,21 @@ def standardize_categories(spark, sf):
 
 # --- forecasts ------------------------------------------------------------------------------------
 
+@query
+def date_columns(spark, sf):
+    """Which text columns are dates, in the order in which a forecast would take them."""
+    df = view(spark, sf, "order_texts")
+    return local_frame(df, list(enumerate(forecast.date_like_columns(df), 1)), "place int, column_name string")
+
+
+@query
+def chosen_series(spark, sf):
+    """The series that a forecast takes by itself: first date-like column, first number that is not excluded."""
+    df = view(spark, sf, "order_texts").select(
+        "*", F.length("price_text").alias("width"), F.col("price_text").try_cast("double").alias("price"))
+    return rounded(forecast.series_points(df, *forecast.choose_series(df, exclude={"width"})), 8, "value")
+
+
 @query
 def daily_mean_series(spark, sf):
     return rounded(forecast.series_points(table(spark, sf, "orders"), "o_orderdate", "o_totalprice"), 8, "value")

@@ -63,27 +63,36 @@ def _segments(distance: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _chains(n: int, distance: int) -> list[tuple[int, ...]]:
-    """Sets of segments such that any two fingerprints within ``distance`` agree on all segments of one set.
+def _budgets(n: int, distance: int) -> list[int]:
+    """Length of the longest prefix of a chain that may hold t differing bits, for every t, below the whole ring."""
+    return [max(i for i in range(1, n) if i * distance // n == t) for t in range((n - 1) * distance // n + 1)]
 
-    By the pigeonring principle some start on the ring has every prefix of l segments within l * distance / n
-    differing bits. The differing segments after that start are at most ``distance``; a set is what is left of
-    the ring without them, so it begins with the chain's equal segments. Each set is listed once.
-    """
-    found = set()
 
-    def grow(start: int, length: int, spent: int, out: tuple[int, ...]):
-        if length == n:
-            if spent == distance:
-                found.add(tuple(sorted(set(range(n)) - set(out))))
+def _chains(n: int, distance: int) -> dict[tuple[int, ...], list[int]]:
+    """Sets of segments to list fingerprints under, each with the starts of the chains that it stands for.
+
+    By the pigeonring principle two fingerprints within ``distance`` have a start on the ring of n segments from which
+    every prefix of i segments holds at most i * distance / n differing bits. Chains of n - 1 segments are used here.
+    Such a chain begins with equal segments, and those of its segments that differ leave a set of equal ones: all such
+    sets are the keys.
+    """
+    found: dict[tuple[int, ...], list[int]] = {}
+    most = (n - 1) * distance // n
+
+    def grow(start: int, length: int, equal: tuple[int, ...]):
+        spent = length - len(equal)
+        if length == n - 1:
+            if spent == most:
+                starts = found.setdefault(tuple(sorted(equal)), [])
+                starts.extend([start] if start not in starts else [])
             return
-        grow(start, length + 1, spent, out)
-        if spent < distance and (spent + 1) * n <= (length + 1) * distance:
-            grow(start, length + 1, spent + 1, (*out, (start + length) % n))
+        grow(start, length + 1, (*equal, (start + length) % n))
+        if (spent + 1) * n <= (length + 1) * distance:
+            grow(start, length + 1, equal)
 
     for start in range(n):
-        grow(start, 0, 0, ())
-    return sorted(found)
+        grow(start, 0, ())
+    return dict(sorted(found.items()))
 
 
 def _mask(segments: list[tuple[int, int]], chosen: tuple[int, ...]) -> int:
@@ -91,40 +100,46 @@ def _mask(segments: list[tuple[int, int]], chosen: tuple[int, ...]) -> int:
     return bits - (1 << BITS) if bits >> (BITS - 1) else bits
 
 
-def _ring_ok(x: Column, segments: list[tuple[int, int]], distance: int) -> Column:
-    """Whether some start on the ring keeps the cumulative differences of every chain within its share."""
-    n = len(segments)
-    d = [F.bit_count(x.bitwiseAND(F.lit(_mask(segments, (s,))))) for s in range(n)]
-    starts = []
-    for s in range(n):
-        total, ok = F.lit(0), F.lit(True)
-        for length in range(1, n + 1):
-            total = total + d[(s + length - 1) % n]
-            ok = ok & (total * n <= length * distance)
-        starts.append(ok)
-    return reduce(lambda a, b: a | b, starts)
+def _chain_ok(x: Column, chain: Column, segments: list[tuple[int, int]], distance: int) -> Column:
+    """Whether a chain behind the shared key keeps the cumulative differences ``x`` of its prefixes within their budgets."""
+    n, starts = len(segments), list(_chains(len(segments), distance).values())
 
+    def spent(alternative: int, length: int) -> Column:
+        masks = [_mask(segments, tuple((s[alternative % len(s)] + i) % n for i in range(length))) for s in starts]
+        return F.bit_count(x.bitwiseAND(F.element_at(F.lit(masks), chain + 1)))
 
-def close_pairs(prints: DataFrame, distance: int = 2) -> DataFrame:
-    """(a, b) with a < b: all pairs of different values of ``fp`` at most ``distance`` bits apart.
+    return reduce(lambda a, b: a | b, [
+        reduce(lambda a, b: a & b, [spent(k, length) <= t for t, length in enumerate(_budgets(n, distance))])
+        for k in range(max(map(len, starts)))
+    ])
 
-    Every fingerprint is listed under each chain of segments; two that share a chain are candidates, checked by
-    the ring condition and then by the full distance. With six segments for two bits a chain spans about 43
-    bits, so the lists stay short even for billions of fingerprints.
+
+def candidates(prints: DataFrame, distance: int = 2, pruned: bool = True) -> DataFrame:
+    """(a, b) with a < b for values of ``fp`` that share a key, once per key; ``pruned``: and pass a chain's budgets.
+
+    With six segments for two bits a key spans about 43 bits, so the lists stay short even for billions of
+    fingerprints. A pair of one key may differ at will in the two other segments; the chains behind the key allow
+    one bit in the segment that they hold, so most pairs that meet by chance go before their full distance is taken.
     """
     segments = _segments(distance)
-    chains = _chains(len(segments), distance)
     one = prints.select("fp").where("fp is not null").distinct()
     keys = F.array(*[
         F.struct(F.lit(i).alias("chain"), F.col("fp").bitwiseAND(F.lit(_mask(segments, c))).alias("part"))
-        for i, c in enumerate(chains)
+        for i, c in enumerate(_chains(len(segments), distance))
     ])
     listed = one.select("fp", F.explode(keys).alias("k")).select("fp", "k.chain", "k.part")
     left = listed.select(F.col("fp").alias("a"), "chain", "part")
     right = listed.select(F.col("fp").alias("b"), "chain", "part")
     pairs = left.join(right, ["chain", "part"]).where("a < b")
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    return pairs.where(_ring_ok(x, segments, distance)).where(F.bit_count(x) <= distance).select("a", "b").distinct()
+    if pruned:
+        pairs = pairs.where(_chain_ok(F.col("a").bitwiseXOR(F.col("b")), F.col("chain"), segments, distance))
+    return pairs.select("a", "b")
+
+
+def close_pairs(prints: DataFrame, distance: int = 2) -> DataFrame:
+    """(a, b) with a < b: all pairs of different values of ``fp`` at most ``distance`` bits apart, found by chains."""
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+    return candidates(prints, distance).where(near).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:

@@ -59,6 +59,25 @@ def test_close_pairs(spark, distance):
     assert got == {(a, b) for a, b in itertools.combinations(sorted(set(signed)), 2) if ((a ^ b) % (1 << 64)).bit_count() <= distance}
 
 
+def test_chains_prune_before_the_full_distance(spark):
+    rnd = random.Random(3)
+    base = [rnd.getrandbits(63) for _ in range(30)]
+    far = [b ^ sum(1 << i for i in rnd.sample(range(start, start + 21), 8)) for b in base for start in (0, 11, 21, 32, 42)]
+    near = [b ^ sum(1 << i for i in rnd.sample(range(63), 2)) for b in base]
+    frame = spark.createDataFrame([(v,) for v in base + far + near], "fp bigint")
+    everything, kept = (set(simhash.candidates(frame, 2, pruned).collect()) for pruned in (False, True))
+    close = set(simhash.close_pairs(frame, 2).collect())
+    assert close <= kept < everything and len(everything - kept) > 0.8 * len(everything - close)
+    assert {tuple(sorted(p)) for p in zip(base, near)} <= close
+
+
+@pytest.mark.parametrize("distance", [1, 2, 3, 4])
+def test_budgets_are_below_the_whole_ring(distance):
+    n = len(simhash._segments(distance))
+    budgets = simhash._budgets(n, distance)
+    assert len(budgets) == distance and all(i < n and i * distance // n == t for t, i in enumerate(budgets))
+
+
 def test_components(spark):
     rnd = random.Random(4)
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(rnd.randint(200, 300), rnd.randint(200, 300)) for _ in range(60)]

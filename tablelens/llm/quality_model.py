@@ -175,16 +175,25 @@ def _train(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -> QualityModel:
     """Word vectors from all documents, a network from at most 1.5 * ``per_class`` labelled ones of each class.
 
-    Only the label ``quality`` of rows that are not held out is read. Sampled rows weigh as much as their class
-    holds labels, so scores are probabilities at the corpus's rate. Without labelled rows every score is one half.
+    Only the label ``quality`` of rows that are not held out is read. Equal texts are one row; of several labels of a
+    doc_id or of a text the most frequent is taken, in a tie 0. Sampled rows weigh as much as their class holds
+    texts, so scores are probabilities at the corpus's rate. Without labelled rows every score is one half.
     """
     vectors = word_vectors(docs) if not docs.where(F.length("text") > 0).isEmpty() else np.zeros((WORDS, DIMENSIONS), np.float32)
     rows = labels.select("doc_id", "quality").where(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-    sizes = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
+    most = (2 * F.sum("quality") > F.count("*")).cast("int").alias("quality")
+    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    texts = written(
+        docs.select("doc_id", text_hash).join(rows.groupBy("doc_id").agg(most), "doc_id")
+        .groupBy("text_hash").agg(most, F.min("doc_id").alias("doc_id")),
+        "quality-texts",
+    )
+    sizes = {r["quality"]: r["count"] for r in texts.groupBy("quality").count().collect()}
     chosen = written(
-        sample_per_class(rows, "quality", F.col("doc_id"), per_class).dropDuplicates(["doc_id"]).select("doc_id", "quality"), "quality-rows"
+        sample_per_class(texts, "quality", F.col("text_hash"), per_class).select("doc_id", "text_hash", "quality"), "quality-rows"
     )
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # bounded sample
+    sample = docs.select("doc_id", "text", text_hash).join(
+        F.broadcast(chosen), ["doc_id", "text_hash"]).dropDuplicates(["text_hash"])  # bounded sample
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +203,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CL
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], ["key", "quality", "x"])
 
     found = sorted(
-        sample.select(F.xxhash64("doc_id").alias("key"), "quality", "text").mapInArrow(features, "key bigint, quality int, x array<double>").collect()
+        sample.select(F.col("text_hash").alias("key"), "quality", "text").mapInArrow(features, "key bigint, quality int, x array<double>").collect()
     )
     if not found:
         none, side = np.zeros(1), 2 * DIMENSIONS + 1

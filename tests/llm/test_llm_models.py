@@ -26,6 +26,16 @@ def test_word_vectors_do_not_depend_on_partitions(spark):
     assert np.array_equal(quality_model.word_vectors(docs.repartition(7)), quality_model.word_vectors(docs.coalesce(1)))
 
 
+def test_clashing_labels_and_repeated_rows_settle_alike_in_any_order(spark):
+    docs = spark.createDataFrame([(i, f"good words {i} here") for i in range(120)] + [(5, "another text")], "doc_id bigint, text string")
+    rows = [(i, q) for i in range(120) for q in ((0, 1) if i % 2 else (1, 1, 0))]
+    models = [quality_model.fit_quality(docs.repartition(3), spark.createDataFrame(r, "doc_id bigint, quality int")) for r in (rows, rows[::-1])]
+    assert all(np.array_equal(getattr(models[0], n), getattr(models[1], n)) for n in ("w1", "b1", "w2", "b2", "temperature"))
+    one = [(i, q) for i, q in ((i, 1 - i % 2) for i in range(120))]  # the most frequent label, in a tie 0
+    plain = quality_model.fit_quality(docs, spark.createDataFrame(one, "doc_id bigint, quality int"))
+    assert np.array_equal(models[0].b2, plain.b2)
+
+
 def test_pooling_of_long_and_short_texts_agrees():
     v = np.random.default_rng(1).normal(size=(quality_model.WORDS, quality_model.DIMENSIONS)).astype(np.float32)
     ids = np.random.default_rng(2).integers(0, quality_model.WORDS, 5 * quality_model.WORDS).astype(np.int32)

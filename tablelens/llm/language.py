@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.llm.batches import pieces, strings
-from tablelens.llm.sampling import held_out, sample_per_class
+from tablelens.llm.sampling import held_out, sample_per_value
 
 #: Longest context in bytes.
 ORDER = 3
-#: Bounds of the sample that a model is fitted on: texts per language, and bytes of a text that may be chosen.
-TEXTS_PER_LANGUAGE, BYTES_PER_TEXT = 300, 20_000
-#: Contexts of full length that the trees keep, the most frequent first; shorter contexts are all kept.
+#: Bounds of the sample that a model is fitted on: pieces of texts per language, and bytes of a piece.
+PIECES_PER_LANGUAGE, BYTES_PER_PIECE = 300, 20_000
+#: Bound of the model: contexts of full length that the trees keep, the most frequent first; after others the shorter one codes.
 MOST_CONTEXTS = 40_000
 #: Bytes scored at once.
 CHUNK = 1 << 19
@@ -106,18 +106,29 @@ class ContextTrees:
         return totals
 
 
-def fit_languages(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, most_bytes: int = BYTES_PER_TEXT) -> ContextTrees:
-    """Fits trees on at most 1.5 * ``texts`` texts per language, none longer than ``most_bytes``, chosen by text hash.
+def text_pieces(rows: DataFrame, most_bytes: int, per_language: int) -> DataFrame:
+    """(lang, piece): a sample of the pieces of ``most_bytes`` bytes, the last of a text shorter, of all whole texts.
+
+    A piece is drawn by its number before it is cut out, and cutting bytes copies nothing else, so a very long text
+    costs its length once. Every piece has the same chance, wherever in a text of whatever length it stands.
+    """
+    last = F.floor((F.octet_length("text") - 1) / F.lit(most_bytes)).cast("int")
+    numbered = rows.select("lang", "text", F.xxhash64("text").alias("whole"), F.explode(F.sequence(F.lit(0), last)).alias("nth"))
+    key = F.when(F.col("nth") == 0, F.col("whole")).otherwise(F.xxhash64("whole", "nth"))
+    piece = F.substring(F.encode("text", "UTF-8"), F.col("nth") * most_bytes + 1, F.lit(most_bytes))
+    return sample_per_value(numbered, "lang", key, per_language, piece).select("lang", F.col("value").alias("piece"))
+
+
+def fit_languages(docs: DataFrame, per_language: int = PIECES_PER_LANGUAGE, most_bytes: int = BYTES_PER_PIECE) -> ContextTrees:
+    """Fits trees on at most 1.5 * ``per_language`` pieces of ``most_bytes`` bytes per language, chosen by text hash.
 
     Rows without a language, without text or held out take no part. Languages are a code list; the sample, and
     with it what the driver gets, is bounded by their number. Texts are compared without regard to case.
     """
-    rows = docs.select("lang", "text").where(
-        ~held_out() & F.col("lang").isNotNull() & F.octet_length("text").between(1, most_bytes)
-    )
+    rows = docs.select("lang", "text").where(~held_out() & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
     found: dict[str, list[bytes]] = {}
-    for r in sample_per_class(rows, "lang", F.xxhash64("text"), texts).select("lang", "text").collect():
-        found.setdefault(r[0], []).append(r[1].lower().encode())
+    for r in text_pieces(rows, most_bytes, per_language).collect():
+        found.setdefault(r[0], []).append(r[1].decode(errors="ignore").lower().encode())
     return ContextTrees.fit({l: sorted(t) for l, t in found.items()})
 
 

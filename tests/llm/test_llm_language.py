@@ -57,3 +57,20 @@ def test_unknown(spark):
         + [(50, None, "en"), (51, "123 !", "de"), (52, "", None), (53, "THE AND OF", None)], "doc_id bigint, text string, lang string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify_languages(docs, language.fit_languages(docs)).collect()}
     assert got[50] == got[51] == got[52] == ("und", 0.0) and got[53][0] == "en" and got[0][0] == "de"
+
+
+def test_long_texts_are_learned(spark):
+    docs = spark.createDataFrame(
+        [(i, f"the cat and the dog {i}", "en") for i in range(40)] + [(i, f"le chat et le chien {i} " * 1500, "fr") for i in range(40, 80)]
+        + [(80, "le chat et", None)], "doc_id bigint, text string, lang string")
+    model = language.fit_languages(docs)
+    got = {r.doc_id: r.lang_pred for r in language.identify_languages(docs, model).collect()}
+    assert model.languages == ["en", "fr"] and all(l == ("en" if i < 40 else "fr") for i, l in got.items())
+
+
+def test_pieces_cover_whole_texts_and_any_number_of_languages(spark):
+    texts = {"x": "abcdé" * 100, "y": "z", "zz": "ab" * 3}
+    rows = spark.createDataFrame([*((l, t) for l, t in texts.items()), *((f"l{i}", f"t{i}") for i in range(3000)), (None, "no")], "lang string, text string")
+    pieces = language.text_pieces(rows, 6, 1000).collect()
+    assert len({r.lang for r in pieces}) == 3003 and all(len(r.piece) <= 6 for r in pieces)
+    assert sorted(r.piece for r in pieces if r.lang == "x") == sorted(texts["x"].encode()[i:i + 6] for i in range(0, 600, 6))

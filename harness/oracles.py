@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from harness.queries import CATEGORICAL, NUMERIC, SQL
+from harness.queries import CATEGORICAL, FOREST, FOREST_ROWS, NUMERIC, SQL
 from harness.views import cte
 
 LINEITEM = {
@@ -20,6 +20,9 @@ PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice", "
 AMOUNTS = ["l_quantity", "l_extendedprice", "l_discount", "revenue", "charge", "tax_amount", "doubled", "one"]
 
 
+EULER = 0.5772156649015329
+
+
 def union(parts) -> str:
     return " UNION ALL ".join(parts)
 
@@ -30,6 +33,19 @@ def tall(source: str, names, cast: str) -> str:
                  for i, n in enumerate(names))
 
 
+def mean_depth(n: int) -> str:
+    """Average depth of an unsuccessful search among ``n`` values, as SQL."""
+    return "0e0" if n <= 1 else "1e0" if n == 2 else f"(2 * (ln({n - 1}e0) + {EULER}e0) - 2 * {n - 1}e0 / {n}e0)"
+
+
+def walk(tree, depth: int = 0) -> str:
+    """Path length of a row in one tree."""
+    if not isinstance(tree, tuple):
+        return f"({depth}e0 + {mean_depth(tree)})"
+    column, split, upto, above = tree
+    return f"CASE WHEN {column} > {split}e0 THEN {walk(above, depth + 1)} ELSE {walk(upto, depth + 1)} END"
+
+
 def missing(source: str, names) -> str:
     return (f"SELECT column_name, CAST(count(*) - count(v) AS BIGINT) AS missing_count, "
             f"round_even(100.0 * (count(*) - count(v)) / count(*), 1) AS missing_pct "
@@ -276,6 +292,11 @@ def oracles() -> dict[str, str]:
             m AS (SELECT column_name, avg(v) AS mean, stddev_samp(v) AS std, count(v) AS n FROM t GROUP BY column_name)
             SELECT column_name, CAST(count(*) AS BIGINT) AS outlier_count, round_even(100.0 * count(*) / n, 1) AS outlier_pct
             FROM t JOIN m USING (column_name) WHERE n >= 2 AND std <> 0 AND abs((v - mean) / std) > 3 GROUP BY column_name, n""",
+        "forest_scores": f"""
+            WITH s AS (SELECT l_orderkey, l_linenumber,
+                       -pow(2e0, -({' + '.join(map(walk, FOREST))}) / {len(FOREST)}e0 / {mean_depth(FOREST_ROWS)}) AS score FROM lineitem)
+            SELECT l_orderkey, l_linenumber, round_even(score, 6) AS anomaly_score,
+                   score < (SELECT quantile_cont(score, 0.05) FROM s) AS flagged FROM s""",
         "group_moments": cte("order_lines") + " SELECT categorical_column, category, numeric_column, n, "
                          "round_even(mean, 1) AS mean, round_even(variance, -2) AS variance "
                          f"FROM ({moments('order_lines', CATEGORICAL, NUMERIC)})",

@@ -260,6 +260,27 @@ def isolation_forest(spark, sf):
     return report.scored.filter(F.col("anomaly_score") < report.threshold)
 
 
+#: A small forest, written down so that SQL can walk it too: (column, split, up to it, above it) or the rows of a leaf.
+FOREST_ROWS = 64
+FOREST = [
+    ("l_quantity", 25.5, ("l_extendedprice", 9000.0, ("l_tax", 0.035, 3, 9), 20), ("l_discount", 0.085, 30, 2)),
+    ("l_extendedprice", 52000.0, ("l_quantity", 3.5, 4, ("l_discount", 0.005, 6, 50)), ("l_tax", 0.065, 4, 1)),
+    ("l_discount", 0.015, ("l_quantity", 45.5, 10, 1), ("l_tax", 0.005, 5, ("l_extendedprice", 2500.0, 2, 46))),
+    ("l_tax", 0.075, ("l_extendedprice", 80000.0, 55, 1), ("l_quantity", 10.5, ("l_discount", 0.05, 1, 2), 5)),
+]
+
+
+@query
+def forest_scores(spark, sf):
+    """All lines scored by a given forest, and which of them are flagged."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    features = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    report = isolation.judge(lines, isolation.forest_of(features, FOREST, FOREST_ROWS), lines.count(), ["l_orderkey", "l_linenumber"])
+    return report.scored.select(
+        "l_orderkey", "l_linenumber", F.bround("anomaly_score", 6).alias("anomaly_score"),
+        (F.col("anomaly_score") < report.threshold).alias("flagged"))
+
+
 # --- hypothesis tests -----------------------------------------------------------------------------
 
 CATEGORICAL, NUMERIC = ["o_orderstatus", "o_orderpriority", "c_mktsegment"], ["o_totalprice", "c_acctbal"]

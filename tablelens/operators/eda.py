@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablelens.operators.columnstats import TableStats, table_stats
@@ -51,6 +52,54 @@ def top_categories(df: DataFrame, exclude: Iterable[str] = (), stats: TableStats
 
 # --- correlations ---------------------------------------------------------------------------------
 
+#: Columns whose pairs are merged as rows; more are merged as tiles of so many columns each way.
+NARROW, TILE = 64, 128
+#: Groups that the partial tiles of all tasks are merged in before the last merge.
+TILE_GROUPS = 32
+_TILES = "ti int, tj int, part int, cells binary"
+
+
+def _tiles(both: np.ndarray, sums: np.ndarray, squares: np.ndarray, products: np.ndarray,
+           tile: int, groups: int) -> Iterator[pa.RecordBatch]:
+    """One row per tile on or above the diagonal: n, sx, sy, sxx, syy, sxy of its pairs of columns as bytes."""
+    part = TaskContext.get().partitionId() % groups
+    starts = range(0, len(both), tile)
+    for i, j in combinations_with_replacement(starts, 2):
+        a, b = slice(i, i + tile), slice(j, j + tile)
+        cells = np.stack([both[a, b], sums[a, b], sums[b, a].T, squares[a, b], squares[b, a].T, products[a, b]])
+        yield pa.RecordBatch.from_pydict({
+            "ti": pa.array([i], pa.int32()), "tj": pa.array([j], pa.int32()), "part": pa.array([part], pa.int32()),
+            "cells": pa.array([cells.tobytes()], pa.binary())})
+
+
+def _tile_sum(table: pa.Table) -> np.ndarray:
+    total = np.zeros(len(table["cells"][0].as_py()) // 8)
+    for cell in table["cells"]:
+        total += np.frombuffer(cell.as_buffer(), float)
+    return total
+
+
+def _merged_tiles(tiles: DataFrame, c: int) -> np.ndarray:
+    """Correlations of ``c`` columns, NaN where there is none. Tiles are added up in two levels; the driver gets coefficients."""
+    def add(table: pa.Table) -> pa.Table:
+        return table.slice(0, 1).set_column(3, "cells", pa.array([_tile_sum(table).tobytes()], pa.binary()))
+
+    def finish(table: pa.Table) -> pa.Table:
+        n, sx, sy, sxx, syy, sxy = _tile_sum(table).reshape(6, -1)
+        vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+        flat = (n < 2) | (vx <= 1e-12 * n * sxx) | (vy <= 1e-12 * n * syy)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.where(flat, np.nan, np.clip((n * sxy - sx * sy) / (np.sqrt(vx) * np.sqrt(vy)), -1.0, 1.0))
+        return table.slice(0, 1).set_column(3, "cells", pa.array([r.tobytes()], pa.binary()))
+
+    merged = tiles.groupBy("ti", "tj", "part").applyInArrow(add, _TILES).groupBy("ti", "tj").applyInArrow(finish, _TILES)
+    out = np.full((c, c), np.nan)
+    for t in merged.collect():  # 8 bytes per pair of columns
+        rows, columns = min(TILE, c - t["ti"]), min(TILE, c - t["tj"])
+        out[t["ti"]:t["ti"] + rows, t["tj"]:t["tj"] + columns] = np.frombuffer(t["cells"], float).reshape(rows, columns)
+    return out
+
+
 def pair_correlations(df: DataFrame, stats: TableStats | None = None) -> list[tuple[str, str, float | None]]:
     """Pearson's r over the rows where both columns have a value; None where it is undefined.
 
@@ -64,7 +113,7 @@ def pair_correlations(df: DataFrame, stats: TableStats | None = None) -> list[tu
         return []
     stats = stats or table_stats(df, names, sketch=False, parse=False)
     centre = np.array([stats[n].mean or 0.0 for n in names])
-    c = len(names)
+    c, tile, groups = len(names), TILE, TILE_GROUPS
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, sums, squares, products = (np.zeros((c, c)) for _ in range(4))
@@ -77,14 +126,20 @@ def pair_correlations(df: DataFrame, stats: TableStats | None = None) -> list[tu
             sums += x.T @ m
             squares += (x * x).T @ m
             products += x.T @ x
+        if c > NARROW:
+            yield from _tiles(both, sums, squares, products, tile, groups)
+            return
         i, j = np.triu_indices(c, 1)
         yield pa.RecordBatch.from_pydict({
             "i": i.astype(np.int32), "j": j.astype(np.int32), "n": both[i, j], "sx": sums[i, j], "sy": sums[j, i],
             "sxx": squares[i, j], "syy": squares[j, i], "sxy": products[i, j],
         })
 
-    totals = (df.select(*[as_double(n).alias(f"c{k}") for k, n in enumerate(names)])
-              .mapInArrow(partial, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    cells = df.select(*[as_double(n).alias(f"c{k}") for k, n in enumerate(names)])
+    if c > NARROW:
+        found = _merged_tiles(cells.mapInArrow(partial, _TILES), c)
+        return [(names[i], names[j], None if np.isnan(found[i, j]) else float(found[i, j])) for i, j in combinations(range(c), 2)]
+    totals = (cells.mapInArrow(partial, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
               .groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in ("n", "sx", "sy", "sxx", "syy", "sxy")]))
     found = {}
     for t in totals.collect():

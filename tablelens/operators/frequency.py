@@ -51,8 +51,21 @@ def _family(kind: T.DataType) -> str:
     return "string"
 
 
+#: Longest text that is compared as it is. A fingerprint is written with one byte more, so no text equals one.
+LONG_TEXT = 32
+
+
+def _short(text: Column) -> Column:
+    halves = [F.lpad(F.hex(F.xxhash64(F.lit(seed), text)), 16, "0") for seed in (1, 2)]
+    return F.when(F.octet_length(text) > LONG_TEXT, F.concat(F.lit("#"), *halves)).otherwise(text)
+
+
 def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """``(column_name, distinct_count)``, NULLs left out, 0 for columns without values. Exact."""
+    """``(column_name, distinct_count)``, NULLs left out, 0 for columns without values. Exact.
+
+    A text of over ``LONG_TEXT`` bytes is counted by a fingerprint of 128 bits, so what is shuffled per row does not
+    grow with its length.
+    """
     names = list(columns) if columns is not None else list(df.columns)
     if not names:
         return local_frame(df, [], "column_name string, distinct_count bigint")
@@ -62,6 +75,7 @@ def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None) -> Data
     parts = []
     for kind, members in families.items():
         cells = [comparable(df, n).cast(kind) for n in members]
+        cells = [_short(c) for c in cells] if kind == "string" else cells
         parts.append(_unpivot(df, cells).distinct().groupBy("c").agg(F.count("value").alias("distinct_count"))
                      .select(_name(members), "distinct_count"))
     return reduce(DataFrame.unionAll, parts)

@@ -209,10 +209,35 @@ def isolation_forest(df: DataFrame, key: Iterable[str] = (), exclude: Iterable[s
     n = rows.count()
     if n < limits.forest_min_rows:
         return IsolationReport(False, f"At least {limits.forest_min_rows} complete numeric rows are needed.")
+    return judge(rows, fit_forest(rows, features, key, n, limits), n, [*key, *features], limits)
+
+
+def judge(rows: DataFrame, forest: Forest, n: int, order: list[str], limits: Thresholds = DEFAULTS) -> IsolationReport:
+    """Score ``n`` complete rows with a forest and flag the lowest five percent; ``order`` decides ties of the top rows."""
     # Scores cost a pass through Python and are read several times below.
-    scored = materialize(score_rows(rows, fit_forest(rows, features, key, n, limits)), "scores")
+    scored = materialize(score_rows(rows, forest), "scores")
     threshold = quantile(scored, "anomaly_score", limits.contamination)
     flagged = scored.filter(F.col("anomaly_score") < threshold)
-    top = (flagged.orderBy("anomaly_score", *[col(c) for c in [*key, *features]]).limit(limits.forest_top_rows)
+    top = (flagged.orderBy("anomaly_score", *[col(c) for c in order]).limit(limits.forest_top_rows)
            .withColumn("anomaly_score", F.bround("anomaly_score", 3)))
     return IsolationReport(True, None, n, flagged.count(), threshold, scored, top)
+
+
+def forest_of(features: list[str], trees: list[tuple], psi: int) -> Forest:
+    """A forest from trees that are given, each (feature, split, tree up to the split, tree above it) or a leaf's number of rows."""
+    built, deepest = [], 1
+    for tree in trees:
+        nodes, todo = [], [(tree, 0, None, 0)]
+        while todo:
+            node, depth, parent, side = todo.pop()
+            me, leaf = len(nodes), not isinstance(node, tuple)
+            deepest = max(deepest, depth)
+            nodes.append([0 if leaf else features.index(node[0]), math.inf if leaf else node[1], [me, me],
+                          depth + (float(_mean_depth(np.array(node))) if leaf else 0.0)])
+            if parent is not None:
+                nodes[parent][2][side] = me
+            if not leaf:
+                todo += [(node[3], depth + 1, me, 1), (node[2], depth + 1, me, 0)]
+        feature, split, children, length = zip(*nodes)
+        built.append((np.array(feature, np.int64), np.array(split, float), np.array(children, np.int64).ravel(), np.array(length, float)))
+    return Forest(tuple(features), psi, tuple(built), deepest)

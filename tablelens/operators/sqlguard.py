@@ -77,10 +77,30 @@ def _violations(spark: SparkSession, sql: str) -> list[str]:
     return list(row["violations"]) + (["calls a JVM method"] if row["calls"] else [])
 
 
+def _sequence(items) -> list:
+    return [items.apply(i) for i in range(items.size())]
+
+
 def _relations(df: DataFrame) -> set[str]:
-    """Views and catalog tables that an analysed plan reads, sub-queries included."""
-    plan = df._jdf.queryExecution().analyzed().toString()
-    return set(re.findall(r"View \(([^,)]+)[,)]", plan)) | set(re.findall(r"SubqueryAlias ((?:\w+\.)+\w+)", plan))
+    """Views, catalog tables and files that an analysed plan reads: a walk over its nodes, sub-queries included.
+
+    A view is named and not entered, since what it reads was decided when it was made.
+    """
+    found, todo = set(), [df._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        kind = node.nodeName()
+        if kind == "View":
+            found.add(node.desc().identifier().unquotedString())
+            continue
+        if kind == "LogicalRelation" and node.catalogTable().isDefined():
+            found.add(node.catalogTable().get().identifier().unquotedString())
+        elif kind in ("HiveTableRelation", "UnresolvedCatalogRelation"):
+            found.add(node.tableMeta().identifier().unquotedString())
+        elif kind in ("RelationV2", "DataSourceV2Relation") and node.identifier().isDefined():
+            found.add(node.name())
+        todo += _sequence(node.children()) + _sequence(node.subqueries())
+    return found
 
 
 def query_readonly(tables: DataFrame | Mapping[str, DataFrame], sql: str) -> QueryResult:
@@ -107,7 +127,7 @@ def query_readonly(tables: DataFrame | Mapping[str, DataFrame], sql: str) -> Que
         body = _AFTER_LAST.sub("", sql)
         spark._jsparkSession.sessionState().sqlParser().parsePlan(body)
         found = spark.sql(f"WITH {given} SELECT * FROM (\n{body}\n)")
-        allowed = {f"`{h}`" for h in hidden.values()}.union(*map(_relations, named.values()))
+        allowed = set(hidden.values()).union(*map(_relations, named.values()))
         others = _relations(found) - allowed
         if others:
             return QueryResult(False, None, f"reads other tables: {', '.join(sorted(others))}")

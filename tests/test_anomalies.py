@@ -122,3 +122,19 @@ def test_release_deletes_the_files(spark, tmp_path):
     assert os.path.isdir(folder)
     release(df)
     assert not os.path.exists(folder)
+
+
+def test_given_trees_score_like_a_walk(rows):
+    trees = [("a", 2.5, 4, ("b", 1.0, 2, 1)), ("b", 0.5, ("a", 7.0, 3, 1), 5)]
+    df = rows([(a, b) for a in range(10) for b in (0, 1, 2)], "a int, b int")
+
+    def depth(tree, row, d=0):
+        if isinstance(tree, tuple):
+            return depth(tree[3] if row[tree[0]] > tree[1] else tree[2], row, d + 1)
+        return d + (0 if tree < 2 else 1 if tree == 2 else 2 * (np.log(tree - 1) + np.euler_gamma) - 2 * (tree - 1) / tree)
+
+    norm = 2 * (np.log(7) + np.euler_gamma) - 2 * 7 / 8
+    report = isolation.judge(df, isolation.forest_of(["a", "b"], trees, 8), 30, ["a", "b"])
+    for r in report.scored.collect():
+        assert np.isclose(r["anomaly_score"], -2 ** (-sum(depth(t, r) for t in trees) / 2 / norm))
+    assert report.anomalous == report.scored.filter(F.col("anomaly_score") < report.threshold).count() and report.rows_checked == 30

@@ -110,3 +110,17 @@ def test_complete_cases(rows):
 def test_marked_lines(rows):
     df = rows([(1, "  INSIGHT: up 5%  \nother\r\nINSIGHT:none\nINSIGHT: down"), (2, "no INSIGHT: here")], "k int, t string")
     assert collect(row_ops.marked_lines(df, "k", "t").orderBy("line_no"), "k", "line_no", "line") == [(1, 0, "up 5%"), (1, 3, "down")]
+
+
+def test_wide_correlations_are_merged_as_tiles(spark, monkeypatch):
+    monkeypatch.setattr(eda, "NARROW", 3)
+    monkeypatch.setattr(eda, "TILE", 4)
+    monkeypatch.setattr(eda, "TILE_GROUPS", 2)
+    random.seed(6)
+    data = [tuple(None if random.random() < 0.1 else 7.0 if k == 5 else random.gauss(1e5 * k, 1 + k) for k in range(11)) for _ in range(200)]
+    df = spark.createDataFrame(data, ", ".join(f"c{k} double" for k in range(11)))
+    want = df.toPandas().corr()
+    found = eda.pair_correlations(df.repartition(5))
+    assert len(found) == 55
+    for a, b, r in found:
+        assert r is None if "c5" in (a, b) else r == pytest.approx(want.loc[a, b], abs=1e-9)

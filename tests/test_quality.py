@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tablelens.operators import quality
+from tablelens.operators import frequency, quality
 from tablelens.operators.columnstats import table_stats
 
 
@@ -120,3 +120,9 @@ def test_scores_do_not_depend_on_partitioning(rows):
     data = [(random.choice("abc"), random.gauss(0, 1), i % 17 or None) for i in range(400)]
     df = rows(data, "c string, v double, k bigint")
     assert quality.assess_data_quality(df.repartition(1)).to_dict() == quality.assess_data_quality(df.repartition(7)).to_dict()
+
+
+def test_long_texts_are_counted_by_fingerprint(spark):
+    texts = ["x" * 32, "x" * 33, "x" * 33, "y" * 5000, "y" * 5000 + "z", None, "", "#" + "0" * 32]
+    df = spark.createDataFrame([(t, [t or ""]) for t in texts], "t string, a array<string>")
+    assert {r["column_name"]: r["distinct_count"] for r in frequency.distinct_counts(df).collect()} == {"t": 6, "a": 6}

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tablelens.operators import sqlguard
 
@@ -84,3 +85,20 @@ def test_other_views_are_out_of_reach(spark, data):
                                  "SELECT count(*) AS n FROM data -- x", "WITH data2 AS (SELECT * FROM data) SELECT count(*) AS n FROM data2;"])
 def test_comments_after_the_statement(data, sql):
     assert sqlguard.query_readonly(data, sql).df.first()["n"] == 3
+
+
+def test_relations_are_read_from_the_nodes_of_a_plan(spark, data, tmp_path):
+    spark.range(3).createOrReplaceTempView("`odd (name, x)`")
+    spark.sql("CREATE OR REPLACE TEMP VIEW outer_view AS SELECT 1 AS id, (SELECT max(id) FROM `odd (name, x)`) AS m")
+    try:
+        for sql in ("SELECT * FROM `odd (name, x)`", "SELECT price FROM data WHERE EXISTS (SELECT 1 FROM (SELECT id FROM `odd (name, x)`) t WHERE t.id = price)",
+                    "SELECT * FROM data, LATERAL (SELECT max(m) AS m FROM outer_view)"):
+            r = sqlguard.query_readonly(data, sql)
+            assert not r.success and "reads other tables" in r.error
+        r = sqlguard.query_readonly(data, "SELECT 'View (`x`, y)' AS t, 'SubqueryAlias a.b.c' AS u FROM data")  # text is no relation
+        assert r.success and r.df.count() == 3
+        over = spark.table("outer_view").select(F.col("id").alias("price"))
+        assert sqlguard.query_readonly(over, "SELECT sum(price) AS s FROM data").df.first()["s"] == 1
+    finally:
+        spark.catalog.dropTempView("odd (name, x)")
+        spark.catalog.dropTempView("outer_view")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,10 @@ FRAME_WORDS = frozenset(
     "pager popup promo promoted promotion recommended related replies reply respond reader search share sharing sidebar signup skip social "
     "sponsor sponsored subscribe subscription tags teaser toolbar topbar tracking widget widgets".split()
 )
+#: Frame words that are ordinary words as well: beside other words (related-work) they are a weak sign only.
+ORDINARY_WORDS = frozenset(
+    "header legal meta notice notices promoted reader recommended related respond search share sharing social tags teaser tracking".split()
+)
 BODY_TAGS = frozenset("article main".split())
 #: Words that turn a frame word into a remark on the layout (has-sidebar), and the frame words that count for an article.
 LAYOUT_WORDS, ARTICLE_FRAMES = frozenset("has no with without".split()), frozenset("comment comments replies reply".split())
@@ -44,9 +49,12 @@ _PIECE = re.compile(
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9-]*)")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+#: Unread elements that hide what follows only up to the next block where their end tag is missing.
+ENDED_BY_BLOCKS = UNREAD - {"head", "script", "style"}
 
-#: Per block: words, percent of words in links, the same of the block before and after, whether a frame tag or a frame
-#: word encloses it, whether an article or main element does, whether it is a heading. The last column is the label.
+#: Per block: words, percent of words in links, the same of the block before and after, whether a frame tag encloses it,
+#: whether frame words do (1 weakly, 2 clearly), whether an article or main element does, whether it is a heading. The last
+#: column is the label.
 LABELLED = np.array([
     # inside an article: text of any length, headings
     [60, 0, 45, 0, 70, 0, 0, 0, 1, 0, 1], [120, 2, 60, 0, 80, 0, 0, 0, 1, 0, 1], [1, 0, 50, 0, 40, 0, 0, 0, 1, 0, 1],
@@ -54,15 +62,29 @@ LABELLED = np.array([
     [30, 10, 20, 0, 9, 0, 0, 0, 1, 0, 1], [9, 0, 12, 0, 11, 0, 0, 0, 1, 0, 1], [4, 0, 80, 0, 10, 60, 0, 0, 1, 0, 1],
     [15, 30, 60, 0, 50, 0, 0, 0, 1, 0, 1], [40, 0, 8, 0, 12, 0, 0, 0, 1, 0, 1], [3, 0, 0, 0, 0, 0, 0, 0, 1, 0, 1],
     [12, 40, 70, 0, 30, 5, 0, 0, 1, 0, 1], [200, 1, 0, 0, 0, 0, 0, 0, 1, 0, 1], [6, 45, 40, 0, 55, 0, 0, 0, 1, 0, 1],
+    # the same beside very long and very short texts, and beside the frames above and below the article
+    [40, 0, 110, 0, 2, 0, 0, 0, 1, 0, 1], [75, 0, 11, 0, 8, 0, 0, 0, 1, 0, 1], [120, 0, 12, 0, 1, 0, 0, 0, 1, 0, 1],
+    [10, 0, 48, 0, 3, 0, 0, 0, 1, 0, 1], [2, 0, 120, 0, 9, 0, 0, 0, 1, 0, 1], [7, 0, 2, 0, 4, 0, 0, 0, 1, 0, 1],
+    [50, 0, 1, 100, 12, 0, 0, 0, 1, 0, 1], [14, 0, 5, 100, 11, 0, 0, 0, 1, 0, 1], [9, 0, 70, 0, 2, 100, 0, 0, 1, 0, 1],
+    [3, 0, 9, 100, 2, 0, 0, 0, 1, 1, 1], [1, 0, 1, 0, 1, 0, 0, 0, 1, 0, 1], [16, 0, 16, 0, 16, 0, 0, 0, 1, 0, 1],
+    # text above a list of links
+    [20, 0, 0, 0, 2, 100, 0, 0, 1, 0, 1], [40, 0, 5, 0, 3, 100, 0, 0, 1, 0, 1], [12, 0, 20, 0, 1, 100, 0, 0, 1, 0, 1],
+    [25, 5, 1, 100, 2, 100, 0, 0, 1, 0, 1], [1, 0, 5, 0, 1, 100, 0, 0, 1, 0, 1], [3, 0, 9, 0, 2, 100, 0, 0, 1, 0, 1],
+    [2, 0, 40, 0, 1, 100, 0, 0, 1, 0, 1],
+    # the last text of a page
+    [20, 0, 20, 0, 0, 0, 0, 0, 1, 0, 1], [6, 0, 40, 0, 0, 0, 0, 0, 1, 0, 1], [60, 0, 9, 0, 0, 0, 0, 0, 1, 0, 1],
+    [30, 0, 20, 0, 0, 0, 0, 0, 0, 0, 1], [2, 0, 30, 0, 0, 0, 0, 0, 1, 0, 1], [18, 0, 30, 0, 0, 0, 0, 1, 1, 0, 1],
     # link lists inside an article
+    [3, 100, 2, 100, 0, 0, 0, 0, 1, 0, 0], [4, 100, 20, 0, 0, 0, 0, 0, 1, 0, 0], [5, 100, 4, 100, 0, 0, 0, 1, 1, 0, 0],
+    [2, 100, 12, 0, 0, 0, 0, 0, 0, 0, 0], [3, 100, 4, 100, 40, 0, 0, 0, 1, 0, 0],
     [4, 100, 60, 0, 5, 100, 0, 0, 1, 0, 0], [6, 100, 5, 100, 4, 100, 0, 0, 1, 0, 0], [9, 90, 4, 100, 0, 0, 0, 0, 1, 0, 0],
     # frames, whatever their text looks like, also inside an article
     [1, 100, 0, 0, 1, 100, 1, 0, 0, 0, 0], [2, 100, 1, 100, 1, 100, 1, 0, 0, 0, 0], [3, 0, 1, 100, 20, 0, 1, 0, 0, 0, 0],
     [25, 0, 60, 0, 0, 0, 1, 0, 0, 0, 0], [60, 0, 40, 0, 12, 0, 1, 0, 0, 0, 0], [12, 0, 80, 0, 0, 0, 1, 0, 0, 0, 0],
-    [40, 5, 90, 0, 30, 0, 1, 0, 1, 0, 0], [8, 0, 4, 0, 60, 0, 1, 0, 1, 1, 0], [15, 20, 70, 0, 0, 0, 1, 1, 0, 0, 0],
-    [9, 0, 3, 100, 70, 0, 0, 1, 0, 0, 0], [30, 0, 70, 0, 40, 0, 0, 1, 0, 0, 0], [80, 0, 60, 0, 60, 0, 0, 1, 0, 0, 0],
-    [20, 0, 50, 0, 25, 0, 0, 1, 1, 0, 0], [45, 0, 20, 0, 30, 0, 0, 1, 1, 0, 0], [5, 0, 45, 0, 20, 0, 0, 1, 1, 1, 0],
-    [3, 100, 9, 0, 8, 0, 0, 1, 0, 0, 0], [2, 0, 30, 0, 20, 0, 0, 1, 1, 0, 0], [100, 3, 12, 0, 15, 0, 0, 1, 1, 0, 0],
+    [40, 5, 90, 0, 30, 0, 1, 0, 1, 0, 0], [8, 0, 4, 0, 60, 0, 1, 0, 1, 1, 0], [15, 20, 70, 0, 0, 0, 1, 2, 0, 0, 0],
+    [9, 0, 3, 100, 70, 0, 0, 2, 0, 0, 0], [30, 0, 70, 0, 40, 0, 0, 2, 0, 0, 0], [80, 0, 60, 0, 60, 0, 0, 2, 0, 0, 0],
+    [20, 0, 50, 0, 25, 0, 0, 2, 1, 0, 0], [45, 0, 20, 0, 30, 0, 0, 2, 1, 0, 0], [5, 0, 45, 0, 20, 0, 0, 2, 1, 1, 0],
+    [3, 100, 9, 0, 8, 0, 0, 2, 0, 0, 0], [2, 0, 30, 0, 20, 0, 0, 2, 1, 0, 0], [100, 3, 12, 0, 15, 0, 0, 2, 1, 0, 0],
     # pages without an article element: long texts with few links, short ones beside them, headings above them
     [60, 0, 8, 0, 70, 0, 0, 0, 0, 0, 1], [35, 5, 50, 0, 40, 0, 0, 0, 0, 0, 1], [18, 0, 60, 0, 45, 0, 0, 0, 0, 0, 1],
     [150, 2, 30, 0, 4, 50, 0, 0, 0, 0, 1], [25, 15, 40, 0, 3, 100, 0, 0, 0, 0, 1], [90, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1],
@@ -74,6 +96,12 @@ LABELLED = np.array([
     [25, 70, 10, 80, 12, 80, 0, 0, 0, 0, 0], [3, 0, 2, 100, 4, 100, 0, 0, 0, 0, 0], [4, 0, 5, 60, 0, 0, 0, 0, 0, 0, 0],
     [6, 0, 3, 0, 4, 0, 0, 0, 0, 0, 0], [5, 0, 60, 0, 0, 0, 0, 0, 0, 0, 0], [3, 0, 0, 0, 2, 100, 0, 0, 0, 0, 0],
     [4, 0, 3, 0, 2, 100, 0, 0, 0, 1, 0], [8, 50, 30, 0, 2, 100, 0, 0, 0, 0, 0], [2, 0, 4, 0, 50, 0, 0, 0, 0, 0, 0],
+    # weak frame words: prose stays, link lists and remarks go
+    [30, 0, 20, 0, 40, 0, 0, 1, 1, 0, 1], [14, 0, 30, 0, 25, 0, 0, 1, 1, 0, 1], [70, 5, 4, 0, 50, 0, 0, 1, 1, 0, 1],
+    [5, 0, 40, 0, 60, 0, 0, 1, 1, 1, 1], [3, 0, 0, 0, 30, 0, 0, 1, 1, 1, 1], [90, 4, 60, 0, 80, 0, 0, 1, 0, 0, 1],
+    [45, 2, 9, 0, 50, 0, 0, 1, 0, 0, 1], [3, 100, 9, 0, 4, 100, 0, 1, 1, 0, 0], [8, 60, 20, 0, 6, 100, 0, 1, 1, 0, 0],
+    [4, 0, 30, 0, 3, 100, 0, 1, 1, 0, 0], [5, 0, 30, 0, 4, 100, 0, 1, 1, 1, 0], [10, 0, 3, 100, 5, 60, 0, 1, 0, 0, 0],
+    [6, 0, 40, 0, 2, 0, 0, 1, 0, 1, 0], [15, 40, 30, 0, 9, 80, 0, 1, 0, 0, 0], [12, 0, 40, 0, 0, 0, 0, 1, 0, 0, 0],
 ])
 
 
@@ -115,31 +143,91 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 7) -> Node:
 TREE = grow(LABELLED[:, :-1].astype(float), LABELLED[:, -1].astype(float))
 
 
+@dataclass(slots=True)
+class Tag:
+    """A tag, the text before it, and for a start tag whether its element has an end."""
+
+    before: str
+    name: str
+    source: str
+    closing: bool
+    ends: bool = True
+
+
+def tags(page: str) -> tuple[list[Tag], str]:
+    """The tags of a page without comments and the content of scripts and the like, and the text behind the last tag."""
+    out: list[Tag] = []
+    waiting: dict[str, list[Tag]] = {}  # unread elements that wait for their end tags
+    endless: set[str] = set()  # names without an end tag in the rest of the page
+    last, at, before = max(page.rfind(">"), page.rfind("<!--")), 0, []
+    while at <= last and (m := _PIECE.search(page, at)):
+        before.append(page[at:m.start()])
+        at = m.end()
+        found = _TAG.match(m.group())
+        if not found:
+            continue  # a comment or a declaration
+        tag = Tag("".join(before), found.group(2).lower(), m.group(), bool(found.group(1)))
+        name, before = tag.name, []
+        out.append(tag)
+        if name in RAW and not tag.closing:
+            end = None if name in endless else _END[name].search(page, at)
+            if end:
+                at = end.end()
+            elif name in ENDED_BY_BLOCKS:
+                endless.add(name)
+                tag.ends = False
+            else:
+                at = len(page)
+        elif name in ENDED_BY_BLOCKS and not tag.source.endswith("/>"):
+            if not tag.closing:
+                tag.ends = False
+                waiting.setdefault(name, []).append(tag)
+            elif waiting.get(name):
+                waiting[name].pop().ends = True
+    before.append(page[at:])
+    return out, "".join(before)
+
+
+def _frame_words(tag: Tag) -> int:
+    """What the words of class, id and role say: 0 nothing, 1 perhaps a frame, 2 a frame."""
+    if "=" not in tag.source or tag.name in ("html", "body"):
+        return 0
+    lists = [[w for w in re.split(r"[^a-z0-9]+", x) if w] for m in _NAMES.findall(tag.source) for v in m for x in v.lower().split()]
+    if any(w in LAYOUT_WORDS for x in lists for w in x):
+        return 0
+    marks = ARTICLE_FRAMES if tag.name in BODY_TAGS else FRAME_WORDS
+    return max((1 if not set(x) <= marks and set(x) & marks <= ORDINARY_WORDS else 2 for x in lists if set(x) & marks), default=0)
+
+
 def blocks(page: str) -> tuple[list[str], list[list[int]]]:
-    """Text blocks in page order, and for each: words, words in links, frame tag, frame word, article, heading."""
+    """Text blocks in page order, and for each: words, words in links, frame tag, frame words, article, heading."""
     texts: list[str] = []
     facts: list[list[int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, frame tag, frame word
+    stack: list[tuple[str, int, bool]] = []  # open elements: name, frame words, whether they have an end
+    opened: Counter[str] = Counter()
     words: list[str] = []
-    linked = depth = unread = links = heads = tags = named = bodies = 0
+    linked = unread = heads = frames = bodies = endless = 0
+    named = [0, 0, 0]
 
     def close() -> None:
         nonlocal linked
         text = " ".join("".join(words).split())
         if text:
+            sign = 2 if named[2] else int(named[1] > 0)
             texts.append(text)
-            facts.append([text.count(" ") + 1, linked, int(tags > 0), int(named > 0), int(bodies > 0), int(heads > 0)])
+            facts.append([text.count(" ") + 1, linked, int(frames > 0), sign, int(bodies > 0), int(heads > 0)])
         words.clear()
         linked = 0
 
-    def count(name: str, frame: bool, word: bool, by: int) -> None:
-        nonlocal unread, links, heads, tags, named, bodies
+    def count(name: str, sign: int, ends: bool, by: int) -> None:
+        nonlocal unread, heads, frames, bodies, endless
+        opened[name] += by
         unread += by * (name in UNREAD)
-        links += by * (name == "a")
         heads += by * (len(name) == 2 and name[0] == "h" and name[1].isdigit())
-        tags += by * frame
-        named += by * word
+        frames += by * (name in FRAME_TAGS)
+        named[sign] += by
         bodies += by * (name in BODY_TAGS)
+        endless += by * (not ends)
 
     def pop() -> None:
         count(*stack.pop(), -1)
@@ -151,49 +239,40 @@ def blocks(page: str) -> tuple[list[str], list[list[int]]]:
         if piece and not unread:
             piece = html.unescape(piece) if "&" in piece else piece
             words.append(piece)
-            if links:
+            if opened["a"]:
                 linked += len(piece.split())
 
-    at = 0
-    while m := _PIECE.search(page, at):
-        text(page[at:m.start()])
-        at = m.end()
-        tag = _TAG.match(m.group())
-        if not tag:
-            continue  # a comment or a declaration
-        name = tag.group(2).lower()
-        block = name in BLOCKS
+    found, rest = tags(page)
+    for tag in found:
+        text(tag.before)
+        name, block = tag.name, tag.name in BLOCKS
         if block:
             close()
         if name == "br":
             words.append(" ")
-        if tag.group(1):
-            if any(x[0] == name for x in stack):
+        if tag.closing:
+            if opened[name]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
             continue
         if name == "body" and unread:
-            while any(x[0] == "head" for x in stack):
+            while opened["head"]:
                 pop()
         elif unread and stack[-1][0] == "head" and name not in HEAD:
             pop()
         elif unread and stack[-1][0] == "head" and name in ("head", "html"):
             continue
+        while (block or name == "body") and endless and not opened["head"]:
+            pop()
         if block and stack and (stack[-1][0] == "p" or name == stack[-1][0] and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
             pop()
-        if name in VOID or m.group().endswith("/>"):
-            continue
-        names = {w for x in _NAMES.findall(m.group()) for v in x for w in re.split(r"[^a-z0-9]+", v.lower())} if "=" in m.group() else set()
-        marks = names & (ARTICLE_FRAMES if name in BODY_TAGS else FRAME_WORDS)
-        element = (name, name in FRAME_TAGS, bool(marks) and not names & LAYOUT_WORDS and name not in ("html", "body"))
-        if name in RAW:
-            end = _END[name].search(page, at)
-            at = end.end() if end else len(page)
+        if name in VOID or tag.source.endswith("/>") or name in RAW and tag.ends:
             continue
+        element = (name, _frame_words(tag), tag.ends)
         stack.append(element)
         count(*element, 1)
-    text(page[at:])
+    text(rest)
     close()
     return texts, facts
 

@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -72,3 +73,33 @@ def test_heads_without_an_end_tag():
     ):
         assert extract([page]) == [want], page
     assert extract([f"<head>{head}{words}"]) == [words]
+
+
+LONG = "A long paragraph of some twenty words stands in the article here so that nobody could take it for a menu."
+
+
+def test_unread_elements_without_an_end_tag_hide_text_up_to_the_next_block():
+    for element in (
+        "<button>Send", "<select><option>x<option>y", "<object>x", "<svg><path d=1>", "<datalist><option>x", "<template><b>x", "<textarea>", "<iframe>",
+        "<noscript>", "<title>", "<button>One</button><button>Two", "<button>Two<p></p><button>One</button>", "<svg/><svg><svg></svg>", "<canvas><video>x",
+    ):
+        assert extract([f"<body><article><p>{LONG}</p>{element}<p>{LONG}</p></article>"]) == [f"{LONG}\n\n{LONG}"], element
+    for element in ("<button><div>Send</div></button>", "<svg><svg><text>x</text></svg><p>x</svg>", "<template><p>x</p></template>", "<noscript><p>x</noscript>"):
+        assert extract([f"<article><p>{LONG}</p>{element}<p>{LONG}</p></article>"]) == [f"{LONG}\n\n{LONG}"], element
+    assert extract([f"<article><p>{LONG}</p><script>x = 1<p>{LONG}"]) == [LONG]  # a script without an end is code to the end
+
+
+def test_ordinary_words_of_a_class_are_weak_signs():
+    prose = f"<h2>Related work</h2><p>{LONG}<p>{LONG}"
+    assert extract([f'<main><div class="related-work">{prose}</div></main>']) == [f"Related work\n\n{LONG}\n\n{LONG}"]
+    links = "<h3>Related posts</h3><ul><li><a href=x>One title</a><li><a href=y>Another title here</a></ul>"
+    assert extract([f'<main><p>{LONG}</p><div class="related-posts">{links}</div></main>']) == [LONG]
+    for name in ("comment-body", "related", "cookie-banner x", "site-sidebar"):
+        assert extract([f'<main><p>{LONG}</p><div class="{name}"><p>{LONG}</p></div></main>']) == [LONG], name
+
+
+def test_time_grows_with_the_page_only():
+    for page in ("<span>" * 70_000 + "</b>" * 140_000, "<div>" * 200_000, "<a<a" * 250_000, "<title>" * 150_000, "<button>x<p>" * 80_000, '<a "' * 250_000):
+        start = time.process_time()
+        extract([page])
+        assert time.process_time() - start < 8

@@ -1,10 +1,12 @@
 import json
+import random
 import zipfile
 
 import pytest
 
 from tablelens import load_data_file
 from tablelens.sources import readers
+from tablelens.sources.excel import parsed_pieces, read_excel
 from tablelens.sources.readers import read_csv
 from tablelens.sources.writers import write_cleaned, write_report
 
@@ -146,6 +148,42 @@ def test_many_workbooks(spark, tmp_path):
         load_data_file(spark, f"{tmp_path}/*.xlsx")
 
 
+def test_workbooks_are_cut_into_pieces_and_parsed_once(spark, tmp_path):
+    draw = random.Random(5)
+    rows = [["k", "kind", "text", "share"]] + [
+        [i, draw.choice(["hot", f"k{i}"]), draw.choice([None, "a &lt;b&gt;", "é" * draw.randint(1, 40), f"t{i % 7}"]), draw.choice([None, i / 8 + 0.0625])]
+        for i in range(400)]
+    path = workbook(tmp_path / "p.xlsx", rows)
+    parsed = parsed_pieces(spark, path, 300)
+    assert parsed.where("kind = 'rows'").count() > 50 and parsed.where("kind = 'strings'").count() > 20
+    df = read_excel(spark, path, 300)
+    assert "MapInPandas" not in df._jdf.queryExecution().toString()
+    want = [(r[0], r[1], "a <b>" if r[2] and "&" in r[2] else r[2], r[3]) for r in rows[1:]]
+    assert [tuple(r) for r in df.orderBy("k").collect()] == want
+    assert set(read_excel(spark, path).collect()) == set(df.collect())
+
+
+def test_spellings_of_workbook_xml(spark, tmp_path):
+    def save_book(name, sheet, strings, encoding="utf-8"):
+        path = workbook(tmp_path / f"{name}0.xlsx", [])
+        with zipfile.ZipFile(path) as old, zipfile.ZipFile(tmp_path / f"{name}.xlsx", "w") as new:
+            for part in old.namelist():
+                text = {"xl/worksheets/sheet1.xml": sheet, "xl/sharedStrings.xml": strings}.get(part)
+                new.writestr(part, old.read(part) if text is None else text.encode(encoding))
+        return str(tmp_path / f"{name}.xlsx")
+
+    sheet = ('<?xml version="1.0"?><x:worksheet xmlns:x="urn:m"><x:cols/><x:sheetData><x:row/><x:row r="2"><x:c r="B2" t="s"><x:v>1</x:v></x:c>'
+             '<x:c r="A2" t="inlineStr"><x:is><x:t>k</x:t></x:is></x:c></x:row ><x:row r="3"/><x:row r="4"><x:c t="n"><x:v>7.0</x:v></x:c>'
+             '<x:c t="s"><x:v>2</x:v></x:c><x:c t="e"><x:v>#N/A</x:v></x:c></x:row></x:sheetData></x:worksheet>')
+    strings = '<x:sst xmlns:x="urn:m"><x:si/><x:si><x:t>v</x:t></x:si><x:si><x:r><x:t>ä</x:t></x:r><x:rPh><x:t>no</x:t></x:rPh><x:r><x:t>b</x:t></x:r></x:si></x:sst>'
+    for name, encoding in (("plain", "utf-8"), ("marked", "utf-8-sig"), ("wide", "utf-16")):
+        for size in (64, 1 << 20):
+            df = read_excel(spark, save_book(f"{name}{size}", sheet, strings, encoding), size)
+            assert df.columns == ["k", "v"] and df.collect() == [(7, "äb")]
+    with pytest.raises(ValueError, match="Could not read"):
+        read_excel(spark, save_book("cut", sheet[:-60], strings))
+
+
 def test_empty_workbook(spark, tmp_path):
     with pytest.raises(ValueError, match="no rows"):
         load_data_file(spark, workbook(tmp_path / "e.xlsx", [["a", "b"]]))

@@ -191,9 +191,10 @@ def sheet_cells(parsed: DataFrame) -> DataFrame:
     wanted = pieces.select(*key, F.posexplode("needs").alias("at", "number")).join(strings, ["path", "number"], "left")
     texts = wanted.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]).alias("texts"))
     firsts = pieces.groupBy("path").agg(F.min("piece").alias("piece")).withColumn("starts", F.lit(True))
-    rows = pieces.join(texts, key, "left").join(firsts, key, "left").select(*key, "starts", "texts", F.posexplode("rows").alias("row_no", "row"))
-    cells = F.transform("row", lambda c: F.coalesce(c["value"], F.try_element_at("texts", c["at"])))
-    return rows.select(*key, "row_no", (F.coalesce("starts", F.lit(False)) & (F.col("row_no") == 0)).alias("head"), cells.alias("cells"))
+    filled = F.transform("rows", lambda row: F.transform(row, lambda c: F.coalesce(c["value"], F.try_element_at("texts", c["at"]))))
+    rows = pieces.join(texts, key, "left").select(*key, filled.alias("rows")).join(firsts, key, "left")  # before rows are told apart
+    told = rows.select(*key, F.coalesce("starts", F.lit(False)).alias("starts"), F.posexplode("rows").alias("row_no", "cells"))
+    return told.select(*key, "row_no", (F.col("starts") & (F.col("row_no") == 0)).alias("head"), "cells")
 
 
 def read_excel(spark: SparkSession, path: str, size: int = PIECE) -> DataFrame:
